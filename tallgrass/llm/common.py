@@ -136,10 +136,14 @@ def texts_of(column) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
-def words(text) -> "F.Column":
+def let(value, f) -> "F.Column":
+    """f(value) with value computed once: inside a lambda, an expression would run for every element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def split_words(text) -> "F.Column":
     """The words of a text as an array, on the JVM; null gives an empty array."""
-    flat = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
-    return F.array_remove(F.split(flat, " "), "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
 
 
 def n_words(text) -> "F.Column":

@@ -9,6 +9,13 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .projected_neighbours import nearest
+
+    vectors = _read(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import dedup_substrings
 
@@ -29,9 +36,42 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify
+
+    return identify(_read(spark, sf_dir, "documents"))
+
+
+def op5_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .preference import digests, paired_with_next
+
+    return digests(paired_with_next(_read(spark, sf_dir, "conversations")))
+
+
+def op7_weighted_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import taken
+
+    return taken(_read(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, repeats=2)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(_read(spark, sf_dir, "pages"), least=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judged, trusted_ids
+
+    rows = judged(_read(spark, sf_dir, "documents"), trusted_ids(_read(spark, sf_dir, "labels")))
+    return rows.select("doc_id", "quality.*")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import preference, warc
+
+    return {"op5_preference_formatting": preference.ORACLE_SQL, "op8_warc": warc.ORACLE_SQL}
