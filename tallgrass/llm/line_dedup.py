@@ -6,9 +6,9 @@ least `percent` / 100. A line goes when a line earlier in (doc_id, line number)
 matches it; lines are judged on the input, not on what is left.
 
 Equal sets are settled by grouping, so a line that a third of all documents
-repeat goes on once. Tokens are ordered by rarity: by counts over all lines,
-hashed into a table of fixed size, then by token. Two matching sets share a
-token in their prefixes; length and positional filters drop most of the other
+repeat goes on once. Tokens are ordered by rarity: by the count of their first
+word over all documents, in a hashed table of fixed size, then by hash. Two
+matching sets share a token in their prefixes; length and positional filters drop most of the other
 pairs, and the rest are verified on whole sets.
 
 Lines that share a prefix token are never all paired at once: each first meets
@@ -35,36 +35,39 @@ _MOST = (1 << 11) - 1
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, line of every line of documents with a doc_id."""
-    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """doc_id, line_no, line of every line with a word, of documents with a doc_id."""
+    each = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return each.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
 def _hashed(rows: DataFrame) -> DataFrame:
-    """Replaces line by the hashes of its words; lines without words go."""
-    return rows.withColumn("h", F.transform(split_words(F.col("line")), lambda w: F.xxhash64(w))).where(F.size("h") > 0).drop("line")
+    """Replaces line by the hashes of its words."""
+    return rows.withColumn("h", F.transform(split_words(F.col("line")), lambda w: F.xxhash64(w))).drop("line")
 
 
-def _tokens(h: Column, gram: int) -> Column:
-    """The shingles of a line as numbers of 52 bits, with repeats."""
-    cut = lambda x: F.shiftrightunsigned(x, 64 - _TOKEN_BITS)
-    each = F.transform(h, lambda x, i: cut(F.xxhash64(x, *(F.get(h, i + n) for n in range(1, gram)))))
-    return F.when(F.size(h) < gram, F.array(cut(F.xxhash64(h)))).otherwise(F.slice(each, F.lit(1), F.greatest(F.size(h) - (gram - 1), F.lit(0))))
-
-
-def rarity(docs: DataFrame, gram: int) -> DataFrame:
-    """One row, one column: counts of all lines' tokens by slot."""
-    each = _hashed(lines(docs)).select(F.explode(_tokens(F.col("h"), gram)).alias("t")).select(F.pmod("t", F.lit(SLOTS)).cast("int").alias("slot"))
+def rarity(docs: DataFrame) -> DataFrame:
+    """One row, one column: counts of all documents' words by slot."""
+    each = docs.select(F.explode(split_words(F.col("text"))).alias("w")).select(_slot(F.xxhash64("w")).alias("slot"))
     counts = each.groupBy("slot").count()
     every = docs.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot"))
     rows = every.join(counts, "slot", "left").select("slot", F.least(F.coalesce("count", F.lit(0)), F.lit(_MOST)).alias("n"))
     return rows.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "n"))), lambda r: r["n"]).alias("counts"))
 
 
+def _slot(h: Column) -> Column:
+    return F.pmod(h, F.lit(SLOTS)).cast("int")
+
+
 def _sets(rows: DataFrame, counts: DataFrame, gram: int) -> DataFrame:
-    """Replaces h by tokens: the line's set, rarest first. A token is its count above its 52 bits."""
-    rows = rows.withColumn("tokens", F.array_distinct(_tokens(F.col("h"), gram))).withColumn("__counts", counts.scalar())
-    placed = lambda t: F.shiftleft(F.get(F.col("__counts"), F.pmod(t, F.lit(SLOTS)).cast("int")), _TOKEN_BITS).bitwiseOR(t)
-    return rows.withColumn("tokens", F.sort_array(F.transform("tokens", placed))).drop("h", "__counts")
+    """Replaces h by tokens: the line's set, rarest first. A token is its first word's count above the 52 bits of its hash."""
+    h = F.col("h")
+    count = lambda x: F.shiftleft(F.coalesce(F.get(F.col("__counts"), _slot(x)), F.lit(0)), _TOKEN_BITS)
+    token = lambda first, x: count(first).bitwiseOR(F.shiftrightunsigned(x, 64 - _TOKEN_BITS))
+    each = F.transform(h, lambda x, i: token(x, F.xxhash64(x, *(F.get(h, i + n) for n in range(1, gram)))))
+    whole = F.array(token(F.coalesce(F.get(h, F.lit(0)), F.lit(0)), F.xxhash64(h)))
+    tokens = F.when(F.size(h) < gram, whole).otherwise(F.slice(each, F.lit(1), F.greatest(F.size(h) - (gram - 1), F.lit(0))))
+    rows = rows.withColumn("__counts", counts.scalar()).withColumn("tokens", F.sort_array(F.array_distinct(tokens)))
+    return rows.drop("h", "__counts")
 
 
 def least_common(n: Column, percent: int) -> Column:
@@ -127,7 +130,7 @@ def _found_again(docs: DataFrame, ids: DataFrame, counts: DataFrame, gram: int)
 
 def removed_lines(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """doc_id, line_no of every line that an earlier line matches."""
-    counts = stored(rarity(docs, gram), "rarity")
+    counts = stored(rarity(docs), "rarity")
     lines_at = stored(occurrences(docs, counts, gram, percent), "occurrences")
     sets = lines_at.groupBy("k1", "k2", "n").agg(F.min(F.struct(*_ID)).alias("first"), F.first("prefix").alias("prefix"))
     firsts = sets.select("k1", "k2", "n", "first.*", "prefix")
