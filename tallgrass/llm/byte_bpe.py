@@ -210,20 +210,26 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, data binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of the ids and of what they decode to, in one pass so that no ids leave the task."""
+def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids array<int>): digests of the ids and of what they decode to, in one pass."""
     shared = _vocabulary(docs, path)
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 
     def run(batches):
         c = codec(shared.value, pattern)
         for batch in batches:
-            rows: tuple[list, list, list] = ([], [], [])
+            rows: tuple[list, list, list, list] = ([], [], [], [])
             for text in batch.column("text"):
                 found = c.encoded(text.as_py())
                 ids = list(map(int, found.split(","))) if found else []
                 rows[0].append(len(ids))
                 rows[1].append(hashlib.sha256(found.encode()).hexdigest())
                 rows[2].append(hashlib.sha256(c.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                if with_ids:
+                    rows[3].append(pa.array(ids, pa.int32()))
+            columns = [batch.column("doc_id"), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())]
+            if with_ids:
+                columns.append(pa.array(rows[3], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -333,6 +333,13 @@ def near_classes(docs: DataFrame, k: int = 5, percent: int = 80, tile: int = TIL
     return sizes.join(classes, sizes.doc_id == classes.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def representatives(docs: DataFrame, k: int = 5, percent: int = 80, tile: int = TILE) -> DataFrame:
+    """docs with one document of each class, that of the smallest doc_id; its rows, if repeated, and rows with a null doc_id stay."""
+    classes = near_classes(docs, k, percent, tile)
+    later = classes.where("component_id < doc_id").select(F.col("doc_id").alias("__later")).distinct()
+    return docs.join(later, docs.doc_id == later["__later"], "left_anti").select(*docs.columns)
+
+
 def _verified(rows: DataFrame, groups: DataFrame, certain: DataFrame, k: int, percent: int, tile: int) -> DataFrame:
     """The links (a, b) within candidate groups, and the certain ones."""
     groups = stored(groups.select(F.col("node").alias("doc_id"), F.col("component").alias("grp")), "groups")
