@@ -29,9 +29,15 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write df to the shared folder and read it again. Unlike cached blocks, the files outlive executors."""
+    """Cut the lineage: write df to the shared folder and read it again. Unlike cached blocks, the files outlive executors.
+
+    Spark deletes the shuffle files of finished queries when the driver's JVM
+    collects its garbage, which is asked for here: steps that follow one
+    another then don't add up on the executors' disks.
+    """
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_words, stored
+from .common import let, split_words, stored
 
 GRAM, PERCENT = 5, 80
 #: Slots of the rarity table, and of the filter that finds lines again: sizes of what a scan is given, whatever the corpus.
@@ -160,7 +160,8 @@ def summary(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFr
 def deduplicated(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """docs without the removed lines; n_chars, if there, follows. A document whose lines with words all go goes itself."""
     rows = docs.join(_by_document(docs, gram, percent), F.col("doc_id") == F.col("__doc"), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__removed", i)), "\n")
+    left = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), "__removed")
+    kept = let(F.split("text", "\n"), lambda x: F.array_join(F.transform(left(x), lambda i: F.get(x, i)), "\n"))
     rows = rows.withColumn("__kept", F.when(F.col("__removed").isNotNull() & F.col("text").isNotNull(), kept).otherwise(F.col("text")))
     rows = rows.where(F.col("__removed").isNull() | F.col("__kept").rlike(r"[^\x20\x09-\x0D]")).withColumn("text", F.col("__kept"))
     if "n_chars" in docs.columns:
