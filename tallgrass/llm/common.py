@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one pass of the numpy kernels holds as 64-bit values.
 CHUNK = 4 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,13 +32,17 @@ def new_path(spark: SparkSession, label: str) -> str:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it again. Unlike cached blocks, the files outlive executors.
 
-    Spark deletes the shuffle files of finished queries when the driver's JVM
-    collects its garbage, which is asked for here: steps that follow one
-    another then don't add up on the executors' disks.
+    The write's own shuffle files go as soon as it ends, so that steps that
+    follow one another don't add up on the executors' disks.
     """
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
