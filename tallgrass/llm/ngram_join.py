@@ -346,7 +346,8 @@ def _verified(rows: DataFrame, groups: DataFrame, certain: DataFrame, k: int, pe
     large = groups.groupBy("grp").count().where(F.col("count") > tile).select("grp", F.ceil(F.col("count") / tile).cast("int").alias("salts"))
     large = stored(large, "large")
     check = lambda tiles: tiles.groupBy("grp", "band", "salt").applyInArrow(_tile(k, percent), "a long, b long")
-    text = rows.join(groups, "doc_id")
+    # Stored once: both branches below read the grouped documents' texts, so that the whole corpus is dealt by doc_id only here.
+    text = stored(rows.join(groups, "doc_id"), "texts")
     if large.isEmpty():
         whole = text.select("grp", F.lit(0).alias("band"), F.lit(0).alias("salt"), "doc_id", "text", F.col("doc_id").alias("comp"))
         return certain.union(stored(check(whole), "links"))
