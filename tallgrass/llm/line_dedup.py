@@ -22,14 +22,16 @@ one another. Other columns pass through `deduplicated` untouched.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, split_words, stored
+from .common import let, stored
 
 GRAM, PERCENT = 5, 80
 #: Slots of the rarity table, and of the filter that finds lines again: sizes of what a scan is given, whatever the corpus.
-SLOTS = 1 << 18
+SLOTS = 1 << 16
 _TOKEN_BITS = 52
 _MOST = (1 << 11) - 1
 
@@ -40,34 +42,47 @@ def lines(docs: DataFrame) -> DataFrame:
     return each.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
-def _hashed(rows: DataFrame) -> DataFrame:
-    """Replaces line by the hashes of its words."""
-    return rows.withColumn("h", F.transform(split_words(F.col("line")), lambda w: F.xxhash64(w))).drop("line")
+def words(line: Column) -> Column:
+    """The words of a line as an array. A split at a plain blank is the cheap one; only lines with other white space pay for a pattern."""
+    plain = F.when(line.rlike(r"[\x09-\x0D]"), F.regexp_replace(line, r"[\x09-\x0D]", " ")).otherwise(line)
+    return F.array_remove(F.split(plain, " "), "")
+
 
+def rarity(docs: DataFrame) -> Column:
+    """A constant array of SLOTS entries: counts of the words of all documents' lines, by hashed slot.
 
-def rarity(docs: DataFrame) -> DataFrame:
-    """One row, one column: counts of all documents' words by slot."""
-    each = docs.select(F.explode(split_words(F.col("text"))).alias("w")).select(_slot(F.xxhash64("w")).alias("slot"))
+    A session variable takes it into the plan: neither a subquery nor a column
+    could be read inside a lambda without a copy for every row.
+    """
+    spark = docs.sparkSession
+    each = lines(docs).select(F.explode(words(F.col("line"))).alias("w")).select(_slot(F.xxhash64("w")).alias("slot"))
     counts = each.groupBy("slot").count()
-    every = docs.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot"))
-    rows = every.join(counts, "slot", "left").select("slot", F.least(F.coalesce("count", F.lit(0)), F.lit(_MOST)).alias("n"))
-    return rows.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "n"))), lambda r: r["n"]).alias("counts"))
+    every = spark.range(SLOTS).select(F.col("id").cast("int").alias("slot"))
+    rows = every.join(counts, "slot", "left").select("slot", F.least(F.coalesce("count", F.lit(0)), F.lit(_MOST)).cast("int").alias("n"))
+    table = rows.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "n"))), lambda r: r["n"]).alias("counts"))
+    name = f"line_rarity_{uuid.uuid4().hex}"
+    spark.sql(f"DECLARE VARIABLE {name} ARRAY<INT>")
+    spark.sql(f"SET VARIABLE {name} = (SELECT counts FROM {{table}})", table=table)
+    return F.expr(name)
 
 
 def _slot(h: Column) -> Column:
     return F.pmod(h, F.lit(SLOTS)).cast("int")
 
 
-def _sets(rows: DataFrame, counts: DataFrame, gram: int) -> DataFrame:
-    """Replaces h by tokens: the line's set, rarest first. A token is its first word's count above the 52 bits of its hash."""
-    h = F.col("h")
-    count = lambda x: F.shiftleft(F.coalesce(F.get(F.col("__counts"), _slot(x)), F.lit(0)), _TOKEN_BITS)
-    token = lambda first, x: count(first).bitwiseOR(F.shiftrightunsigned(x, 64 - _TOKEN_BITS))
-    each = F.transform(h, lambda x, i: token(x, F.xxhash64(x, *(F.get(h, i + n) for n in range(1, gram)))))
-    whole = F.array(token(F.coalesce(F.get(h, F.lit(0)), F.lit(0)), F.xxhash64(h)))
-    tokens = F.when(F.size(h) < gram, whole).otherwise(F.slice(each, F.lit(1), F.greatest(F.size(h) - (gram - 1), F.lit(0))))
-    rows = rows.withColumn("__counts", counts.scalar()).withColumn("tokens", F.sort_array(F.array_distinct(tokens)))
-    return rows.drop("h", "__counts")
+def _sets(rows: DataFrame, counts: Column, gram: int) -> DataFrame:
+    """Replaces line by tokens: the line's set, rarest first. A token is its first word's count above the 52 bits of its hash."""
+
+    def tokens(h: Column) -> Column:
+        count = lambda x: F.shiftleft(F.get(counts, _slot(x)).cast("long"), _TOKEN_BITS)
+        token = lambda first, x: count(first).bitwiseOR(F.shiftrightunsigned(x, 64 - _TOKEN_BITS))
+        gram_at = lambda x, i: token(x, F.xxhash64(x, *(F.get(h, i + n) for n in range(1, gram))))
+        each = F.transform(h, lambda x, i: F.when(i <= F.size(h) - gram, gram_at(x, i)))
+        whole = F.array(token(F.coalesce(F.get(h, F.lit(0)), F.lit(0)), F.xxhash64(h)))
+        return F.when(F.size(h) < gram, whole).otherwise(F.slice(each, F.lit(1), F.size(h) - (gram - 1)))
+
+    hashed = F.transform(words(F.col("line")), lambda w: F.xxhash64(w))
+    return rows.withColumn("tokens", F.sort_array(F.array_distinct(let(hashed, tokens)))).drop("line")
 
 
 def least_common(n: Column, percent: int) -> Column:
@@ -75,9 +90,9 @@ def least_common(n: Column, percent: int) -> Column:
     return F.floor((n * percent + 99) / 100).cast("int")
 
 
-def occurrences(docs: DataFrame, counts: DataFrame, gram: int, percent: int) -> DataFrame:
+def occurrences(docs: DataFrame, counts: Column, gram: int, percent: int) -> DataFrame:
     """doc_id, line_no, k1, k2 (of the set), n (its size) and prefix of every line with a word."""
-    rows = _sets(_hashed(lines(docs)), counts, gram).withColumn("n", F.size("tokens"))
+    rows = _sets(lines(docs), counts, gram).withColumn("n", F.size("tokens"))
     return rows.select("doc_id", "line_no", F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(1), "tokens").alias("k2"), "n", F.slice("tokens", F.lit(1), F.col("n") - least_common(F.col("n"), percent) + 1).alias("prefix"))
 
 
@@ -100,7 +115,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("tokens") + F.size("t1") - common)).select(*_ID).distinct()
 
 
-def _near(sets: DataFrame, docs: DataFrame, counts: DataFrame, gram: int, percent: int) -> DataFrame:
+def _near(sets: DataFrame, docs: DataFrame, counts: Column, gram: int, percent: int) -> DataFrame:
     """First occurrences (doc_id, line_no) of sets that an earlier, different set matches."""
     each = sets.select(*_ID, "n", F.posexplode("prefix").alias("pos", "token"))
     of_token = "PARTITION BY token"
@@ -118,19 +133,19 @@ def _near(sets: DataFrame, docs: DataFrame, counts: DataFrame, gram: int, percen
     return removed.unionByName(_verified(rest.select(*of_pair), wanted, percent)).distinct()
 
 
-def _found_again(docs: DataFrame, ids: DataFrame, counts: DataFrame, gram: int) -> DataFrame:
+def _found_again(docs: DataFrame, ids: DataFrame, counts: Column, gram: int) -> DataFrame:
     """doc_id, line_no, tokens of the lines named by ids. A hashed filter of SLOTS flags drops most other lines before they are split; the join decides."""
     slot = F.pmod(F.xxhash64(*_ID), F.lit(SLOTS)).cast("int")
     every = docs.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot"))
     flags = every.join(ids.select(slot.alias("slot")).distinct().withColumn("on", F.lit(True)), "slot", "left")
     flags = flags.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", F.coalesce("on", F.lit(False)).alias("on")))), lambda r: r["on"]).alias("flags"))
     rows = lines(docs).withColumn("__flags", flags.scalar()).where(F.get("__flags", slot)).drop("__flags")
-    return _sets(_hashed(rows), counts, gram).join(ids, _ID)
+    return _sets(rows, counts, gram).join(ids, _ID)
 
 
 def removed_lines(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """doc_id, line_no of every line that an earlier line matches."""
-    counts = stored(rarity(docs), "rarity")
+    counts = rarity(docs)
     lines_at = stored(occurrences(docs, counts, gram, percent), "occurrences")
     sets = lines_at.groupBy("k1", "k2", "n").agg(F.min(F.struct(*_ID)).alias("first"), F.first("prefix").alias("prefix"))
     firsts = sets.select("k1", "k2", "n", "first.*", "prefix")
