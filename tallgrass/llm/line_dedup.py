@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import let, stored
 
 GRAM, PERCENT = 5, 80
-#: Slots of the rarity table, and of the filter that finds lines again: sizes of what a scan is given, whatever the corpus.
+#: Slots of the rarity table, whatever the corpus.
 SLOTS = 1 << 16
 _TOKEN_BITS = 52
 _MOST = (1 << 11) - 1
@@ -134,13 +134,9 @@ def _near(sets: DataFrame, docs: DataFrame, counts: Column, gram: int, percent:
 
 
 def _found_again(docs: DataFrame, ids: DataFrame, counts: Column, gram: int) -> DataFrame:
-    """doc_id, line_no, tokens of the lines named by ids. A hashed filter of SLOTS flags drops most other lines before they are split; the join decides."""
-    slot = F.pmod(F.xxhash64(*_ID), F.lit(SLOTS)).cast("int")
-    every = docs.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot"))
-    flags = every.join(ids.select(slot.alias("slot")).distinct().withColumn("on", F.lit(True)), "slot", "left")
-    flags = flags.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", F.coalesce("on", F.lit(False)).alias("on")))), lambda r: r["on"]).alias("flags"))
-    rows = lines(docs).withColumn("__flags", flags.scalar()).where(F.get("__flags", slot)).drop("__flags")
-    return _sets(rows, counts, gram).join(ids, _ID)
+    """doc_id, line_no, tokens of the lines named by ids. Lines move as text, which is smaller than their tokens; only those found are split again."""
+    wanted = stored(lines(docs).join(ids, _ID), "wanted")
+    return _sets(wanted, counts, gram)
 
 
 def removed_lines(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
