@@ -8,7 +8,8 @@ matches it; lines are judged on the input, not on what is left.
 Equal sets are settled by grouping, so a line that a third of all documents
 repeat goes on once. Tokens are ordered by rarity: by the count of their first
 word over all documents, in a hashed table of fixed size, then by hash. Two
-matching sets share a token in their prefixes; length and positional filters drop most of the other
+matching sets share a token in their prefixes; length and positional filters and,
+where many lines share a token, bitmaps of the sets drop most of the other
 pairs, and the rest are verified on whole sets.
 
 Lines that share a prefix token are never all paired at once: each first meets
@@ -107,6 +108,18 @@ def _may_match(percent: int) -> Column:
     return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (rest >= least)
 
 
+def _bitmap() -> Column:
+    """Four 64-bit words in which each of the tokens sets one bit."""
+    bit = "if(((x >> 6) & 3) = {}, shiftleft(1L, cast(x & 63 AS int)), 0L)"
+    return F.array(*(F.expr(f"aggregate(tokens, 0L, (bits, x) -> bits | {bit.format(i)})") for i in range(4)))
+
+
+def _bits_allow(percent: int) -> Column:
+    """Bits that differ bound from below the tokens that differ, so from above the overlap of rows a and b."""
+    differ = sum((F.bit_count(F.get("a.bits", F.lit(i)).bitwiseXOR(F.get("b.bits", F.lit(i)))) for i in range(4)), F.lit(0))
+    return (100 + percent) * differ <= (100 - percent) * (F.col("a.n") + F.col("b.n"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The later lines (doc_id, line_no) of pairs whose sets match; pairs: d1, l1 (earlier), doc_id, line_no."""
     one = sets.select(F.col("doc_id").alias("d1"), F.col("line_no").alias("l1"), F.col("tokens").alias("t1"))
@@ -127,9 +140,10 @@ def _near(sets: DataFrame, docs: DataFrame, counts: Column, gram: int, percent:
     of_pair = [F.col("b.doc_id").alias("d1"), F.col("b.line_no").alias("l1"), F.col("a.doc_id").alias("doc_id"), F.col("a.line_no").alias("line_no")]
     with_first = shared.select(F.struct(*_ID, "n", "pos").alias("a"), F.col("first").alias("b")).where(~same_first & _may_match(percent))
     removed = stored(_verified(with_first.select(*of_pair), wanted, percent), "removed")
+    plain = stored(plain.join(wanted.select(*_ID, _bitmap().alias("bits")), _ID), "bits")
     left = plain.join(removed, _ID, "left_anti").alias("a")
     earlier = F.struct("b.doc_id", "b.line_no") < F.struct("a.doc_id", "a.line_no")
-    rest = left.join(plain.alias("b"), (F.col("a.token") == F.col("b.token")) & earlier & _may_match(percent))
+    rest = left.join(plain.alias("b"), (F.col("a.token") == F.col("b.token")) & earlier & _may_match(percent) & _bits_allow(percent))
     return removed.unionByName(_verified(rest.select(*of_pair), wanted, percent)).distinct()
 
 
