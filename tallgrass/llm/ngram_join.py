@@ -15,9 +15,11 @@ link when 100 * |A and B| >= percent * |A or B|. The join runs in three steps:
    are compared. Hashed bitmaps bound the overlap from above by bit counts,
    and pairs that pass are decided by intersecting the sorted arrays. Pairs
    already joined through others are skipped, as they can't change a class.
-   A group above `tile` documents is cut into tiles by size band and salt,
-   linked through pivots; members that stay outside the group's main class
-   are then compared with every tile of their own and the adjacent bands.
+   A group above `tile` documents or TILE_BYTES of text is cut into tiles by
+   size band and salt, linked through pivots. What these leave is found by the
+   keys themselves: members of different classes that share a key are paired,
+   first with the key's smallest member, then all of a key, in tiles. Pairs
+   carry ids and bitmaps; texts are read for those that the bitmaps let pass.
 3. Classes are the components of the links.
 
 Copies of one set within a batch are linked at once and only one goes on.
@@ -33,12 +35,16 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CHUNK, Words, mix, normalised, paired, partitions, stored, texts_of, window_hashes
+from .common import CHUNK, Words, chunks, mix, normalised, paired, partitions, stored, texts_of, window_hashes
 from .components import components
 
 BUCKETS_EACH = 2
 TILE = 2000
+#: Bytes of text that a tile holds on average, at most.
+TILE_BYTES = 32 << 20
 PIVOTS = 8
+#: 64-bit words of the bitmaps that pairs of a large group carry.
+SKETCH = 32
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 MAYBE, LINK, SIZE = 0, 1, 2
 _PAIRS = "kind int, a long, b long"
@@ -315,6 +321,96 @@ def _banded(percent: int, k: int):
     return run
 
 
+def _keyed(k: int, percent: int):
+    """(doc_id, text) to (key, doc_id) for each candidate key."""
+    scheme = Keys(percent)
+
+    def run(batches):
+        for batch in batches:
+            ids, texts = batch.column("doc_id").to_numpy(), texts_of(batch.column("text"))
+            for s, t in chunks(texts):
+                own, key = scheme.of(*shingle_sets(texts[s:t], k))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[s:t][own])], names=["key", "doc_id"])
+
+    return run
+
+
+def _sketched(k: int):
+    """(doc_id, text) to (doc_id, n, sketch): the size of the set and its bitmap."""
+
+    def run(batches):
+        for batch in batches:
+            ids, texts = batch.column("doc_id").to_numpy(), texts_of(batch.column("text"))
+            for s, t in chunks(texts):
+                hashes, offsets = shingle_sets(texts[s:t], k)
+                rows = [x.tobytes() for x in bitmaps(hashes, offsets, SKETCH)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[s:t]), pa.array(np.diff(offsets).astype(np.int32)), pa.array(rows, pa.binary())], names=["doc_id", "n", "sketch"])
+
+    return run
+
+
+def _bits(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH)
+
+
+def _may_link(percent: int, n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m elements with the bitmaps x and y can link: elements in which they differ are at least the bits that do."""
+    differ = np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((100 + percent) * differ <= (100 - percent) * (n + m))
+
+
+def _near(percent: int):
+    """Of rows (a, n, sketch, b, m, other) the pairs (a, b) that can link."""
+
+    def run(batches):
+        for batch in batches:
+            n, m = (batch.column(x).to_numpy().astype(np.int64) for x in ("n", "m"))
+            keep = pa.array(_may_link(percent, n, m, _bits(batch.column("sketch")), _bits(batch.column("other"))))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+    return run
+
+
+def _pairs_of_keys(percent: int):
+    """Of the members of keys in one slot, the pairs (a, b) of a key and of different classes that can link; between two salts, only those across."""
+
+    def run(slot, table):
+        key, doc, comp, salt, n = (table.column(x).to_numpy() for x in ("key", "doc_id", "comp", "salt", "n"))
+        order = np.lexsort((n, key))
+        key, doc, comp, salt, n = key[order], doc[order], comp[order], salt[order], n[order].astype(np.int64)
+        bits = _bits(table.column("sketch"))[order]
+        across = slot[1].as_py() != slot[2].as_py()
+        edge = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)).tolist()
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for s, t in zip(edge[:-1], edge[1:], strict=True):
+            for x in range(s + 1, t):
+                low = s + int(np.searchsorted(n[s:x], -(-percent * n[x] // 100)))
+                near = low + np.flatnonzero((comp[low:x] != comp[x]) & ((salt[low:x] != salt[x]) | (not across)))
+                if len(near):
+                    near = near[_may_link(percent, n[near], n[x], bits[near], bits[x])]
+                    a.append(np.full(len(near), doc[x])), b.append(doc[near])
+        return pa.table([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    return run
+
+
+def _decided(k: int, percent: int):
+    """Of rows (a, b, text, other) the pairs (a, b) that link."""
+
+    def run(batches):
+        for batch in batches:
+            one, two = texts_of(batch.column("text")), texts_of(batch.column("other"))
+            keep = np.zeros(len(one), dtype=bool)
+            for s, t in chunks([(x or b"") + (y or b"") for x, y in zip(one, two, strict=True)]):
+                (h, o), (g, p) = shingle_sets(one[s:t], k), shingle_sets(two[s:t], k)
+                for i in range(t - s):
+                    common = len(np.intersect1d(h[o[i] : o[i + 1]], g[p[i] : p[i + 1]], assume_unique=True))
+                    keep[s + i] = common > 0 and 100 * common >= percent * (int(o[i + 1] - o[i] + p[i + 1] - p[i]) - common)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
+
+    return run
+
+
 def near_classes(docs: DataFrame, k: int = 5, percent: int = 80, tile: int = TILE) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links, the row's own included).
 
@@ -343,11 +439,12 @@ def representatives(docs: DataFrame, k: int = 5, percent: int = 80, tile: int =
 def _verified(rows: DataFrame, groups: DataFrame, certain: DataFrame, k: int, percent: int, tile: int) -> DataFrame:
     """The links (a, b) within candidate groups, and the certain ones."""
     groups = stored(groups.select(F.col("node").alias("doc_id"), F.col("component").alias("grp")), "groups")
-    large = groups.groupBy("grp").count().where(F.col("count") > tile).select("grp", F.ceil(F.col("count") / tile).cast("int").alias("salts"))
-    large = stored(large, "large")
     check = lambda tiles: tiles.groupBy("grp", "band", "salt").applyInArrow(_tile(k, percent), "a long, b long")
-    # Stored once: both branches below read the grouped documents' texts, so that the whole corpus is dealt by doc_id only here.
+    # Stored once: the steps below read the grouped documents' texts, so that the whole corpus is dealt by doc_id only here.
     text = stored(rows.join(groups, "doc_id"), "texts")
+    large = text.groupBy("grp").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    large = large.withColumn("salts", F.ceil(F.greatest(F.col("n") / tile, F.col("bytes") / TILE_BYTES)).cast("int"))
+    large = stored(large.where("n > 2 AND salts > 1").select("grp", "salts"), "large")
     if large.isEmpty():
         whole = text.select("grp", F.lit(0).alias("band"), F.lit(0).alias("salt"), "doc_id", "text", F.col("doc_id").alias("comp"))
         return certain.union(stored(check(whole), "links"))
@@ -361,13 +458,41 @@ def _verified(rows: DataFrame, groups: DataFrame, certain: DataFrame, k: int, pe
     members = banded.select("grp", "band", "salt", "doc_id", "text")
     tiled = members.unionByName(pivots).withColumn("comp", F.col("doc_id"))
     first = stored(certain.union(check(small)).union(check(tiled)), "links")
-    # Members outside their group's main class meet every tile that can hold a partner.
-    classes = components(first)
-    placed = banded.join(classes, banded.doc_id == classes.node, "left").select(*banded.columns, F.coalesce("component", "doc_id").alias("comp"))
-    main = placed.groupBy("grp", "comp").count().groupBy("grp").agg(F.max_by("comp", "count").alias("main"))
-    placed = stored(placed.join(main, "grp"), "placed")
-    away = placed.where("comp != main").select("grp", "doc_id", "text", "comp", F.col("band").alias("of"))
-    guests = away.join(places, "grp").where(F.abs(F.col("band") - F.col("of")) <= 1).select("grp", "band", "salt", "doc_id", "text", "comp")
-    visited = guests.select("grp", "band", "salt").distinct()
-    hosts = placed.join(visited, ["grp", "band", "salt"], "left_semi").select("grp", "band", "salt", "doc_id", "text", "comp")
-    return first.union(stored(check(hosts.unionByName(guests)), "links"))
+    return _completed(banded.select("doc_id", "text"), first, k, percent, tile)
+
+
+def _completed(members: DataFrame, links: DataFrame, k: int, percent: int, tile: int) -> DataFrame:
+    """links, and those that join members (doc_id, text) of different classes; linked members share a key.
+
+    A key's members meet its smallest first, so that classes that the tiles
+    have cut grow together; after that all members of keys that still hold
+    several classes meet, a hot key in pairs of salts of about `tile` members.
+    """
+    every = stored(members.mapInArrow(_keyed(k, percent), "key long, doc_id long"), "every")
+    shared = every.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
+    every = stored(every.join(shared, "key", "left_semi"), "keyed")
+    sketches = stored(members.mapInArrow(_sketched(k), "doc_id long, n int, sketch binary"), "sketches")
+    second = lambda df, column: df.select(F.col("doc_id").alias("b"), *([F.col("n").alias("m")] if column == "sketch" else []), F.col(column).alias("other"))
+    for whole in (False, True):
+        known = components(links)
+        at = every.join(known, every.doc_id == known.node, "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+        at = stored(at, "classed")
+        mixed = at.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.min_by("comp", "doc_id").alias("of"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
+        mixed = mixed.where("low < high" if not whole else "low < high AND size > 2")
+        if whole:
+            mixed = stored(mixed.select("key", "size", F.ceil(F.col("size") / tile).cast("int").alias("salts")), "mixed")
+            slots = max(1, -(-(mixed.where("salts = 1").agg(F.sum("size")).first()[0] or 0) // tile))
+            dealt = at.join(mixed, "key").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
+            dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+            slot = F.when(F.col("salts") > 1, F.col("key")).otherwise(F.pmod("key", F.lit(slots)))
+            dealt = dealt.select(slot.alias("slot"), F.least("salt", "with").alias("i"), F.greatest("salt", "with").alias("j"), "key", "doc_id", "comp", "salt")
+            pairs = dealt.join(sketches, "doc_id").groupBy("slot", "i", "j").applyInArrow(_pairs_of_keys(percent), "a long, b long")
+        else:
+            met = at.join(mixed, "key").where("comp != of").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
+            met = met.join(sketches.withColumnRenamed("doc_id", "a"), "a").join(second(sketches, "sketch"), "b")
+            pairs = met.select("a", "n", "sketch", "b", "m", "other").mapInArrow(_near(percent), "a long, b long")
+        pairs = stored(pairs.distinct(), "candidates")
+        texts = pairs.join(members.withColumnRenamed("doc_id", "a"), "a").join(second(members, "text"), "b")
+        found = texts.select("a", "b", "text", "other").mapInArrow(_decided(k, percent), "a long, b long")
+        links = links.union(stored(found, "links"))
+    return links

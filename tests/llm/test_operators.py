@@ -48,6 +48,47 @@ def test_near_classes(docs, texts):
     assert got == {d: (len(sets[d]), find(d)) for d in sets}
 
 
+def test_near_classes_of_a_percolated_group(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    passage = [f"p{i}" for i in range(12)]
+    rows = []
+    for d in range(0, 400, 2):
+        words = [f"w{d}x{i}" for i in range(60)]
+        at = int(rng.integers(0, 60))
+        words = words[:at] + passage + words[at:]
+        near = [*words[:-1], "other"] if d % 3 == 0 else [*words[:20], "a", *words[21:40], "b", *words[41:]]
+        rows += [(d, " ".join(words)), (d + 1, " ".join(near))]
+    largest, real = spark.sparkContext.accumulator(0), ngram_join._tile
+    most = 60
+
+    def bounded(k, percent):
+        check = real(k, percent)
+
+        def run(key, table):
+            if table.num_rows > most:
+                largest.add(1)
+            return check(key, table)
+
+        return run
+
+    monkeypatch.setattr(ngram_join, "_tile", bounded)
+    sets = {d: shingles(t, 4) for d, t in rows}
+    same = lambda d: 100 * len(sets[d] & sets[d - 1]) >= 85 * len(sets[d] | sets[d - 1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    got = {r.doc_id: r.component_id for r in ngram_join.near_classes(docs, 4, 85, tile=10).collect()}
+    assert got == {d: d - 1 if d % 2 and same(d) else d for d in sets}
+    assert 0 < sum(d != c for d, c in got.items()) < 200
+    assert largest.value == 0
+
+
+def test_pairs_of_a_hot_key(spark):
+    hot = {d: " ".join(["same"] * 4 + [f"g{d // 3}w{i}" for i in range(30)] + [f"d{d}"]) for d in range(90)}
+    members = spark.createDataFrame(list(hot.items()), "doc_id long, text string")
+    links = ngram_join._completed(members, spark.createDataFrame([], "a long, b long"), 4, 85, tile=5).collect()
+    roots = {frozenset((r.a, r.b)) for r in links}
+    assert all(a // 3 == b // 3 for a, b in map(tuple, roots)) and {min(x) // 3 for x in roots} == set(range(30))
+
+
 def test_substrings(docs, texts):
     first = {}
     words = {d: WORD.findall(t or "") for d, t in texts.items()}
