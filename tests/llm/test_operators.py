@@ -135,6 +135,23 @@ def test_quality_statistics(spark, docs, texts, small):
         assert not (q.base_failed and q.kept)
 
 
+@pytest.mark.parametrize(("sf", "most"), [("sf0.001", 0.3), ("sf0.01", 0.15), ("sf0.1", 0.06)])
+def test_quality_verdict_on_labels_left_out(spark, sf, most):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    good = quality.trusted_ids(labels)
+    used = good.where("pmod(xxhash64(doc_id, 1), 2) = 0")
+    rows = quality.judged(docs, used).where("NOT quality.base_failed").select("doc_id", "quality.kept").collect()
+    used, good, known = ({r.doc_id for r in x.select("doc_id").collect()} for x in (used, good, labels))
+    rejected = lambda ids: np.mean([not r.kept for r in rows if r.doc_id in ids])
+    assert rejected(good - used) <= most
+    assert rejected(known - good) >= max(0.2, 2 * rejected(good - used))
+
+
+def test_quality_without_labels(spark, docs):
+    rows = [r.quality for r in quality.judged(docs, docs.select("doc_id").limit(0)).collect()]
+    assert all(q.kept != q.base_failed for q in rows) and {q.score for q in rows} == {0.0, None}
+
+
 def test_mix(docs, texts):
     rows = mixing.mixed(docs).collect()
     size = {r.source: r.source_size for r in rows}
