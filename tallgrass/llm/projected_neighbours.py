@@ -11,7 +11,8 @@ The tree's upper part splits all vectors into cells and is fitted on a bounded
 sample; every vector is dealt into a cell. Cells are cut by salt into blocks of
 bounded size, so that copies of one vector don't fill a task, and each block
 has a kd-tree of its own. A query first searches its own cell; with the bound
-from there it visits the cells that pass the same test.
+from there it visits the cells that pass the same test. Visits carry ids only
+until they are dealt; a block that many queries visit is dealt to several tasks.
 
 Defined results: vectors that are null, zero, of another length than most, or
 that hold null or non-finite components take no part, nor do rows without
@@ -35,7 +36,9 @@ CHANCE = 0.98
 #: Vectors that the upper tree is fitted on, rows in a block, cells at most.
 SAMPLE, BLOCK, MOST_CELLS = 4096, 4096, 512
 LEAF = 64
-_BLOCK = "cell int, salt int, kind int, vec_id long, embedding array<float>, bound double"
+#: Visits in one Arrow batch, and about so many queries that meet one block in a task.
+SLICE, ASKED = 10_000, 4096
+_VISIT = "vec_id long, cell int, salt int, bound double"
 _FOUND = "query_id long, vec_id long, score double"
 
 
@@ -173,21 +176,34 @@ def _placed(cells: Cells, project: np.ndarray, salts: list[int] | None):
 
 def _visits(cells: Cells, project: np.ndarray, salts: list[int], quantile: float, home: bool):
     """Queries (vec_id, embedding, bound) to the blocks that they search: those of the home cell, or of the others that pass the test."""
+    blocks = np.array(salts, dtype=np.int64)
 
     def run(batches):
         for batch in batches:
             points = unit(_matrix(batch.column("embedding")).astype(np.float64)) @ project if len(batch) else np.empty((0, 1))
             own = cells.of(points) if len(batch) else np.empty(0, np.int64)
-            bounds = batch.column("bound").to_numpy()
-            row, cell, salt = [], [], []
+            ids, bounds = batch.column("vec_id").to_numpy(), batch.column("bound").to_numpy()
+            held: list[tuple] = []
+            size = 0
+
+            def taken(held):
+                row, cell, salt = (np.concatenate(x) for x in zip(*held, strict=True))
+                return pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(cell.astype(np.int32)), pa.array(salt.astype(np.int32)), pa.array(bounds[row])], names=["vec_id", "cell", "salt", "bound"])
+
             for n in range(len(batch)):
-                near = [int(own[n])] if home else [x for x in np.flatnonzero(cells.distances(points[n]) <= quantile * bounds[n] + 1e-9).tolist() if x != own[n]]
-                for x in near:
-                    row += [n] * salts[x]
-                    cell += [x] * salts[x]
-                    salt += range(salts[x])
-            taken = batch.take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(salt, pa.int32()), pa.array([1] * len(row), pa.int32()), *taken.columns], names=["cell", "salt", "kind", *taken.schema.names])
+                near = own[n : n + 1] if home else np.flatnonzero(cells.distances(points[n]) <= quantile * bounds[n] + 1e-9)
+                near = near if home else near[near != own[n]]
+                cell = np.repeat(near, blocks[near])
+                salt = np.arange(len(cell)) - np.repeat(np.cumsum(blocks[near]) - blocks[near], blocks[near])
+                for at in range(0, len(cell), SLICE):
+                    part = slice(at, at + SLICE)
+                    if size + len(cell[part]) > SLICE:
+                        yield taken(held)
+                        held, size = [], 0
+                    held.append((np.full(len(cell[part]), n), cell[part], salt[part]))
+                    size += len(cell[part])
+            if held:
+                yield taken(held)
 
     return run
 
@@ -245,8 +261,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, m: int = M, chan
     asked = kept(queries, dim).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
     def searched(bounded: DataFrame, home: bool) -> DataFrame:
-        visits = bounded.select("vec_id", "embedding", "bound").mapInArrow(_visits(cells, project, salts, quantile, home), _BLOCK)
-        return blocks.unionByName(visits).groupBy("cell", "salt").applyInArrow(_search(project, k, quantile), _FOUND)
+        visits = stored(bounded.select("vec_id", "embedding", "bound").mapInArrow(_visits(cells, project, salts, quantile, home), _VISIT), "visits")
+        asks = F.broadcast(visits.groupBy("cell", "salt").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("asks")))
+        met = visits.join(asks, ["cell", "salt"]).withColumn("ask", F.pmod(F.xxhash64("vec_id"), F.col("asks")).cast("int"))
+        met = met.join(asked, "vec_id").select("cell", "salt", "ask", F.lit(1).alias("kind"), "vec_id", "embedding", "bound")
+        data = blocks.join(asks, ["cell", "salt"]).withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)))
+        data = data.select("cell", "salt", "ask", "kind", "vec_id", "embedding", "bound")
+        return data.unionByName(met).groupBy("cell", "salt", "ask").applyInArrow(_search(project, k, quantile), _FOUND)
 
     first = stored(_best(searched(asked.withColumn("bound", F.lit(4.0)), True), k), "near")
     # The k-th best of the home cell bounds what other cells have to beat; 4 is the largest squared distance.

@@ -211,6 +211,28 @@ def test_neighbours(spark, small):
     assert not {r.query_id for r in got} & {90_000}
 
 
+def test_visits_are_bounded():
+    import pyarrow as pa
+
+    cells, project = projected_neighbours.Cells(np.zeros((0, 8)), 0), projected_neighbours.directions(64)
+    x = np.random.default_rng(2).standard_normal((100, 64)).astype(np.float32)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100), pa.int64()), pa.array(list(x)), pa.array([4.0] * 100)], names=["vec_id", "embedding", "bound"])
+    out = list(projected_neighbours._visits(cells, project, [25_000], 18.2, True)([batch]))
+    assert max(len(b) for b in out) <= 10_000
+    pairs = {(i, s) for b in out for i, s in zip(b.column("vec_id").to_pylist(), b.column("salt").to_pylist(), strict=True)}
+    assert len(pairs) == sum(len(b) for b in out) == 100 * 25_000
+
+
+def test_neighbours_in_many_blocks_and_asks(spark, small, monkeypatch):
+    rows = spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id", "embedding")
+    asked = rows.where("vec_id % 5 = 0")
+    got = [sorted(map(tuple, projected_neighbours.nearest(rows, asked, 5, chance=1 - 1e-12).collect()))]
+    monkeypatch.setattr(projected_neighbours, "BLOCK", 64)
+    monkeypatch.setattr(projected_neighbours, "ASKED", 7)
+    got.append(sorted(map(tuple, projected_neighbours.nearest(rows, asked, 5, chance=1 - 1e-12).collect())))
+    assert [r[:3] for r in got[0]] == [r[:3] for r in got[1]] and len(got[0]) == 5 * asked.count()
+
+
 def test_warc(spark):
     pages = spark.createDataFrame([(3, "http://b.org/x", "same"), (1, "http://a.org/\r\n\r\n", "same"), (2, None, None), (5, "http://a.org", ""), (None, "http://c.org", "same"), (6, "http://A.org/y", "\r\n\r\nWARC/1.1\r\n")], "page_id long, url string, html string")
     got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()}
