@@ -269,9 +269,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, m: int = M, chan
         data = data.select("cell", "salt", "ask", "kind", "vec_id", "embedding", "bound")
         return data.unionByName(met).groupBy("cell", "salt", "ask").applyInArrow(_search(project, k, quantile), _FOUND)
 
-    first = stored(_best(searched(asked.withColumn("bound", F.lit(4.0)), True), k), "near")
-    # The k-th best of the home cell bounds what other cells have to beat; 4 is the largest squared distance.
+    first = stored(_best(searched(asked.withColumn("bound", F.lit(float("inf"))), True), k), "near")
+    # The k-th best of the home cell bounds what other cells have to beat; without k candidates nothing does.
     bounds = first.where(F.col("rank") == k).select(F.col("query_id").alias("q"), F.greatest(F.lit(0.0), 2 - 2 * F.col("score")).alias("b"))
-    bounded = asked.join(bounds, asked.vec_id == bounds.q, "left").withColumn("bound", F.coalesce("b", F.lit(4.0)))
+    bounded = asked.join(bounds, asked.vec_id == bounds.q, "left").withColumn("bound", F.coalesce("b", F.lit(float("inf"))))
     more = searched(bounded, False)
     return _best(first.select("query_id", "vec_id", "score").unionByName(more), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -233,6 +233,14 @@ def test_neighbours_in_many_blocks_and_asks(spark, small, monkeypatch):
     assert [r[:3] for r in got[0]] == [r[:3] for r in got[1]] and len(got[0]) == 5 * asked.count()
 
 
+def test_neighbours_of_few_vectors(spark):
+    # The direction that projections stretch most: an opposite vector is far beyond any test on the bound 4.
+    v = np.linalg.svd(projected_neighbours.directions(64))[0][:, 0]
+    rows = spark.createDataFrame([(1, v.tolist()), (2, (-v).tolist()), (3, (2 * v).tolist())], "vec_id long, embedding array<float>")
+    got = {(r.query_id, r.rank): r.vec_id for r in projected_neighbours.nearest(rows, rows, 5).collect()}
+    assert got == {(1, 1): 3, (1, 2): 2, (2, 1): 1, (2, 2): 3, (3, 1): 1, (3, 2): 2}
+
+
 def test_warc(spark):
     pages = spark.createDataFrame([(3, "http://b.org/x", "same"), (1, "http://a.org/\r\n\r\n", "same"), (2, None, None), (5, "http://a.org", ""), (None, "http://c.org", "same"), (6, "http://A.org/y", "\r\n\r\nWARC/1.1\r\n")], "page_id long, url string, html string")
     got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()}
