@@ -17,9 +17,11 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a new one under /tmp where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a local master, as in tests, gets a new one under /tmp where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share: intermediate tables are written there")
         at = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -33,7 +35,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it again. Unlike cached blocks, the files outlive executors.
 
     The write's own shuffle files go as soon as it ends, so that steps that
-    follow one another don't add up on the executors' disks.
+    follow one another don't add up on the executors' disks. `release` deletes
+    the table.
     """
     conf = df.sparkSession.conf
     before = conf.get(_CLEANUP, "false")
@@ -43,7 +46,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         conf.set(_CLEANUP, before)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete stored tables whose last reader has been stored itself."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import release, stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -18,18 +18,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     null end are ignored; self-edges keep a node as its own component.
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct()
-    pairs = stored(pairs, "edges")
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    pairs = pairs.where("u > v")
+    edges = stars = stored(pairs, "edges")
+    nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     state = None
-    while True:
-        pairs = stored(_small_star(_large_star(pairs)), "stars")
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    while not edges.isEmpty():
+        done, stars = stars, stored(_small_star(_large_star(stars.where("u > v"))), "stars")
+        if done is not edges:
+            release(done)
+        now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now
-    roots = pairs.groupBy("u").agg(F.min("v").alias("v"))
-    return nodes.join(roots, nodes.node == roots.u, "left").select("node", F.coalesce("v", "node").alias("component"))
+    roots = stars.groupBy("u").agg(F.min("v").alias("v"))
+    classes = stored(nodes.join(roots, nodes.node == roots.u, "left").select("node", F.coalesce("v", "node").alias("component")), "components")
+    release(edges, stars)
+    return classes
 
 
 def _large_star(pairs: DataFrame) -> DataFrame:

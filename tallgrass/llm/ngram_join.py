@@ -1,53 +1,56 @@
 """Exact Jaccard self-join of documents on word n-grams, as classes of linked documents.
 
 A document's set holds the 64-bit hashes of its distinct n-grams. Two sets
-link when 100 * |A and B| >= percent * |A or B|. The join runs in three steps:
-
-1. Candidate groups. Sizes fall into bands (powers of two). A band divides the
-   hash space into more segments than a linked pair can differ in, so a linked
-   pair has at least one non-empty segment in which both sets are identical;
-   the hash of each segment's content is a key. Batches and then buckets of
-   keys give spanning edges of equal keys, never all pairs, and the connected
-   components of these are groups that no link leaves. Where the guarantee
-   fails for a set (few elements, by chance in too few segments), its
-   prefix tokens are keys as well.
-2. Tiles. A group is sorted by size; only partners within the length filter
-   are compared. Hashed bitmaps bound the overlap from above by bit counts,
-   and pairs that pass are decided by intersecting the sorted arrays. Pairs
-   already joined through others are skipped, as they can't change a class.
-   A group above `tile` documents or TILE_BYTES of text is cut into tiles by
-   size band and salt, linked through pivots. What these leave is found by the
-   keys themselves: members of different classes that share a key are paired,
-   first with the key's smallest member, then all of a key, in tiles. Pairs
-   carry ids and bitmaps; texts are read for those that the bitmaps let pass.
-3. Classes are the components of the links.
-
-Copies of one set within a batch are linked at once and only one goes on.
+link when 100 * |A and B| >= percent * |A or B|. The join runs in four steps:
+
+1. Rarity. Texts are hashed in batches; copies of one set within a batch are
+   folded. A batch's tokens go, packed in 32 bits each, to buckets of the hash
+   space, which count them over all documents and send those that another set
+   has, too, back to their batch with their count. A token that many sets of
+   one batch share is sent once, with its number.
+2. Prefixes. In the order (count, token) a set's first n - ceil(n * percent /
+   100) + 1 tokens hold one that any linked set has among its own first. Tokens
+   that no other set has come first and are not posted, so that most sets have
+   no posting at all.
+3. Tiles. The sets of a token are sorted by size and only sizes that can link
+   are compared; a token of many sets is cut into pairs of salts of about `tile`
+   sets. Hashed bitmaps bound the overlap from above by bit counts, pairs that
+   pass are decided by intersecting the sorted arrays. Before tiles form, the
+   sets of a token meet one of them, a few times over: in a class of near copies
+   this settles most, and a tile pairs only sets of different classes.
+4. Classes are the components of the links.
+
+Batches are told apart by their content, so docs must come from a scan, whose
+rows have a fixed order, and not from a shuffle.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, Words, chunks, mix, normalised, paired, partitions, stored, texts_of, window_hashes
+from .common import CHUNK, Words, chunks, mix, normalised, paired, release, stored, texts_of, window_hashes
 from .components import components
 
-BUCKETS_EACH = 2
+#: Bytes of text whose tokens one bucket counts, on average.
+BUCKET_BYTES = 24 << 20
+#: Sets of one batch above which a token goes to its bucket once, with its number.
+SHARED = 8
 TILE = 2000
-#: Bytes of text that a tile holds on average, at most.
-TILE_BYTES = 32 << 20
-PIVOTS = 8
-#: 64-bit words of the bitmaps that pairs of a large group carry.
+#: Times that the sets of a token meet one of them before they are compared in tiles.
+MEETINGS = 3
+#: Bytes of hashes that one task of the exact check holds, on average.
+SLOT_BYTES = 24 << 20
+#: 64-bit words of the bitmaps.
 SKETCH = 32
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-MAYBE, LINK, SIZE = 0, 1, 2
-_PAIRS = "kind int, a long, b long"
+NODES, TOKENS = 0, 1
+_NODE_ARRAYS = [np.int64, np.bool_, np.int32, np.uint64, np.uint64, np.int32, np.int32, np.int32]
+_TOKEN_ARRAYS = [np.uint32, np.int32, np.int32]
+_COUNTED_ARRAYS = [np.uint32, np.int32, np.int32]
 
 
 def shingle_sets(texts: list[bytes | None], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,84 +75,12 @@ def shingle_sets(texts: list[bytes | None], k: int) -> tuple[np.ndarray, np.ndar
     return hashes, np.searchsorted(text, np.arange(len(texts) + 1))
 
 
-def labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest node of the component of each of n nodes."""
-    lab = np.arange(n)
-    while True:
-        x, y = lab[a], lab[b]
-        odd = x != y
-        if not odd.any():
-            return lab
-        low = np.minimum(x, y)[odd]
-        np.minimum.at(lab, x[odd], low)
-        np.minimum.at(lab, y[odd], low)
-        while (lab != (up := lab[lab])).any():
-            lab = up
-
-
 def _ranges(sizes: np.ndarray) -> np.ndarray:
     """0 .. size - 1 for each size, in one array."""
     ends = np.cumsum(sizes)
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
 
 
-class Keys:
-    """Candidate keys of sets for one threshold."""
-
-    def __init__(self, percent: int):
-        self.percent = percent
-        t = percent / 100
-        self.most = (1 - t) / (1 + t) * (1 + 1 / t)  # elements in which a linked pair differs, as a share of the one's size
-        self.share = 1.17 * self.most
-
-    def segments(self, band: int) -> int:
-        return max(1, math.ceil(self.share * (2 << band)))
-
-    def of(self, hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(set index, key) pairs."""
-        size = np.diff(offsets)
-        full = np.flatnonzero(size)
-        band = np.frexp(size[full].astype(float))[1] - 1
-        low = np.ldexp(1.0, band) / (self.percent / 100) >= size[full]
-        sets = np.append(full, full[low & (band > 0)])
-        bands = np.append(band, band[low & (band > 0)] - 1)
-        own, keys = [], []
-        for j in np.unique(bands).tolist():
-            ids = sets[bands == j]
-            n, s = size[ids], self.segments(j)
-            h = hashes[np.repeat(offsets[ids], n) + _ranges(n)]
-            salted = mix(h ^ np.uint64(j + 1))
-            cell = np.repeat(np.arange(len(ids)) * s, n) + (salted % np.uint64(s)).astype(np.int64)
-            total = np.zeros(len(ids) * s, dtype=np.uint64)
-            np.add.at(total, cell, mix(salted + np.uint64(7)))
-            some = np.flatnonzero(np.bincount(cell, minlength=len(total)))
-            own.append(ids[some // s])
-            keys.append(paired(total[some], (some % s).astype(np.uint64) + np.uint64(j << 40)))
-            filled = np.bincount(some // s, minlength=len(ids))
-            weak = np.flatnonzero(filled <= np.floor(self.most * n + 1e-9))
-            if len(weak):
-                p = n[weak] - -(-self.percent * n[weak] // 100) + 1
-                own.append(np.repeat(ids[weak], p))
-                keys.append(paired(hashes[np.repeat(offsets[ids[weak]], p) + _ranges(p)], np.full(int(p.sum()), (j << 40) + (1 << 39), dtype=np.uint64)))
-        none = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
-        return np.concatenate(own or none[0]), np.concatenate(keys or none[1])
-
-
-def _chain(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sort by key; edges between neighbours of equal key, and the places of each key's first."""
-    order = np.argsort(keys, kind="stable")
-    keys, nodes = keys[order], nodes[order]
-    same = keys[1:] == keys[:-1]
-    return nodes[:-1][same], nodes[1:][same], order[np.append(True, ~same)] if len(order) else order
-
-
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of edges between ids, as (id, smallest id of its component)."""
-    ids, place = np.unique(np.append(a, b), return_inverse=True)
-    root = ids[labels(len(ids), place[: len(a)], place[len(a) :])] if len(ids) else ids
-    return ids[root != ids], root[root != ids]
-
-
 def _blob(*arrays: np.ndarray) -> bytes:
     head = np.array([len(arrays), *(len(x) for x in arrays)], dtype=np.int64).tobytes()
     return zstandard.ZstdCompressor(level=1).compress(head + b"".join(x.tobytes() for x in arrays))
@@ -165,47 +96,62 @@ def _arrays(blob: bytes, kinds: list) -> list[np.ndarray]:
     return out
 
 
-_KEY_ARRAYS = [np.uint32, np.uint16, np.int32, np.int64]
-_SIDE_ARRAYS = [np.int8, np.int64, np.int64, np.bool_]
+def _sets(texts: list, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """shingle_sets of many texts, in chunks."""
+    hashes, offsets, at, size = [], [np.zeros(1, np.int64)], 0, 0
+    held: list = []
+    for n, text in enumerate(texts):
+        held.append(text)
+        size += len(text) if text else 0
+        if size >= CHUNK or n + 1 == len(texts):
+            h, o = shingle_sets(held, k)
+            hashes.append(h), offsets.append(o[1:] + at)
+            at, held, size = at + len(h), [], 0
+    return np.concatenate(hashes or [np.empty(0, np.uint64)]), np.concatenate(offsets)
+
+
+def _distinct_copies(doc: np.ndarray, live: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+    """Of the rows `live`, that of the smallest doc_id of each set."""
+    order = live[np.lexsort((doc[live], k2[live], k1[live]))]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])
+    return np.sort(order[new])
 
 
-def _keys(k: int, percent: int, buckets: int):
-    """Batches of (doc_id, text) to packed keys by bucket; sizes, in-batch links and edges go under bucket -1 - n."""
-    scheme = Keys(percent)
+def _packed(k: int, buckets: int):
+    """Batches of (doc_id, text) to (part, batch, blob): the batch's sets under a negative part, its tokens under their buckets."""
 
     def emit(ids: list, texts: list):
-        hashes, offsets = shingle_sets(texts, k)
+        hashes, offsets = _sets(texts, k)
         size = np.diff(offsets)
         known = np.array([i is not None for i in ids], dtype=bool)
         doc = np.array([i or 0 for i in ids], dtype=np.int64)
-        side = [(SIZE, doc, size, known)]
-        live = np.flatnonzero(known & (size > 0))
-        sums = [np.zeros(len(ids), dtype=np.uint64) for _ in range(2)]
         owner = np.repeat(np.arange(len(ids)), size)
-        for seed, total in enumerate(sums):
-            np.add.at(total, owner, mix(hashes ^ np.uint64(0xA5A5 + seed)))
-        order = live[np.lexsort((doc[live], sums[1][live], sums[0][live]))]
-        copy = np.zeros(len(order), dtype=bool)
-        copy[1:] = (sums[0][order][1:] == sums[0][order][:-1]) & (sums[1][order][1:] == sums[1][order][:-1])
-        first = order[np.maximum.accumulate(np.where(copy, 0, np.arange(len(order))))] if len(order) else order
-        side.append((LINK, doc[order[copy]], doc[first[copy]], None))
-        only = np.sort(order[~copy])
-        n = size[only]
-        own, key = scheme.of(hashes[np.repeat(offsets[only], n) + _ranges(n)], np.append(0, np.cumsum(n)))
-        own = only[own]
-        a, b, kept = _chain(key, own)
-        x, y = _forest(doc[a], doc[b])
-        side.append((MAYBE, x, y, None))
-        own, key = own[kept], key[kept]
-        out = [(-1 - int(doc[0] % buckets), _blob(*_side(side)))]
-        bucket = (key % np.uint64(buckets)).astype(np.int64)
-        by = np.lexsort((own, bucket))
-        own, key, bucket = own[by], key[by] // np.uint64(buckets), bucket[by]
+        k1, k2 = (np.zeros(len(ids), dtype=np.uint64) for _ in range(2))
+        for seed, total in ((0xA5A5, k1), (0xA5A6, k2)):
+            np.add.at(total, owner, mix(hashes ^ np.uint64(seed)))
+        only = _distinct_copies(doc, np.flatnonzero(known & (size > 0)), k1, k2)
+        batch = int((mix(doc.view(np.uint64) + k1) + k2 + np.uint64(1)).sum(keepdims=True).view(np.int64)[0])
+        token = hashes[np.repeat(offsets[only], size[only]) + _ranges(size[only])]
+        node = np.repeat(np.arange(len(only), dtype=np.int32), size[only])
+        order = np.argsort(token, kind="stable")
+        token, node = token[order], node[order]
+        edge = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token)) if len(token) else np.zeros(1, np.int64)
+        times = np.diff(edge)
+        often = np.repeat(times > SHARED, times)
+        many = np.flatnonzero(times > SHARED)
+        side = _blob(doc, known, size.astype(np.int32), k1, k2, only.astype(np.int32), times[many].astype(np.int32), node[often])
+        token = np.append(token[~often], token[edge[many]])
+        node = np.append(node[~often], len(only) + np.arange(len(many), dtype=np.int32))
+        times = np.append(np.ones(len(node) - len(many), np.int32), times[many].astype(np.int32))
+        bucket = ((token >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        order = np.lexsort((node, bucket))
+        token, node, times, bucket = (token[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), node[order], times[order], bucket[order]
+        out = [(-1 - abs(batch // 2), batch, side)]
         edge = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)).tolist() if len(bucket) else [0]
         for s, t in zip(edge[:-1], edge[1:], strict=True):
-            near, local = np.unique(own[s:t], return_inverse=True)
-            out.append((int(bucket[s]), _blob((key[s:t] & np.uint64(0xFFFFFFFF)).astype(np.uint32), ((key[s:t] >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16), np.diff(local, prepend=0).astype(np.int32), doc[near])))
-        return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], names=["bucket", "blob"])
+            out.append((int(bucket[s]), batch, _blob(token[s:t], np.diff(node[s:t], prepend=0).astype(np.int32), times[s:t])))
+        return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.binary())], names=["part", "batch", "blob"])
 
     def run(batches):
         ids, texts, size = [], [], 0
@@ -213,7 +159,7 @@ def _keys(k: int, percent: int, buckets: int):
             for i, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
                 ids.append(i), texts.append(text)
                 size += len(text) if text else 0
-                if size >= 4 * CHUNK:
+                if size >= 2 * CHUNK:
                     yield emit(ids, texts)
                     ids, texts, size = [], [], 0
         if ids:
@@ -222,26 +168,72 @@ def _keys(k: int, percent: int, buckets: int):
     return run
 
 
-def _side(parts: list) -> tuple:
-    kind = np.concatenate([np.full(len(a), kind, np.int8) for kind, a, _, _ in parts])
-    known = np.concatenate([np.ones(len(a), bool) if known is None else known for _, a, _, known in parts])
-    return kind, np.concatenate([a for _, a, _, _ in parts]).astype(np.int64), np.concatenate([b for _, _, b, _ in parts]).astype(np.int64), known
+_PACKED = "kind int, batch long, bucket int, blob binary"
 
 
-def _edges(key, table):
-    """Spanning edges of the equal keys in a bucket; what the batches settled passes."""
-    blobs = table.column("blob").to_pylist()
+def _counted(key, table):
+    """Of a bucket's tokens those that two or more sets have, with their count, for each batch; a batch's sets pass."""
+    batch, blobs = table.column("batch"), table.column("blob").to_pylist()
     if key[0].as_py() < 0:
-        kind, a, b, known = (np.concatenate(x) for x in zip(*(_arrays(x, _SIDE_ARRAYS) for x in blobs), strict=True))
-        return pa.table([pa.array(kind.astype(np.int32)), pa.array(a, mask=~known), pa.array(b)], names=["kind", "a", "b"])
-    keys, nodes = [], []
-    for blob in blobs:
-        low, high, step, doc = _arrays(blob, _KEY_ARRAYS)
-        keys.append(low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32))
-        nodes.append(doc[np.cumsum(step)])
-    a, b, _ = _chain(np.concatenate(keys), np.concatenate(nodes))
-    a, b = _forest(a, b)
-    return pa.table([pa.array(np.full(len(a), MAYBE, np.int32)), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
+        n = len(blobs)
+        return pa.table([pa.array([NODES] * n, pa.int32()), batch, pa.array([-1] * n, pa.int32()), table.column("blob")], names=["kind", "batch", "bucket", "blob"])
+    parts = [_arrays(x, _TOKEN_ARRAYS) for x in blobs]
+    token, times = (np.concatenate([p[i] for p in parts]) for i in (0, 2))
+    order = np.argsort(token, kind="stable")
+    first = np.flatnonzero(np.append(True, token[order][1:] != token[order][:-1]))
+    total = np.add.reduceat(times[order].astype(np.int64), first)
+    count = np.empty(len(token), dtype=np.int32)
+    count[order] = np.repeat(np.minimum(total, 0x7FFFFFFF), np.diff(np.append(first, len(token))))
+    out, at = [], 0
+    for low, step, _ in parts:
+        here = count[at : at + len(low)]
+        keep = here > 1
+        out.append(_blob(low[keep], np.cumsum(step, dtype=np.int32)[keep], here[keep]) if keep.any() else None)
+        at += len(low)
+    n = len(out)
+    found = pa.table([pa.array([TOKENS] * n, pa.int32()), batch, pa.array([key[0].as_py()] * n, pa.int32()), pa.array(out, pa.binary())], names=["kind", "batch", "bucket", "blob"])
+    return found.filter(found.column("blob").is_valid())
+
+
+def _prefixes(percent: int):
+    """A batch's sets and shared tokens to (token, doc_id, k1) of each set's prefix."""
+
+    def run(key, table):
+        kinds = table.column("kind").to_numpy()
+        blobs, bucket = table.column("blob").to_pylist(), table.column("bucket").to_numpy()
+        sides = [b for b, kind in zip(blobs, kinds, strict=True) if kind == NODES]
+        doc, _, size, k1, _, only, times, members = _arrays(sides[0], _NODE_ARRAYS)
+        tokens, nodes, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        starts = np.cumsum(times) - times
+        for at in np.flatnonzero(kinds == TOKENS).tolist():
+            low, node, count = _arrays(blobs[at], _COUNTED_ARRAYS)
+            token = low.astype(np.int64) | np.int64(int(bucket[at]) << 32)
+            one = node < len(only)
+            group = node[~one] - len(only)
+            each = times[group]
+            tokens += [token[one], np.repeat(token[~one], each)]
+            counts += [count[one], np.repeat(count[~one], each)]
+            nodes += [node[one], members[np.repeat(starts[group], each) + _ranges(each)]]
+        token, node, count = (np.concatenate(x) for x in (tokens, nodes, counts))
+        order = np.lexsort((token, count, node))[:: len(sides)]  # equal batches are one, of which every entry came as often
+        token, node = token[order], node[order]
+        n = size[only].astype(np.int64)
+        prefix = n - -(-percent * n // 100) + 1
+        own = np.bincount(node, minlength=len(only))
+        rank = _ranges(own)
+        keep = rank < (prefix - (n - own))[node]
+        at = only[node[keep]]
+        return pa.table([pa.array(token[keep]), pa.array(doc[at]), pa.array(k1[at].view(np.int64))], names=["token", "doc_id", "k1"])
+
+    return run
+
+
+def _rows(batches):
+    """Blobs of sets to (doc_id, n, k1, k2) of every row."""
+    for batch in batches:
+        for blob in batch.column("blob").to_pylist():
+            doc, known, size, k1, k2, *_ = _arrays(blob, _NODE_ARRAYS)
+            yield pa.RecordBatch.from_arrays([pa.array(doc, mask=~known), pa.array(size), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))], names=["doc_id", "n", "k1", "k2"])
 
 
 def bitmaps(hashes: np.ndarray, offsets: np.ndarray, words: int) -> np.ndarray:
@@ -254,87 +246,6 @@ def bitmaps(hashes: np.ndarray, offsets: np.ndarray, words: int) -> np.ndarray:
     return out.reshape(n, words)
 
 
-def tile_links(hashes: np.ndarray, offsets: np.ndarray, percent: int, comp: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that join the sets of one tile into their classes: (i, j) of every merge. comp: classes known before."""
-    size = np.diff(offsets)
-    order = np.argsort(size, kind="stable")
-    order = order[size[order] > 0]
-    n = size[order]
-    comp = np.arange(len(order)) if comp is None else np.unique(comp[order], return_inverse=True)[1]
-    words = int(min(128, max(1, 2 ** math.ceil(math.log2(max(1, 2 * n.max(initial=1) / 64))))))
-    bits = bitmaps(hashes, offsets, words)[order]
-    lower = np.searchsorted(n, -(-percent * n // 100))
-    found = []
-    for x in range(1, len(order)):
-        near = np.arange(lower[x], x)
-        near = near[comp[near] != comp[x]]
-        if not len(near):
-            continue
-        differ = np.bitwise_count(bits[near] ^ bits[x]).sum(axis=1, dtype=np.int64)
-        near = near[(100 + percent) * differ <= (100 - percent) * (n[near] + n[x])]
-        mine = hashes[offsets[order[x]] : offsets[order[x] + 1]]
-        while len(near):
-            y, near = int(near[-1]), near[:-1]
-            common = len(np.intersect1d(mine, hashes[offsets[order[y]] : offsets[order[y] + 1]], assume_unique=True))
-            if 100 * common >= percent * (int(n[x]) + int(n[y]) - common):
-                found.append((int(order[x]), int(order[y])))
-                comp[comp == comp[y]] = comp[x]
-                near = near[comp[near] != comp[x]]
-    return found
-
-
-def _tile(k: int, percent: int):
-    def run(key, table):
-        ids = table.column("doc_id").to_numpy()
-        hashes, offsets = _sets(texts_of(table.column("text")), k)
-        known = table.column("comp").to_numpy()
-        found = tile_links(hashes, offsets, percent, known)
-        a, b = (np.array([f[i] for f in found], dtype=np.int64) for i in (0, 1))
-        return pa.table([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
-
-    return run
-
-
-def _sets(texts: list, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """shingle_sets of many texts, in chunks."""
-    hashes, offsets, at, size = [], [np.zeros(1, np.int64)], 0, 0
-    held: list = []
-    for n, text in enumerate(texts):
-        held.append(text)
-        size += len(text) if text else 0
-        if size >= CHUNK or n + 1 == len(texts):
-            h, o = shingle_sets(held, k)
-            hashes.append(h), offsets.append(o[1:] + at)
-            at, held, size = at + len(h), [], 0
-    return np.concatenate(hashes or [np.empty(0, np.uint64)]), np.concatenate(offsets)
-
-
-def _banded(percent: int, k: int):
-    """Adds the size band of each text's set, so that linked sets are in the same or adjacent bands."""
-
-    def run(batches):
-        for batch in batches:
-            _, offsets = _sets(texts_of(batch.column("text")), k)
-            band = np.floor(np.log(np.maximum(np.diff(offsets), 1)) / math.log(100 / percent) + 1e-9).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(band)], names=[*batch.schema.names, "band"])
-
-    return run
-
-
-def _keyed(k: int, percent: int):
-    """(doc_id, text) to (key, doc_id) for each candidate key."""
-    scheme = Keys(percent)
-
-    def run(batches):
-        for batch in batches:
-            ids, texts = batch.column("doc_id").to_numpy(), texts_of(batch.column("text"))
-            for s, t in chunks(texts):
-                own, key = scheme.of(*shingle_sets(texts[s:t], k))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[s:t][own])], names=["key", "doc_id"])
-
-    return run
-
-
 def _sketched(k: int):
     """(doc_id, text) to (doc_id, n, sketch): the size of the set and its bitmap."""
 
@@ -360,139 +271,174 @@ def _may_link(percent: int, n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.n
 
 
 def _near(percent: int):
-    """Of rows (a, n, sketch, b, m, other) the pairs (a, b) that can link."""
+    """Of rows (a, b, ca, cb, n, sketch, m, other) the pairs that can link."""
 
     def run(batches):
         for batch in batches:
             n, m = (batch.column(x).to_numpy().astype(np.int64) for x in ("n", "m"))
             keep = pa.array(_may_link(percent, n, m, _bits(batch.column("sketch")), _bits(batch.column("other"))))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+            columns = [*(batch.column(x) for x in ("a", "b", "ca", "cb")), pa.array(n + m)]
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], names=["a", "b", "ca", "cb", "elements"])
 
     return run
 
 
-def _pairs_of_keys(percent: int):
-    """Of the members of keys in one slot, the pairs (a, b) of a key and of different classes that can link; between two salts, only those across."""
+def _pairs_of_tokens(percent: int):
+    """Of the sets of the tokens in one slot, the pairs of a token and of different classes that can link; between two salts, only those across."""
 
     def run(slot, table):
-        key, doc, comp, salt, n = (table.column(x).to_numpy() for x in ("key", "doc_id", "comp", "salt", "n"))
-        order = np.lexsort((n, key))
-        key, doc, comp, salt, n = key[order], doc[order], comp[order], salt[order], n[order].astype(np.int64)
+        token, doc, c, salt, n = (table.column(x).to_numpy() for x in ("token", "doc_id", "c", "salt", "n"))
+        order = np.lexsort((n, token))
+        token, doc, c, salt, n = token[order], doc[order], c[order], salt[order], n[order].astype(np.int64)
         bits = _bits(table.column("sketch"))[order]
         across = slot[1].as_py() != slot[2].as_py()
-        edge = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)).tolist()
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        edge = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token)).tolist()
+        one, two = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for s, t in zip(edge[:-1], edge[1:], strict=True):
             for x in range(s + 1, t):
                 low = s + int(np.searchsorted(n[s:x], -(-percent * n[x] // 100)))
-                near = low + np.flatnonzero((comp[low:x] != comp[x]) & ((salt[low:x] != salt[x]) | (not across)))
+                near = low + np.flatnonzero((c[low:x] != c[x]) & ((salt[low:x] != salt[x]) | (not across)))
                 if len(near):
                     near = near[_may_link(percent, n[near], n[x], bits[near], bits[x])]
-                    a.append(np.full(len(near), doc[x])), b.append(doc[near])
-        return pa.table([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                    one.append(np.full(len(near), x)), two.append(near)
+        one, two = np.unique(np.stack([np.concatenate(one), np.concatenate(two)]), axis=1)
+        return pa.table([pa.array(x) for x in (doc[one], doc[two], c[one], c[two], n[one] + n[two])], names=["a", "b", "ca", "cb", "elements"])
 
     return run
 
 
 def _decided(k: int, percent: int):
-    """Of rows (a, b, text, other) the pairs (a, b) that link."""
+    """Pairs (a, b, ca, cb) and texts (doc_id, text) of one slot to the links (a, b) that join classes ca and cb; pairs of classes already joined are skipped."""
 
-    def run(batches):
-        for batch in batches:
-            one, two = texts_of(batch.column("text")), texts_of(batch.column("other"))
-            keep = np.zeros(len(one), dtype=bool)
-            for s, t in chunks([(x or b"") + (y or b"") for x, y in zip(one, two, strict=True)]):
-                (h, o), (g, p) = shingle_sets(one[s:t], k), shingle_sets(two[s:t], k)
-                for i in range(t - s):
-                    common = len(np.intersect1d(h[o[i] : o[i + 1]], g[p[i] : p[i + 1]], assume_unique=True))
-                    keep[s + i] = common > 0 and 100 * common >= percent * (int(o[i + 1] - o[i] + p[i + 1] - p[i]) - common)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
+    def run(key, table):
+        pairs = table.filter(table.column("b").is_valid())
+        rows = table.filter(table.column("b").is_null())
+        ids = rows.column("a").to_numpy()
+        hashes, offsets = _sets(texts_of(rows.column("text")), k)
+        order = np.argsort(ids, kind="stable")
+        a, b = pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
+        classes, place = np.unique(np.append(pairs.column("ca").to_numpy(), pairs.column("cb").to_numpy()), return_inverse=True)
+        ca, cb = place[: len(a)], place[len(a) :]
+        root = list(range(len(classes)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        sets_of = lambda i: [hashes[offsets[j] : offsets[j + 1]] for j in order[np.searchsorted(ids, i, "left", order) : np.searchsorted(ids, i, "right", order)]]
+        found = []
+        for i in np.lexsort((b, a)).tolist():
+            x, y = find(int(ca[i])), find(int(cb[i]))
+            if x != y and any(_links(s, t, percent) for s in sets_of(a[i]) for t in sets_of(b[i])):
+                found.append(i)
+                root[max(x, y)] = min(x, y)
+        return pa.table([pa.array(a[found]), pa.array(b[found])], names=["a", "b"])
 
     return run
 
 
-def near_classes(docs: DataFrame, k: int = 5, percent: int = 80, tile: int = TILE) -> DataFrame:
+def _links(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(s, t, assume_unique=True))
+    return common > 0 and 100 * common >= percent * (len(s) + len(t) - common)
+
+
+def near_classes(docs: DataFrame, k: int = 5, percent: int = 80, tile: int = TILE, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links, the row's own included).
 
     Needs doc_id and text. A null or wordless text has an empty set and links
     with nothing; rows of one doc_id are one node; a row with a null doc_id
     keeps its size and has a null component_id.
     """
-    spark = docs.sparkSession
-    buckets = BUCKETS_EACH * partitions(spark)
     rows = docs.select("doc_id", "text")
-    moved = rows.mapInArrow(_keys(k, percent, buckets), "bucket int, blob binary").groupBy("bucket")
-    pairs = stored(moved.applyInArrow(_edges, _PAIRS), "pairs")
-    links = _verified(rows, components(pairs.where(F.col("kind") == MAYBE)), pairs.where(F.col("kind") == LINK).select("a", "b"), k, percent, tile)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    moved = rows.mapInArrow(_packed(k, 1 + size // bucket_bytes), "part long, batch long, blob binary").groupBy("part")
+    packed = stored(moved.applyInArrow(_counted, _PACKED), "packed")
+    sets = stored(packed.where(F.col("kind") == NODES).mapInArrow(_rows, "doc_id long, n int, k1 long, k2 long"), "sets")
+    prefixes = stored(packed.groupBy("batch").applyInArrow(_prefixes(percent), "token long, doc_id long, k1 long"), "prefixes")
+    release(packed)
+    same = ["k1", "k2", "n"]
+    leaders = sets.where("n > 0").groupBy(same).agg(F.min("doc_id").alias("leader"))
+    copies = stored(sets.join(leaders, same).where("doc_id != leader").select("doc_id", "leader", "k1").distinct(), "copies")
+    own = prefixes.join(copies, ["doc_id", "k1"], "left_anti").select("token", "doc_id").distinct()
+    own = stored(own, "own")
+    many = own.groupBy("token").count().where("count > 1").select("token")
+    postings = stored(own.join(many, "token", "left_semi"), "postings")
+    release(prefixes, own)
+    links = _links_of(rows, postings, copies, k, percent, tile)
+    release(copies, postings)
     classes = components(links)
-    sizes = pairs.where(F.col("kind") == SIZE).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
-    return sizes.join(classes, sizes.doc_id == classes.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    release(links)
+    found = sets.join(classes, sets.doc_id == classes.node, "left")
+    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def representatives(docs: DataFrame, k: int = 5, percent: int = 80, tile: int = TILE) -> DataFrame:
     """docs with one document of each class, that of the smallest doc_id; its rows, if repeated, and rows with a null doc_id stay."""
     classes = near_classes(docs, k, percent, tile)
-    later = classes.where("component_id < doc_id").select(F.col("doc_id").alias("__later")).distinct()
-    return docs.join(later, docs.doc_id == later["__later"], "left_anti").select(*docs.columns)
-
-
-def _verified(rows: DataFrame, groups: DataFrame, certain: DataFrame, k: int, percent: int, tile: int) -> DataFrame:
-    """The links (a, b) within candidate groups, and the certain ones."""
-    groups = stored(groups.select(F.col("node").alias("doc_id"), F.col("component").alias("grp")), "groups")
-    check = lambda tiles: tiles.groupBy("grp", "band", "salt").applyInArrow(_tile(k, percent), "a long, b long")
-    # Stored once: the steps below read the grouped documents' texts, so that the whole corpus is dealt by doc_id only here.
-    text = stored(rows.join(groups, "doc_id"), "texts")
-    large = text.groupBy("grp").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
-    large = large.withColumn("salts", F.ceil(F.greatest(F.col("n") / tile, F.col("bytes") / TILE_BYTES)).cast("int"))
-    large = stored(large.where("n > 2 AND salts > 1").select("grp", "salts"), "large")
-    if large.isEmpty():
-        whole = text.select("grp", F.lit(0).alias("band"), F.lit(0).alias("salt"), "doc_id", "text", F.col("doc_id").alias("comp"))
-        return certain.union(stored(check(whole), "links"))
-    text = text.join(large, "grp", "left").select("grp", "doc_id", "text", "salts")
-    banded = text.where("salts IS NOT NULL").mapInArrow(_banded(percent, k), "grp long, doc_id long, text string, salts int, band int")
-    banded = stored(banded.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")), "banded")
-    small = text.where("salts IS NULL").select("grp", F.lit(0).alias("band"), F.lit(0).alias("salt"), "doc_id", "text", F.col("doc_id").alias("comp"))
-    places = banded.select("grp", "band", "salt").distinct()
-    ranked = banded.withColumn("nth", F.row_number().over(Window.partitionBy("grp").orderBy("doc_id"))).where(F.col("nth") <= PIVOTS)
-    pivots = ranked.select("grp", "doc_id", "text").join(places, "grp")
-    members = banded.select("grp", "band", "salt", "doc_id", "text")
-    tiled = members.unionByName(pivots).withColumn("comp", F.col("doc_id"))
-    first = stored(certain.union(check(small)).union(check(tiled)), "links")
-    return _completed(banded.select("doc_id", "text"), first, k, percent, tile)
-
-
-def _completed(members: DataFrame, links: DataFrame, k: int, percent: int, tile: int) -> DataFrame:
-    """links, and those that join members (doc_id, text) of different classes; linked members share a key.
-
-    A key's members meet its smallest first, so that classes that the tiles
-    have cut grow together; after that all members of keys that still hold
-    several classes meet, a hot key in pairs of salts of about `tile` members.
+    later = classes.where("component_id < doc_id").select("doc_id").distinct()
+    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+
+
+def _links_of(rows: DataFrame, postings: DataFrame, copies: DataFrame, k: int, percent: int, tile: int) -> DataFrame:
+    """Links (a, b) that join the sets of each token into their classes, and those of copies, stored.
+
+    A meeting pairs the sets of a token with one of them, another one each
+    time. What is then still of different classes is paired in tiles.
     """
-    every = stored(members.mapInArrow(_keyed(k, percent), "key long, doc_id long"), "every")
-    shared = every.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
-    every = stored(every.join(shared, "key", "left_semi"), "keyed")
+    members = stored(rows.join(postings.select("doc_id").distinct(), "doc_id"), "members")
     sketches = stored(members.mapInArrow(_sketched(k), "doc_id long, n int, sketch binary"), "sketches")
-    second = lambda df, column: df.select(F.col("doc_id").alias("b"), *([F.col("n").alias("m")] if column == "sketch" else []), F.col(column).alias("other"))
-    for whole in (False, True):
-        known = components(links)
-        at = every.join(known, every.doc_id == known.node, "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+    links, parts = copies.select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).where("false"), []
+    for seed in [*range(MEETINGS), None]:
+        classes = components(links)
+        at = postings.join(classes, postings.doc_id == classes.node, "left").select("token", "doc_id", F.coalesce("component", "doc_id").alias("c"))
         at = stored(at, "classed")
-        mixed = at.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.min_by("comp", "doc_id").alias("of"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
-        mixed = mixed.where("low < high" if not whole else "low < high AND size > 2")
-        if whole:
-            mixed = stored(mixed.select("key", "size", F.ceil(F.col("size") / tile).cast("int").alias("salts")), "mixed")
-            slots = max(1, -(-(mixed.where("salts = 1").agg(F.sum("size")).first()[0] or 0) // tile))
-            dealt = at.join(mixed, "key").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
-            dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-            slot = F.when(F.col("salts") > 1, F.col("key")).otherwise(F.pmod("key", F.lit(slots)))
-            dealt = dealt.select(slot.alias("slot"), F.least("salt", "with").alias("i"), F.greatest("salt", "with").alias("j"), "key", "doc_id", "comp", "salt")
-            pairs = dealt.join(sketches, "doc_id").groupBy("slot", "i", "j").applyInArrow(_pairs_of_keys(percent), "a long, b long")
-        else:
-            met = at.join(mixed, "key").where("comp != of").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
-            met = met.join(sketches.withColumnRenamed("doc_id", "a"), "a").join(second(sketches, "sketch"), "b")
-            pairs = met.select("a", "n", "sketch", "b", "m", "other").mapInArrow(_near(percent), "a long, b long")
-        pairs = stored(pairs.distinct(), "candidates")
-        texts = pairs.join(members.withColumnRenamed("doc_id", "a"), "a").join(second(members, "text"), "b")
-        found = texts.select("a", "b", "text", "other").mapInArrow(_decided(k, percent), "a long, b long")
-        links = links.union(stored(found, "links"))
+        mixed = at.groupBy("token").agg(F.count("*").alias("size"), F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.struct(F.xxhash64("doc_id", F.lit(seed or 0)), "doc_id", "c")).alias("met"))
+        mixed = stored(mixed.where("low < high").select("token", "size", "met.doc_id", "met.c"), "mixed")
+        if mixed.isEmpty():
+            release(at, mixed, classes)
+            break
+        pairs = _met(at, mixed, sketches, percent) if seed is not None else _tiled(at, mixed, sketches, percent, tile)
+        pairs = stored(pairs.select("a", "b", "ca", "cb", "elements").distinct(), "pairs")
+        release(at, mixed, classes)
+        found = stored(_decide(pairs, members, k, percent), "found")
+        release(pairs)
+        links, parts = links.union(found), [*parts, found]
+    links = stored(links.union(copies.select("doc_id", "leader")), "links")
+    release(members, sketches, *parts)
     return links
+
+
+def _met(at: DataFrame, mixed: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs of the sets of mixed tokens with the one that all of its token meet."""
+    met = mixed.select("token", F.col("doc_id").alias("b"), F.col("c").alias("cb"))
+    met = at.join(met, "token").where("c != cb").select(F.col("doc_id").alias("a"), "b", F.col("c").alias("ca"), "cb").distinct()
+    other = sketches.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("other"))
+    met = met.join(sketches.withColumnRenamed("doc_id", "a"), "a").join(other, "b")
+    return met.mapInArrow(_near(percent), _PAIR)
+
+
+_PAIR = "a long, b long, ca long, cb long, elements long"
+
+
+def _tiled(at: DataFrame, mixed: DataFrame, sketches: DataFrame, percent: int, tile: int) -> DataFrame:
+    """Pairs of sets of different classes that share a mixed token; the sets of a token above `tile` meet in pairs of salts."""
+    dealt = mixed.select("token", "size", F.ceil(F.col("size") / tile).cast("int").alias("salts"))
+    slots = 1 + (dealt.where("salts = 1").agg(F.sum("size")).first()[0] or 0) // tile
+    dealt = at.join(dealt, "token").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    slot = F.when(F.col("salts") > 1, F.col("token")).otherwise(-1 - F.pmod(F.xxhash64("token"), F.lit(slots)))
+    dealt = dealt.select(slot.alias("slot"), F.least("salt", "with").alias("i"), F.greatest("salt", "with").alias("j"), "token", "doc_id", "c", "salt")
+    return dealt.join(sketches, "doc_id").groupBy("slot", "i", "j").applyInArrow(_pairs_of_tokens(percent), _PAIR)
+
+
+def _decide(pairs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of the pairs whose sets link, but for such as join classes that others have joined. A set's text goes to a slot once, however many pairs it has there."""
+    pairs = pairs.select(*(F.when(F.col("ca") > F.col("cb"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("b", "a"))), F.greatest("ca", "cb").alias("ca"), F.least("ca", "cb").alias("cb"), "elements")
+    slots = 1 + (pairs.agg(F.sum("elements")).first()[0] or 0) * 8 // SLOT_BYTES
+    salts = pairs.groupBy("a").agg(F.ceil(F.sum("elements") * 8 / SLOT_BYTES).alias("salts"))
+    slot = F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("salts"))), F.lit(slots))
+    dealt = stored(pairs.join(salts, "a").select(slot.alias("slot"), "a", "b", "ca", "cb"), "dealt")
+    needed = dealt.select("slot", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = needed.join(members, "doc_id").select("slot", F.col("doc_id").alias("a"), *(F.lit(None).cast("long").alias(x) for x in ("b", "ca", "cb")), "text")
+    return dealt.withColumn("text", F.lit(None).cast("string")).unionByName(texts).groupBy("slot").applyInArrow(_decided(k, percent), "a long, b long")

@@ -31,9 +31,11 @@ def shingles(text, k):
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
 
 
-def test_near_classes(docs, texts):
-    sets = {d: shingles(t, 4) for d, t in texts.items()}
-    root = {d: d for d in sets}
+def classes(texts, k, percent):
+    """Smallest doc_id reachable by links, by comparing all pairs; texts: (doc_id, text) rows."""
+    sets, root = {}, {d: d for d, _ in texts}
+    for d, t in texts:
+        sets.setdefault(d, []).append(shingles(t, k))
 
     def find(x):
         while root[x] != x:
@@ -41,52 +43,52 @@ def test_near_classes(docs, texts):
         return x
 
     for a, b in combinations(sorted(sets), 2):
-        if sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+        if any(x and 100 * len(x & y) >= percent * len(x | y) for x in sets[a] for y in sets[b]):
             x, y = sorted((find(a), find(b)))
             root[y] = x
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_classes(docs, 4, 85).collect()}
-    assert got == {d: (len(sets[d]), find(d)) for d in sets}
-
-
-def test_near_classes_of_a_percolated_group(spark, monkeypatch):
+    return {d: find(d) for d in sets}
+
+
+@pytest.mark.parametrize("parts", [1, 9])
+def test_near_classes(docs, texts, parts, monkeypatch):
+    if parts > 1:  # tokens meet in buckets, are often shared within a batch, and tiles hold two sets
+        monkeypatch.setattr(ngram_join, "SHARED", 2)
+        monkeypatch.setattr(ngram_join, "MEETINGS", 1)
+        docs = docs.repartition(parts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_classes(docs, 4, 85, tile=2 if parts > 1 else 2000, bucket_bytes=50_000).collect()}
+    want = classes(texts.items(), 4, 85)
+    assert got == {d: (len(shingles(t, 4)), want[d]) for d, t in texts.items()}
+    assert len(set(want.values())) < len(want)
+
+
+@pytest.mark.parametrize("meetings", [0, 2])
+def test_near_classes_of_a_hot_group(spark, meetings, monkeypatch):
+    """A third of all documents are near copies, of which only some link; another third share a passage and no more."""
+    monkeypatch.setattr(ngram_join, "MEETINGS", meetings)
+    monkeypatch.setattr(ngram_join, "SHARED", 3)
     rng = np.random.default_rng(5)
-    passage = [f"p{i}" for i in range(12)]
-    rows = []
-    for d in range(0, 400, 2):
-        words = [f"w{d}x{i}" for i in range(60)]
-        at = int(rng.integers(0, 60))
-        words = words[:at] + passage + words[at:]
-        near = [*words[:-1], "other"] if d % 3 == 0 else [*words[:20], "a", *words[21:40], "b", *words[41:]]
-        rows += [(d, " ".join(words)), (d + 1, " ".join(near))]
-    largest, real = spark.sparkContext.accumulator(0), ngram_join._tile
-    most = 60
-
-    def bounded(k, percent):
-        check = real(k, percent)
-
-        def run(key, table):
-            if table.num_rows > most:
-                largest.add(1)
-            return check(key, table)
-
-        return run
-
-    monkeypatch.setattr(ngram_join, "_tile", bounded)
-    sets = {d: shingles(t, 4) for d, t in rows}
-    same = lambda d: 100 * len(sets[d] & sets[d - 1]) >= 85 * len(sets[d] | sets[d - 1])
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    base, passage, rows = [f"b{i}" for i in range(80)], [f"p{i}" for i in range(30)], []
+    for d in range(0, 180, 3):
+        near = list(base)
+        for at in rng.choice(80, int(rng.integers(0, 4)), replace=False):
+            near[at] = f"e{d}x{at}"
+        rows += [(d, " ".join(near)), (d + 1, " ".join(passage + [f"w{d}x{i}" for i in range(60)])), (d + 2, " ".join(f"o{d // 6}x{i}" for i in range(50)) + f" z{d}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = {r.doc_id: r.component_id for r in ngram_join.near_classes(docs, 4, 85, tile=10).collect()}
-    assert got == {d: d - 1 if d % 2 and same(d) else d for d in sets}
-    assert 0 < sum(d != c for d, c in got.items()) < 200
-    assert largest.value == 0
-
-
-def test_pairs_of_a_hot_key(spark):
-    hot = {d: " ".join(["same"] * 4 + [f"g{d // 3}w{i}" for i in range(30)] + [f"d{d}"]) for d in range(90)}
-    members = spark.createDataFrame(list(hot.items()), "doc_id long, text string")
-    links = ngram_join._completed(members, spark.createDataFrame([], "a long, b long"), 4, 85, tile=5).collect()
-    roots = {frozenset((r.a, r.b)) for r in links}
-    assert all(a // 3 == b // 3 for a, b in map(tuple, roots)) and {min(x) // 3 for x in roots} == set(range(30))
+    assert got == classes(rows, 4, 85)
+    assert 5 < sum(got[d] == d for d, _ in rows if d % 3 == 0) < 60
+
+
+def test_near_classes_of_repeated_ids(spark):
+    """Rows of one doc_id are one node; rows without one keep their size; equal rows and other columns change nothing."""
+    one, two = " ".join(f"a{i}" for i in range(20)), " ".join(f"b{i}" for i in range(20))
+    rows = [(1, one), (2, two), (3, one), (3, two), (3, two), (4, f"{two} c"), (None, one), (5, "x y"), (6, "X  y"), (7, "")]
+    docs = spark.createDataFrame([(*r, 1, "n", 2) for r in rows], "doc_id long, text string, n int, token string, component_id int")
+    got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id) for r in ngram_join.near_classes(docs, 4, 85).collect()), key=str)
+    want = {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 7: 7}
+    assert got == sorted(((d or 0, len(shingles(t, 4)), want.get(d)) for d, t in rows), key=str)
+    kept = ngram_join.representatives(docs, 4, 85)
+    assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 5, 7]
 
 
 def test_substrings(docs, texts):
