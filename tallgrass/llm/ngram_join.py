@@ -16,8 +16,9 @@ link when 100 * |A and B| >= percent * |A or B|. The join runs in four steps:
    are compared; a token of many sets is cut into pairs of salts of about `tile`
    sets. Hashed bitmaps bound the overlap from above by bit counts, pairs that
    pass are decided by intersecting the sorted arrays. Before tiles form, the
-   sets of a token meet one of them, a few times over: in a class of near copies
-   this settles most, and a tile pairs only sets of different classes.
+   sets of a token meet the most typical of them, that of the most frequent
+   tokens: of near copies this is the one with the fewest changes, to which the
+   others link. A tile pairs only sets of different classes.
 4. Classes are the components of the links.
 
 Batches are told apart by their content, so docs must come from a scan, whose
@@ -40,8 +41,8 @@ BUCKET_BYTES = 24 << 20
 #: Sets of one batch above which a token goes to its bucket once, with its number.
 SHARED = 8
 TILE = 2000
-#: Times that the sets of a token meet one of them before they are compared in tiles.
-MEETINGS = 3
+#: Times that the sets of a token meet a typical one before they are compared in tiles.
+MEETINGS = 2
 #: Bytes of hashes that one task of the exact check holds, on average.
 SLOT_BYTES = 24 << 20
 #: 64-bit words of the bitmaps.
@@ -196,7 +197,7 @@ def _counted(key, table):
 
 
 def _prefixes(percent: int):
-    """A batch's sets and shared tokens to (token, doc_id, k1) of each set's prefix."""
+    """A batch's sets and shared tokens to (token, doc_id, k1, typical) of each set's prefix; typical: the mean logarithm of its tokens' counts."""
 
     def run(key, table):
         kinds = table.column("kind").to_numpy()
@@ -216,14 +217,15 @@ def _prefixes(percent: int):
             nodes += [node[one], members[np.repeat(starts[group], each) + _ranges(each)]]
         token, node, count = (np.concatenate(x) for x in (tokens, nodes, counts))
         order = np.lexsort((token, count, node))[:: len(sides)]  # equal batches are one, of which every entry came as often
-        token, node = token[order], node[order]
+        token, node, count = token[order], node[order], count[order]
         n = size[only].astype(np.int64)
+        typical = np.bincount(node, np.log2(count), len(only)) / np.maximum(n, 1)
         prefix = n - -(-percent * n // 100) + 1
         own = np.bincount(node, minlength=len(only))
         rank = _ranges(own)
         keep = rank < (prefix - (n - own))[node]
         at = only[node[keep]]
-        return pa.table([pa.array(token[keep]), pa.array(doc[at]), pa.array(k1[at].view(np.int64))], names=["token", "doc_id", "k1"])
+        return pa.table([pa.array(x) for x in (token[keep], doc[at], k1[at].view(np.int64), (1000 * typical[node[keep]]).astype(np.int32))], names=["token", "doc_id", "k1", "typical"])
 
     return run
 
@@ -355,12 +357,12 @@ def near_classes(docs: DataFrame, k: int = 5, percent: int = 80, tile: int = TIL
     moved = rows.mapInArrow(_packed(k, 1 + size // bucket_bytes), "part long, batch long, blob binary").groupBy("part")
     packed = stored(moved.applyInArrow(_counted, _PACKED), "packed")
     sets = stored(packed.where(F.col("kind") == NODES).mapInArrow(_rows, "doc_id long, n int, k1 long, k2 long"), "sets")
-    prefixes = stored(packed.groupBy("batch").applyInArrow(_prefixes(percent), "token long, doc_id long, k1 long"), "prefixes")
+    prefixes = stored(packed.groupBy("batch").applyInArrow(_prefixes(percent), "token long, doc_id long, k1 long, typical int"), "prefixes")
     release(packed)
     same = ["k1", "k2", "n"]
     leaders = sets.where("n > 0").groupBy(same).agg(F.min("doc_id").alias("leader"))
     copies = stored(sets.join(leaders, same).where("doc_id != leader").select("doc_id", "leader", "k1").distinct(), "copies")
-    own = prefixes.join(copies, ["doc_id", "k1"], "left_anti").select("token", "doc_id").distinct()
+    own = prefixes.join(copies, ["doc_id", "k1"], "left_anti").groupBy("token", "doc_id").agg(F.max("typical").alias("typical"))
     own = stored(own, "own")
     many = own.groupBy("token").count().where("count > 1").select("token")
     postings = stored(own.join(many, "token", "left_semi"), "postings")
@@ -383,17 +385,18 @@ def representatives(docs: DataFrame, k: int = 5, percent: int = 80, tile: int =
 def _links_of(rows: DataFrame, postings: DataFrame, copies: DataFrame, k: int, percent: int, tile: int) -> DataFrame:
     """Links (a, b) that join the sets of each token into their classes, and those of copies, stored.
 
-    A meeting pairs the sets of a token with one of them, another one each
-    time. What is then still of different classes is paired in tiles.
+    A meeting pairs the sets of a token with the most typical of them, the
+    second one with the most typical of a quarter of them, another one by each
+    seed. What is then still of different classes is paired in tiles.
     """
     members = stored(rows.join(postings.select("doc_id").distinct(), "doc_id"), "members")
     sketches = stored(members.mapInArrow(_sketched(k), "doc_id long, n int, sketch binary"), "sketches")
     links, parts = copies.select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).where("false"), []
     for seed in [*range(MEETINGS), None]:
         classes = components(links)
-        at = postings.join(classes, postings.doc_id == classes.node, "left").select("token", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+        at = postings.join(classes, postings.doc_id == classes.node, "left").select("token", "doc_id", "typical", F.coalesce("component", "doc_id").alias("c"))
         at = stored(at, "classed")
-        mixed = at.groupBy("token").agg(F.count("*").alias("size"), F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.struct(F.xxhash64("doc_id", F.lit(seed or 0)), "doc_id", "c")).alias("met"))
+        mixed = at.groupBy("token").agg(F.count("*").alias("size"), F.min("c").alias("low"), F.max("c").alias("high"), F.max(F.struct(F.pmod(F.xxhash64("doc_id", F.lit(seed or 0)), F.lit(4)) == 0 if seed else F.lit(True), "typical", -F.col("doc_id"), "doc_id", "c")).alias("met"))
         mixed = stored(mixed.where("low < high").select("token", "size", "met.doc_id", "met.c"), "mixed")
         if mixed.isEmpty():
             release(at, mixed, classes)
@@ -401,7 +404,7 @@ def _links_of(rows: DataFrame, postings: DataFrame, copies: DataFrame, k: int, p
         pairs = _met(at, mixed, sketches, percent) if seed is not None else _tiled(at, mixed, sketches, percent, tile)
         pairs = stored(pairs.select("a", "b", "ca", "cb", "elements").distinct(), "pairs")
         release(at, mixed, classes)
-        found = stored(_decide(pairs, members, k, percent), "found")
+        found = _decide(pairs, members, k, percent)
         release(pairs)
         links, parts = links.union(found), [*parts, found]
     links = stored(links.union(copies.select("doc_id", "leader")), "links")
@@ -433,7 +436,7 @@ def _tiled(at: DataFrame, mixed: DataFrame, sketches: DataFrame, percent: int, t
 
 
 def _decide(pairs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs whose sets link, but for such as join classes that others have joined. A set's text goes to a slot once, however many pairs it has there."""
+    """Those of the pairs whose sets link, stored, but for such as join classes that others have joined. A set's text goes to a slot once, however many pairs it has there."""
     pairs = pairs.select(*(F.when(F.col("ca") > F.col("cb"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("b", "a"))), F.greatest("ca", "cb").alias("ca"), F.least("ca", "cb").alias("cb"), "elements")
     slots = 1 + (pairs.agg(F.sum("elements")).first()[0] or 0) * 8 // SLOT_BYTES
     salts = pairs.groupBy("a").agg(F.ceil(F.sum("elements") * 8 / SLOT_BYTES).alias("salts"))
@@ -441,4 +444,7 @@ def _decide(pairs: DataFrame, members: DataFrame, k: int, percent: int) -> DataF
     dealt = stored(pairs.join(salts, "a").select(slot.alias("slot"), "a", "b", "ca", "cb"), "dealt")
     needed = dealt.select("slot", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = needed.join(members, "doc_id").select("slot", F.col("doc_id").alias("a"), *(F.lit(None).cast("long").alias(x) for x in ("b", "ca", "cb")), "text")
-    return dealt.withColumn("text", F.lit(None).cast("string")).unionByName(texts).groupBy("slot").applyInArrow(_decided(k, percent), "a long, b long")
+    every = dealt.withColumn("text", F.lit(None).cast("string")).unionByName(texts)
+    found = stored(every.groupBy("slot").applyInArrow(_decided(k, percent), "a long, b long"), "found")
+    release(dealt)
+    return found
