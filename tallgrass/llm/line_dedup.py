@@ -2,23 +2,27 @@
 
 A line's set holds its distinct `gram`-word shingles (a shorter line's only one
 is the whole line). Lines match when the Jaccard similarity of their sets is at
-least `percent` / 100. A line goes when a line earlier in (doc_id, line number)
-matches it; lines are judged on the input, not on what is left.
-
-Equal sets are settled by grouping, so a line that a third of all documents
-repeat goes on once. Tokens are ordered by rarity: by the count of their first
-word over all documents, in a hashed table of fixed size, then by hash. Two
-matching sets share a token in their prefixes; length and positional filters and,
-where many lines share a token, bitmaps of the sets drop most of the other
-pairs, and the rest are verified on whole sets.
+least `percent` / 100. A line goes when an earlier line matches it; lines are
+judged on the input, not on what is left. Earlier means smaller in (doc_id, row,
+line number), where the row is told by a hash of its text.
+
+Tokens are ordered by rarity: by the count of their first word over all
+documents, in a hashed table of fixed size whose entries are logarithms and
+never saturate, then by hash. Two matching sets share a token in their prefixes.
+Tokens are counted first (with partial sums before the shuffle), and only those
+of two or more lines are joined back; of equal sets only the first line goes on,
+so a line that a third of all documents repeat is one. Length and positional
+filters and bitmaps of the sets drop most pairs; the rest are verified on whole
+sets, for which only the lines concerned are split again.
 
 Lines that share a prefix token are never all paired at once: each first meets
 the earliest of them, and only lines that this doesn't remove meet the others.
 
 Defined results: a line without words is kept and matches nothing; a null text
 has no lines; rows with a null doc_id keep their lines and remove none; rows of
-one doc_id count as one document, whose equal lines at one place don't remove
-one another. Other columns pass through `deduplicated` untouched.
+one doc_id and one text are one, whose equal lines at one place don't remove one
+another; rows of one doc_id with different texts are told apart by 31 bits of
+their texts' hash. Other columns pass through `deduplicated` untouched.
 """
 
 from __future__ import annotations
@@ -28,19 +32,26 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, stored
+from .common import let, release, stored
 
 GRAM, PERCENT = 5, 80
 #: Slots of the rarity table, whatever the corpus.
 SLOTS = 1 << 16
-_TOKEN_BITS = 52
-_MOST = (1 << 11) - 1
+#: Low bits of a token that are its hash; above them is the logarithm of a count, 64 steps an octave.
+_HASH_BITS = 51
+_CODE = ((1 << 63) - 1) ^ ((1 << _HASH_BITS) - 1)
+
+
+def _row() -> Column:
+    """What tells rows of one doc_id apart: 31 bits of the text's hash, above 32 bits for a line number."""
+    return F.shiftleft(F.xxhash64("text").bitwiseAND(F.lit((1 << 31) - 1)), 32)
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, line of every line with a word, of documents with a doc_id."""
-    each = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return each.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    """doc_id, line_no (the row's tag and the line's number), line of every line with a word, of documents with a doc_id."""
+    each = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", _row().alias("row"), F.posexplode(F.split("text", "\n")).alias("nth", "line"))
+    each = each.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    return each.select("doc_id", F.col("row").bitwiseOR(F.col("nth").cast("long")).alias("line_no"), "line")
 
 
 def words(line: Column) -> Column:
@@ -49,41 +60,47 @@ def words(line: Column) -> Column:
     return F.array_remove(F.split(plain, " "), "")
 
 
-def rarity(docs: DataFrame) -> Column:
-    """A constant array of SLOTS entries: counts of the words of all documents' lines, by hashed slot.
+def rarity(docs: DataFrame) -> str:
+    """Name of a session variable with SLOTS logarithms of the counts of the words of all documents' lines, by hashed slot, as high bits of a token.
 
-    A session variable takes it into the plan: neither a subquery nor a column
-    could be read inside a lambda without a copy for every row.
+    A variable takes the table into the plan as a constant: neither a subquery
+    nor a column could be read inside a lambda without a copy for every row.
     """
     spark = docs.sparkSession
     each = lines(docs).select(F.explode(words(F.col("line"))).alias("w")).select(_slot(F.xxhash64("w")).alias("slot"))
     counts = each.groupBy("slot").count()
     every = spark.range(SLOTS).select(F.col("id").cast("int").alias("slot"))
-    rows = every.join(counts, "slot", "left").select("slot", F.least(F.coalesce("count", F.lit(0)), F.lit(_MOST)).cast("int").alias("n"))
-    table = rows.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "n"))), lambda r: r["n"]).alias("counts"))
+    code = F.floor(64 * F.log2(F.coalesce("count", F.lit(0)) + F.lit(1.0))).cast("long")
+    rows = every.join(counts, "slot", "left").select("slot", F.shiftleft(code, _HASH_BITS).alias("code"))
+    table = rows.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "code"))), lambda r: r["code"]).alias("codes"))
     name = f"line_rarity_{uuid.uuid4().hex}"
-    spark.sql(f"DECLARE VARIABLE {name} ARRAY<INT>")
-    spark.sql(f"SET VARIABLE {name} = (SELECT counts FROM {{table}})", table=table)
-    return F.expr(name)
+    spark.sql(f"DECLARE VARIABLE {name} ARRAY<BIGINT>")
+    spark.sql(f"SET VARIABLE {name} = (SELECT codes FROM {{table}})", table=table)
+    return name
 
 
 def _slot(h: Column) -> Column:
-    return F.pmod(h, F.lit(SLOTS)).cast("int")
-
+    return h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")
 
-def _sets(rows: DataFrame, counts: Column, gram: int) -> DataFrame:
-    """Replaces line by tokens: the line's set, rarest first. A token is its first word's count above the 52 bits of its hash."""
 
-    def tokens(h: Column) -> Column:
-        count = lambda x: F.shiftleft(F.get(counts, _slot(x)).cast("long"), _TOKEN_BITS)
-        token = lambda first, x: count(first).bitwiseOR(F.shiftrightunsigned(x, 64 - _TOKEN_BITS))
-        gram_at = lambda x, i: token(x, F.xxhash64(x, *(F.get(h, i + n) for n in range(1, gram))))
-        each = F.transform(h, lambda x, i: F.when(i <= F.size(h) - gram, gram_at(x, i)))
-        whole = F.array(token(F.coalesce(F.get(h, F.lit(0)), F.lit(0)), F.xxhash64(h)))
-        return F.when(F.size(h) < gram, whole).otherwise(F.slice(each, F.lit(1), F.size(h) - (gram - 1)))
+def _sets(rows: DataFrame, counts: str, gram: int) -> DataFrame:
+    """Replaces line by tokens: the line's set, rarest first. A token is its first word's code above the bits of its hash.
 
-    hashed = F.transform(words(F.col("line")), lambda w: F.xxhash64(w))
-    return rows.withColumn("tokens", F.sort_array(F.array_distinct(let(hashed, tokens)))).drop("line")
+    A word's hash carries its code already; a shingle is a struct of words' hashes,
+    from arrays shifted against one another. Nothing is nullable, so that
+    arrays of longs are sorted as such.
+    """
+    zero = F.lit(0).cast("long")
+    short = lambda h: F.shiftrightunsigned(h, 64 - _HASH_BITS)
+    coded = lambda x: F.coalesce(F.get(F.expr(counts), _slot(x)), zero).bitwiseOR(short(x))
+    token = lambda first, h: F.coalesce(first.bitwiseAND(F.lit(_CODE)), zero).bitwiseOR(short(h))
+    rows = rows.withColumn("__h", F.transform(words(F.col("line")), lambda w: F.xxhash64(w))).drop("line")
+    rows = rows.withColumn("__h", F.transform("__h", coded))
+    some = F.greatest(F.size("__h") - (gram - 1), F.lit(0))
+    shingles = F.arrays_zip(*(F.slice("__h", F.lit(i + 1), some).alias(f"w{i}") for i in range(gram)))
+    whole = F.array(token(F.get("__h", F.lit(0)), F.xxhash64("__h")))
+    tokens = F.when(F.size("__h") < gram, whole).otherwise(F.transform(shingles, lambda s: token(s["w0"], F.xxhash64(s))))
+    return rows.withColumn("tokens", F.sort_array(F.array_distinct(tokens))).drop("__h")
 
 
 def least_common(n: Column, percent: int) -> Column:
@@ -91,7 +108,7 @@ def least_common(n: Column, percent: int) -> Column:
     return F.floor((n * percent + 99) / 100).cast("int")
 
 
-def occurrences(docs: DataFrame, counts: Column, gram: int, percent: int) -> DataFrame:
+def occurrences(docs: DataFrame, counts: str, gram: int, percent: int) -> DataFrame:
     """doc_id, line_no, k1, k2 (of the set), n (its size) and prefix of every line with a word."""
     rows = _sets(lines(docs), counts, gram).withColumn("n", F.size("tokens"))
     return rows.select("doc_id", "line_no", F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(1), "tokens").alias("k2"), "n", F.slice("tokens", F.lit(1), F.col("n") - least_common(F.col("n"), percent) + 1).alias("prefix"))
@@ -128,67 +145,83 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("tokens") + F.size("t1") - common)).select(*_ID).distinct()
 
 
-def _near(sets: DataFrame, docs: DataFrame, counts: Column, gram: int, percent: int) -> DataFrame:
+def _shared(lines_at: DataFrame, firsts: DataFrame) -> DataFrame:
+    """doc_id, line_no, n, pos, token of the prefixes of first lines, of tokens that two or more of them have; first: the earliest of these."""
+    tokens = lines_at.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1")
+    tokens = stored(tokens.select("token"), "tokens")
+    each = lines_at.select(*_ID, "n", F.posexplode("prefix").alias("pos", "token")).join(tokens, "token")
+    each = stored(each.join(firsts.select("doc_id", "line_no"), _ID, "left_semi"), "each")
+    release(tokens)
+    grouped = each.groupBy("token").agg(F.count("*").alias("times"), F.min(F.struct(*_ID, "n", "pos")).alias("first"))
+    shared = stored(each.join(grouped.where("times > 1").drop("times"), "token"), "shared")
+    release(each)
+    return shared
+
+
+def _near(shared: DataFrame, docs: DataFrame, counts: str, gram: int, percent: int) -> DataFrame:
     """First occurrences (doc_id, line_no) of sets that an earlier, different set matches."""
-    each = sets.select(*_ID, "n", F.posexplode("prefix").alias("pos", "token"))
-    of_token = "PARTITION BY token"
-    grouped = each.select("*", F.expr(f"count(*) OVER ({of_token})").alias("times"), F.expr(f"min(struct(doc_id, line_no, n, pos)) OVER ({of_token})").alias("first"))
-    shared = stored(grouped.where("times > 1").drop("times"), "shared")
     wanted = stored(_found_again(docs, shared.select(*_ID).distinct(), counts, gram), "sets")
     plain = shared.drop("first")
     same_first = (F.col("b.doc_id") == F.col("a.doc_id")) & (F.col("b.line_no") == F.col("a.line_no"))
     of_pair = [F.col("b.doc_id").alias("d1"), F.col("b.line_no").alias("l1"), F.col("a.doc_id").alias("doc_id"), F.col("a.line_no").alias("line_no")]
     with_first = shared.select(F.struct(*_ID, "n", "pos").alias("a"), F.col("first").alias("b")).where(~same_first & _may_match(percent))
     removed = stored(_verified(with_first.select(*of_pair), wanted, percent), "removed")
-    plain = stored(plain.join(wanted.select(*_ID, _bitmap().alias("bits")), _ID), "bits")
-    left = plain.join(removed, _ID, "left_anti").alias("a")
+    bits = stored(plain.join(wanted.select(*_ID, _bitmap().alias("bits")), _ID), "bits")
+    left = bits.join(removed, _ID, "left_anti").alias("a")
     earlier = F.struct("b.doc_id", "b.line_no") < F.struct("a.doc_id", "a.line_no")
-    rest = left.join(plain.alias("b"), (F.col("a.token") == F.col("b.token")) & earlier & _may_match(percent) & _bits_allow(percent))
-    return removed.unionByName(_verified(rest.select(*of_pair), wanted, percent)).distinct()
+    rest = left.join(bits.alias("b"), (F.col("a.token") == F.col("b.token")) & earlier & _may_match(percent) & _bits_allow(percent))
+    near = stored(removed.unionByName(_verified(rest.select(*of_pair), wanted, percent)).distinct(), "near")
+    release(wanted, removed, bits)
+    return near
 
 
-def _found_again(docs: DataFrame, ids: DataFrame, counts: Column, gram: int) -> DataFrame:
+def _found_again(docs: DataFrame, ids: DataFrame, counts: str, gram: int) -> DataFrame:
     """doc_id, line_no, tokens of the lines named by ids. Lines move as text, which is smaller than their tokens; only those found are split again."""
-    wanted = stored(lines(docs).join(ids, _ID), "wanted")
-    return _sets(wanted, counts, gram)
+    return _sets(lines(docs).join(ids, _ID).dropDuplicates(_ID), counts, gram)
 
 
 def removed_lines(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
-    """doc_id, line_no of every line that an earlier line matches."""
+    """doc_id, line_no (the row's tag and the line's number) of every line that an earlier line matches."""
+    spark = docs.sparkSession
     counts = rarity(docs)
     lines_at = stored(occurrences(docs, counts, gram, percent), "occurrences")
-    sets = lines_at.groupBy("k1", "k2", "n").agg(F.min(F.struct(*_ID)).alias("first"), F.first("prefix").alias("prefix"))
-    firsts = sets.select("k1", "k2", "n", "first.*", "prefix")
-    near = _near(firsts, docs, counts, gram, percent)
-    near = stored(near, "near")
-    marked = firsts.drop("prefix").join(near.withColumn("near", F.lit(True)), _ID, "left")
+    firsts = stored(lines_at.groupBy("k1", "k2", "n").agg(F.min(F.struct(*_ID)).alias("first")).select("k1", "k2", "n", "first.*"), "firsts")
+    shared = _shared(lines_at, firsts)
+    near = _near(shared, docs, counts, gram, percent)
+    spark.sql(f"DROP TEMPORARY VARIABLE IF EXISTS {counts}")
+    marked = firsts.join(near.withColumn("near", F.lit(True)), _ID, "left")
     # Stored, both sides of the join are plain shuffles, of which Spark splits the hot line's.
     marked = stored(marked.select("k1", "k2", "n", F.col("doc_id").alias("d"), F.col("line_no").alias("l"), "near"), "marked")
     rows = lines_at.select(*_ID, "k1", "k2", "n").join(marked, ["k1", "k2", "n"])
     copy = F.struct(*_ID) > F.struct("d", "l")
-    return rows.where(copy | F.col("near")).select(*_ID)
+    removed = stored(rows.where(copy | F.col("near")).select(*_ID), "removed")
+    release(lines_at, firsts, shared, near, marked)
+    return removed
 
 
-def _by_document(docs: DataFrame, gram: int, percent: int) -> DataFrame:
-    gone = removed_lines(docs, gram, percent).groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
-    return gone.select(F.col("doc_id").alias("__doc"), F.col("removed").alias("__removed"))
+def _with_removed(docs: DataFrame, gram: int, percent: int) -> DataFrame:
+    """Per row of docs a struct `row` of its columns and `removed`, the sorted numbers of its removed lines, or null."""
+    number = F.col("line_no").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    gone = removed_lines(docs, gram, percent).groupBy("doc_id", F.shiftleft(F.shiftright("line_no", 32), 32).alias("tag"))
+    gone = gone.agg(F.array_sort(F.collect_set(number)).alias("removed"))
+    rows = docs.select(F.col("doc_id"), F.when(F.col("text").isNotNull(), _row()).alias("tag"), F.struct("*").alias("row"))
+    return rows.join(gone, ["doc_id", "tag"], "left").select("row", "removed")
 
 
 def summary(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, n_lines (with a word or not; null text: 0), n_removed, removed_lines (line numbers from 0)."""
-    rows = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"), F.col("text").isNotNull().alias("some"))
-    removed = F.when(F.col("some") & F.col("__removed").isNotNull(), F.filter("__removed", lambda x: x < F.col("n_lines"))).otherwise(F.array().cast("array<int>"))
-    rows = rows.join(_by_document(docs, gram, percent), F.col("doc_id") == F.col("__doc"), "left").withColumn("removed_lines", removed)
-    return rows.select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines")
+    rows = _with_removed(docs.select("doc_id", "text"), gram, percent)
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    n_lines = F.coalesce(F.size(F.split("row.text", "\n")), F.lit(0)).cast("long")
+    return rows.select("row.doc_id", F.when(F.col("row.text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"))
 
 
 def deduplicated(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
     """docs without the removed lines; n_chars, if there, follows. A document whose lines with words all go goes itself."""
-    rows = docs.join(_by_document(docs, gram, percent), F.col("doc_id") == F.col("__doc"), "left")
-    left = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), "__removed")
-    kept = let(F.split("text", "\n"), lambda x: F.array_join(F.transform(left(x), lambda i: F.get(x, i)), "\n"))
-    rows = rows.withColumn("__kept", F.when(F.col("__removed").isNotNull() & F.col("text").isNotNull(), kept).otherwise(F.col("text")))
-    rows = rows.where(F.col("__removed").isNull() | F.col("__kept").rlike(r"[^\x20\x09-\x0D]")).withColumn("text", F.col("__kept"))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("__removed").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    left = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), "removed")
+    kept = let(F.split("row.text", "\n"), lambda x: F.array_join(F.transform(left(x), lambda i: F.get(x, i)), "\n"))
+    rows = _with_removed(docs, gram, percent).withColumn("kept", F.when(F.col("removed").isNotNull(), kept))
+    rows = rows.where(F.col("removed").isNull() | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
+    new = {"text": F.col("kept"), "n_chars": F.char_length("kept")}
+    column = lambda f: F.when(F.col("removed").isNotNull(), new[f.name].cast(f.dataType)).otherwise(F.col("row")[f.name]) if f.name in new else F.col("row")[f.name]
+    return rows.select(*(column(f).alias(f.name) for f in docs.schema))

@@ -106,21 +106,57 @@ def test_substrings(docs, texts):
     assert got == want
 
 
-def test_lines(docs, texts):
-    seen, want = [], {}
-    for d in sorted(texts):
-        for n, line in enumerate((texts[d] or "").split("\n")):
+def removed_lines(rows):
+    """Per row of (doc_id, text): numbers of the lines that an earlier one matches; rows of one doc_id in the order given."""
+    seen, want = [], []
+    for _, text in rows:
+        gone = []
+        for n, line in enumerate((text or "").split("\n")):
             w = WORD.findall(line)
             s = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
             if s:
                 if any(100 * len(s & o) >= 80 * len(s | o) for o in seen if s & o):
-                    want.setdefault(d, []).append(n)
+                    gone.append(n)
                 seen.append(s)
+        want.append(gone)
+    return want
+
+
+@pytest.mark.parametrize("parts", [1, 9])
+def test_lines(docs, texts, parts):
+    want = dict(zip(sorted(texts), removed_lines([(d, texts[d]) for d in sorted(texts)]), strict=True))
+    docs = docs.repartition(parts)
     got = {r.doc_id: list(r.removed_lines) for r in line_dedup.summary(docs).collect()}
-    assert got == {d: want.get(d, []) for d in texts}
-    kept = {r.doc_id: r.text for r in line_dedup.deduplicated(docs).collect()}
-    for d, t in kept.items():
-        assert t == (None if texts[d] is None else "\n".join(x for n, x in enumerate(texts[d].split("\n")) if n not in want.get(d, [])))
+    assert got == want
+    if parts == 1:
+        kept = {r.doc_id: r.text for r in line_dedup.deduplicated(docs).collect()}
+        for d, t in kept.items():
+            assert t == (None if texts[d] is None else "\n".join(x for n, x in enumerate(texts[d].split("\n")) if n not in want[d]))
+
+
+def test_lines_of_a_hot_token(spark):
+    """Half of all lines share their rarest tokens; many differ from one another in few shingles and one line is everywhere."""
+    rng = np.random.default_rng(3)
+    base, rows = [f"b{i}" for i in range(40)], []
+    for d in range(120):
+        near = list(base)
+        for at in rng.choice([0, 1, 2, 20, 37, 38, 39], int(rng.integers(0, 3)), replace=False):
+            near[at] = f"e{rng.integers(0, 9)}"
+        rows.append((d, "\n".join([" ".join(near), "the line of everyone is this one", " ".join(["b0", "b1", "b2", "b3", "b4"] + [f"w{d}x{i}" for i in range(5)])])))
+    got = {r.doc_id: list(r.removed_lines) for r in line_dedup.summary(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()}
+    assert got == dict(zip(range(120), removed_lines(rows), strict=True))
+    assert 0 < sum(0 not in x for x in got.values()) < 120
+
+
+def test_lines_of_odd_rows(spark):
+    """Rows of one doc_id with different texts keep their own lines; equal rows are one; clashing columns and nulls pass."""
+    one, two = "the first line of all these lines", "quite another line that nothing matches"
+    rows = [(1, one), (2, two), (2, one), (3, f"{two}\n\nx"), (3, f"{two}\n\nx"), (None, one), (4, None), (5, ""), (6, " \t\n"), (7, "x"), (8, f"a {'y ' * 9999}b")]
+    docs = spark.createDataFrame([(*r, "keep", 1, 2, 3) for r in rows], "doc_id long, text string, removed string, row int, kept int, n_chars int")
+    got = sorted(((r.doc_id, r.text, r.removed, r.row, r.kept) for r in line_dedup.deduplicated(docs).collect()), key=str)
+    want = [(1, one), (2, two), (3, "\nx"), (3, "\nx"), (None, one), (4, None), (5, ""), (6, " \t\n"), (8, f"a {'y ' * 9999}b")]
+    assert got == sorted(((*r, "keep", 1, 2) for r in want), key=str)
+    assert {(r.doc_id or 0, r.n_removed) for r in line_dedup.summary(docs).collect()} == {(1, 0), (2, 0), (2, 1), (3, 1), (0, 0), (4, 0), (5, 0), (6, 0), (7, 1), (8, 0)}
 
 
 def test_quality_statistics(spark, docs, texts, small):
