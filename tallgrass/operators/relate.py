@@ -12,56 +12,34 @@ def ancestors(path: Column) -> Column:
     return F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), n), "/")))).otherwise(F.array().cast("array<string>"))
 
 
-def longest_prefix(rows: DataFrame, path: str, routes: DataFrame, prefix: str, key: str) -> DataFrame:
-    """rows' key and path with the longest prefix of `routes` that is the path or an ancestor; null if none is."""
-    each = rows.select(key, path, F.explode(ancestors(F.col(path))).alias("_a"))
-    found = each.join(routes.select(F.col(prefix).alias("_a")).distinct(), "_a").groupBy(key).agg(F.max_by("_a", F.length("_a")).alias(prefix))
-    return rows.select(key, path).join(found, key, "left")
-
-
 def subtree_closed(nodes: DataFrame, path: str, complete: Column) -> DataFrame:
-    """Per path: whether it and all its descendants among nodes are complete."""
+    """Per distinct path: whether it and all its descendants among nodes are complete, and how many rows these are. Null paths and '/' are left out."""
     each = nodes.select(F.explode(ancestors(F.col(path))).alias(path), complete.alias("_c"))
     return nodes.select(path).distinct().join(each.groupBy(path).agg(F.bool_and("_c").alias("closed"), F.count("*").alias("n_nodes")), path)
 
 
 def related(works: DataFrame, key: str, token: str) -> DataFrame:
-    """Pairs of works (key < other) that share a token, with the number of shared tokens. One row of works for each token."""
+    """Pairs of works (key < other) that share a token, with the number of shared tokens. One row of works for each token; repeats count once, nulls match nothing."""
     a = works.select(key, token).distinct()
     b = a.withColumnRenamed(key, "other")
     return a.join(b, token).where(F.col(key) < F.col("other")).groupBy(key, "other").agg(F.count("*").alias("shared"))
 
 
-def claimable(jobs: DataFrame, job: str, resource: str, status: str, order: list[Column]) -> DataFrame:
-    """Queued jobs, one for each resource without a running job, the first in order."""
-    busy = jobs.where(F.col(status) == "running").select(resource).distinct()
-    free = jobs.where(F.col(status) == "queued").join(busy, resource, "left_anti")
-    return free.withColumn("_n", F.row_number().over(Window.partitionBy(resource).orderBy(*order))).where("_n = 1").select(job, resource)
-
-
 def audit(expected: DataFrame, actual: DataFrame, key: str, value: str) -> DataFrame:
-    """key, verdict: missing, extra, mismatch or same."""
+    """key, verdict: missing, extra, mismatch or same. Keys are unique on both sides; a null key is missing or extra, null values are the same."""
     e, a = expected.select(key, F.col(value).alias("_e"), F.lit(1).alias("_in_e")), actual.select(key, F.col(value).alias("_a"), F.lit(1).alias("_in_a"))
     verdict = F.when(F.col("_in_a").isNull(), "missing").when(F.col("_in_e").isNull(), "extra").when(F.col("_e").eqNullSafe(F.col("_a")), "same").otherwise("mismatch")
     return e.join(a, key, "full").select(key, verdict.alias("verdict"))
 
 
 def synced(local: DataFrame, remote: DataFrame, barred: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, action: pull what only remote has and isn't barred, push what only local has, already for the rest."""
+    """keys, action: pull what only remote has and isn't barred, push what only local has, already for the rest. Repeats count once; keys with a null match nothing; empty sides are fine."""
     one = lambda df, name: df.select(*keys).distinct().withColumn(name, F.lit(True))
     rows = one(local, "_l").join(one(remote, "_r"), keys, "full").join(one(barred, "_b"), keys, "left")
     action = F.when(F.col("_l") & F.col("_r"), "already").when(F.col("_l"), "push").when(F.col("_b").isNull(), "pull")
     return rows.withColumn("action", action).where("action IS NOT NULL").select(*keys, "action")
 
 
-def snapshot_diff(old: DataFrame, new: DataFrame, key: str, compared: list[str]) -> DataFrame:
-    """key, change: added, missing, changed or unchanged, by null-safe comparison."""
-    a = old.select(key, F.struct(*compared).alias("_old"))
-    b = new.select(key, F.struct(*compared).alias("_new"))
-    change = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "missing").when(F.col("_old").eqNullSafe(F.col("_new")), "unchanged").otherwise("changed")
-    return a.join(b, key, "full").select(key, change.alias("change"))
-
-
 def unique_or_null(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Per keys the value that all their rows agree on, else null."""
+    """Per keys the value that all their rows agree on, else null. Null values don't count."""
     return rows.groupBy(*keys).agg(F.when(F.min(value) == F.max(value), F.min(value)).alias(value))

@@ -4,24 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Settings that the library's plans are written for; a cluster's own settings win.
-DEFAULTS = {
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.session.timeZone": "UTC",
-    "spark.sql.shuffle.partitions": "8",
-    "spark.ui.enabled": "false",
-    "spark.driver.memory": "8g",
-}
+#: What the library's results depend on; a cluster's own settings win, and memory and partitions are left to it.
+DEFAULTS = {"spark.sql.session.timeZone": "UTC"}
 
 
 def build(app: str = "tallgrass", master: str | None = None, **settings: str) -> SparkSession:
-    """A session with DEFAULTS, overridden by `settings` (underscores stand for dots)."""
+    """A session with `settings` (underscores stand for dots), and DEFAULTS for what neither these nor the cluster's files and submit flags set."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    conf = DEFAULTS | {k.replace("_", "."): v for k, v in settings.items()}
-    return builder.config(map=conf).getOrCreate()
+    session = builder.config(map={k.replace("_", "."): v for k, v in settings.items()}).getOrCreate()
+    given = session.sparkContext.getConf()
+    for key, value in DEFAULTS.items():
+        if not given.contains(key):
+            session.conf.set(key, value)
+    return session
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -16,6 +16,7 @@ def spark():
         spark_sql_shuffle_partitions="4",
         spark_driver_memory="4g",
         spark_ui_showConsoleProgress="false",
+        spark_ui_enabled="false",
         spark_checkpoint_dir=tempfile.mkdtemp(prefix="spark-", dir="/tmp"),
         spark_sql_warehouse_dir=tempfile.mkdtemp(prefix="spark-", dir="/tmp"),
     )
