@@ -172,3 +172,11 @@ def split_words(text) -> "F.Column":
 
 def n_words(text) -> "F.Column":
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def smallest(rows: DataFrame, hashed: F.Column, bound: int, *ties: str) -> DataFrame:
+    """The `bound` rows of the smallest hashes, or about as many: those above a threshold go first, so that no task has more than its share to sort and send."""
+    total = rows.count()
+    share = min(1.0, 1.5 * (bound + 64) / max(1, total))
+    below = F.shiftrightunsigned(hashed, 1) <= F.lit(min(int(share * (1 << 63)), (1 << 63) - 1))
+    return rows.where(below).orderBy(F.shiftrightunsigned(hashed, 1), *ties).limit(bound)

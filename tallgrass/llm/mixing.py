@@ -143,9 +143,8 @@ def taken(docs: DataFrame, **how) -> DataFrame:
 
 
 def apply_mix(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: docs' rows, each as often as it is taken, with docs' own columns."""
-    plan = mixed(docs, **how).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("fp").alias("_f"), F.col("passes").alias("_passes")).where("_passes > 0")
-    same = F.col("_doc").eqNullSafe(F.col("_d")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_fp") == F.col("_f"))
-    rows = docs.withColumns({"_doc": F.col("doc_id"), "_source": F.col("source"), "_fp": F.xxhash64("text")})
-    rows = rows.join(plan, same).withColumn("_pass", F.explode(F.array_repeat(F.lit(0), F.col("_passes"))))
-    return rows.select(*docs.columns)
+    """The mix itself: docs' rows, each as often as it is taken, with docs' own columns, whatever their names."""
+    plan = mixed(docs, **how).select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("fp").alias("f"), "passes").where("passes > 0")
+    same = F.col("row.doc_id").eqNullSafe(F.col("d")) & F.col("row.source").eqNullSafe(F.col("s")) & (F.col("fp") == F.col("f"))
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("fp")).join(plan, same)
+    return rows.withColumn("pass", F.explode(F.array_repeat(F.lit(0), F.col("passes")))).select("row.*")

@@ -26,15 +26,17 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from .common import stored
+from .common import smallest, stored
 
 M = 8
 CHANCE = 0.98
-#: Vectors that the upper tree is fitted on, rows in a block, cells at most.
-SAMPLE, BLOCK, MOST_CELLS = 4096, 4096, 512
+#: Vectors that the upper tree is fitted on, rows in a block, and sampled vectors to a cell: beyond SAMPLE / FIT cells it is their blocks that grow in number.
+SAMPLE, BLOCK, FIT = 16_384, 4096, 4
 LEAF = 64
 #: Visits in one Arrow batch, and about so many queries that meet one block in a task.
 SLICE, ASKED = 10_000, 4096
@@ -56,7 +58,14 @@ def directions(dim: int, m: int = M, seed: int = 42) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((dim, m))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows in double precision times powers of two that bring their largest components near 1: no square overflows, no digit changes."""
+    x = x.astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=0))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
@@ -107,7 +116,7 @@ class Block:
         run = same[by]
         place = np.arange(len(run)) - np.searchsorted(run, run)
         keep = by[place < copies]
-        ids, vectors = ids[keep], vectors[keep].astype(np.float64)
+        ids, vectors = ids[keep], scaled(vectors[keep])
         points = unit(vectors) @ project
         leaves, stack = [], [np.arange(len(ids))]
         while stack:
@@ -164,7 +173,7 @@ def _placed(cells: Cells, project: np.ndarray, salts: list[int] | None):
     def run(batches):
         for batch in batches:
             ids = batch.column("vec_id").to_numpy()
-            cell = cells.of(unit(_matrix(batch.column("embedding")).astype(np.float64)) @ project) if len(ids) else np.empty(0, np.int64)
+            cell = cells.of(unit(_matrix(batch.column("embedding"))) @ project) if len(ids) else np.empty(0, np.int64)
             out = [pa.array(cell.astype(np.int32))]
             if salts:
                 hashed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
@@ -180,7 +189,7 @@ def _visits(cells: Cells, project: np.ndarray, salts: list[int], quantile: float
 
     def run(batches):
         for batch in batches:
-            points = unit(_matrix(batch.column("embedding")).astype(np.float64)) @ project if len(batch) else np.empty((0, 1))
+            points = unit(_matrix(batch.column("embedding"))) @ project if len(batch) else np.empty((0, 1))
             own = cells.of(points) if len(batch) else np.empty(0, np.int64)
             ids, bounds = batch.column("vec_id").to_numpy(), batch.column("bound").to_numpy()
             held: list[tuple] = []
@@ -216,7 +225,7 @@ def _search(project: np.ndarray, k: int, quantile: float):
         out: tuple[list, list, list] = ([], [], [])
         if len(data) and len(asked):
             block = Block(ids[data], vectors[data], project, k + 1)
-            wide = vectors[asked].astype(np.float64)
+            wide = scaled(vectors[asked])
             for n, vector, point in zip(asked.tolist(), wide, unit(wide) @ project, strict=True):
                 found, scores = block.search(int(ids[n]), vector, point, k, float(bounds[n]), quantile)
                 out[0].append(np.full(len(found), ids[n])), out[1].append(found), out[2].append(scores)
@@ -241,22 +250,23 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, m: int = M, chance: float = CHANCE, seed: int = 42) -> DataFrame:
     """Per query of `queries` its k nearest in `vectors`: query_id, rank, vec_id, score. Both have vec_id and embedding."""
-    kept = lambda df, dim=None: df.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding"), dim))
+    kind = "array<float>" if isinstance(vectors.schema["embedding"].dataType.elementType, FloatType) else "array<double>"
+    kept = lambda df, dim=None: df.select("vec_id", F.col("embedding").cast(kind).alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding"), dim))
     none = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = kept(vectors).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-    if not sample:
+    sample = smallest(kept(vectors), F.xxhash64("vec_id"), SAMPLE, "vec_id").toArrow().column("embedding")
+    if not len(sample):
         return none
-    sizes = [len(r.embedding) for r in sample]
+    sizes = pc.list_value_length(sample).to_pylist()
     dim = max(sorted(set(sizes)), key=sizes.count)
     project = directions(dim, m, seed)
     rows = kept(vectors, dim)
-    fitted = unit(np.array([r.embedding for r in sample if len(r.embedding) == dim], dtype=np.float64)) @ project
-    wanted = min(MOST_CELLS, -(-rows.count() // BLOCK))
+    fitted = unit(_matrix(sample.filter(pc.equal(pc.list_value_length(sample), dim)))) @ project
+    wanted = min(SAMPLE // FIT, -(-rows.count() // BLOCK))
     cells = Cells(fitted, max(0, math.ceil(math.log2(max(1, wanted)))))
-    counts = dict(rows.mapInArrow(_placed(cells, project, None), "cell int, vec_id long, embedding array<float>").groupBy("cell").count().collect())
+    counts = dict(rows.mapInArrow(_placed(cells, project, None), f"cell int, vec_id long, embedding {kind}").groupBy("cell").count().collect())
     salts = [max(1, -(-counts.get(n, 0) // BLOCK)) for n in range(1 << cells.depth)]
     quantile = chi_square_quantile(chance, m)
-    blocks = rows.mapInArrow(_placed(cells, project, salts), "cell int, salt int, vec_id long, embedding array<float>")
+    blocks = rows.mapInArrow(_placed(cells, project, salts), f"cell int, salt int, vec_id long, embedding {kind}")
     blocks = blocks.select("cell", "salt", F.lit(0).alias("kind"), "vec_id", "embedding", F.lit(0.0).alias("bound"))
     asked = kept(queries, dim).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 

@@ -29,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, stored
+from .common import new_path, smallest, stored
 
 END = "\r\n\r\n"
 #: Captures in a run that is sorted in memory, and about as many in a range of the merge.
 RUN, RANGE = 50_000, 2_000
-SAMPLE, MOST_RANGES = 4096, 1024
+SAMPLE = 16_384
+#: Bytes of payload in an archive, on average at most, as a task reads an archive whole; and records.
+ARCHIVE, RECORDS = 128 << 20, 20_000
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 CAPTURE = "urlkey string, ts string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long"
 _FIELDS = [f.split()[0] for f in CAPTURE.split(", ")]
@@ -90,7 +92,9 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
 
 def write_warc(pages: DataFrame, path: str, least: int = 0) -> None:
     """Archives of all pages, gzipped, in a new folder."""
-    records(pages, least).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 20_000).text(path)
+    mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 1
+    most = max(1, min(RECORDS, int(ARCHIVE / mean)))
+    records(pages, least).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 def parse_warc(raw: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -233,9 +237,10 @@ def _merge(key, table):
 
 
 def splitters_of(pages: DataFrame, ranges: int) -> list[tuple]:
-    """At most ranges - 1 places in the global order, evenly spaced in a sample of SAMPLE pages of the smallest hashes."""
-    sample = pages.select("url", "date", "page_id").orderBy(F.xxhash64("page_id", "url"), "page_id", "url").limit(SAMPLE).collect()
+    """At most ranges - 1 places in the global order, evenly spaced in a sample of SAMPLE pages of the smallest hashes; beyond SAMPLE ranges, all of the sample."""
+    sample = smallest(pages.select("url", "date", "page_id"), F.xxhash64("page_id", "url"), SAMPLE, "page_id", "url").collect()
     keys = sorted((url_key(r.url), r.date or "", r.page_id is not None, r.page_id or 0, ()) for r in sample)
+    ranges = min(ranges, len(keys))
     return sorted({keys[len(keys) * n // ranges] for n in range(1, ranges)}) if keys else []
 
 
@@ -254,7 +259,7 @@ def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     spark = pages.sparkSession
     date = F.col("date") if "date" in pages.columns else F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(31_536_000))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     rows = pages.select("page_id", "url", "html", date.alias("date"))
-    ranges = min(MOST_RANGES, max(1, pages.count() // RANGE))
+    ranges = max(1, pages.count() // RANGE)
     path = new_path(spark, "warc")
     write_warc(rows, path, least)
     return capture_histories(spark, path, splitters_of(rows, ranges))
