@@ -3,11 +3,7 @@
 A document's set holds the 64-bit hashes of its distinct n-grams. Two sets
 link when 100 * |A and B| >= percent * |A or B|. The join runs in four steps:
 
-1. Rarity. Texts are hashed in batches; copies of one set within a batch are
-   folded. A batch's tokens go, packed in 32 bits each, to buckets of the hash
-   space, which count them over all documents and send those that another set
-   has, too, back to their batch with their count. A token that many sets of
-   one batch share is sent once, with its number.
+1. Rarity. Tokens are counted over all documents (`rarity`).
 2. Prefixes. In the order (count, token) a set's first n - ceil(n * percent /
    100) + 1 tokens hold one that any linked set has among its own first. Tokens
    that no other set has come first and are not posted, so that most sets have
@@ -21,25 +17,21 @@ link when 100 * |A and B| >= percent * |A or B|. The join runs in four steps:
    others link. A tile pairs only sets of different classes.
 4. Classes are the components of the links.
 
-Batches are told apart by their content, so docs must come from a scan, whose
-rows have a fixed order, and not from a shuffle.
+docs must come from a scan, whose rows have a fixed order (see `rarity`).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, Words, chunks, mix, normalised, paired, release, stored, texts_of, window_hashes
+from . import rarity
+from .common import chunks, mix, release, stored, texts_of
 from .components import components
+from .rarity import sets_of, shingle_sets
 
-#: Bytes of text whose tokens one bucket counts, on average.
-BUCKET_BYTES = 24 << 20
-#: Sets of one batch above which a token goes to its bucket once, with its number.
-SHARED = 8
 TILE = 2000
 #: Times that the sets of a token meet a typical one before they are compared in tiles.
 MEETINGS = 2
@@ -47,195 +39,6 @@ MEETINGS = 2
 SLOT_BYTES = 24 << 20
 #: 64-bit words of the bitmaps.
 SKETCH = 32
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-NODES, TOKENS = 0, 1
-_NODE_ARRAYS = [np.int64, np.bool_, np.int32, np.uint64, np.uint64, np.int32, np.int32, np.int32]
-_TOKEN_ARRAYS = [np.uint32, np.int32, np.int32]
-_COUNTED_ARRAYS = [np.uint32, np.int32, np.int32]
-
-
-def shingle_sets(texts: list[bytes | None], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct n-gram hashes of all texts, one text after another, and the offsets of each text's part.
-
-    A-Z are lower-cased. A text of fewer than k words has its whole word sequence as its only n-gram.
-    """
-    w = Words(normalised([t.translate(_LOWER) if t else t for t in texts]))
-    first, hashes = w.windows(k)
-    text = w.text[first]
-    counts = w.counts()
-    for n in range(1, k):
-        short = np.flatnonzero(counts == n)
-        if len(short):
-            at = np.searchsorted(w.text, short)
-            hashes, text = np.append(hashes, window_hashes(w.hash, n)[at]), np.append(text, short)
-    order = np.lexsort((hashes, text))
-    hashes, text = hashes[order], text[order]
-    new = np.ones(len(hashes), dtype=bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
-    hashes, text = hashes[new], text[new]
-    return hashes, np.searchsorted(text, np.arange(len(texts) + 1))
-
-
-def _ranges(sizes: np.ndarray) -> np.ndarray:
-    """0 .. size - 1 for each size, in one array."""
-    ends = np.cumsum(sizes)
-    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
-
-
-def _blob(*arrays: np.ndarray) -> bytes:
-    head = np.array([len(arrays), *(len(x) for x in arrays)], dtype=np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(x.tobytes() for x in arrays))
-
-
-def _arrays(blob: bytes, kinds: list) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    sizes, at, out = np.frombuffer(raw, np.int64, n, 8), 8 + 8 * n, []
-    for size, kind in zip(sizes.tolist(), kinds, strict=True):
-        out.append(np.frombuffer(raw, kind, size, at))
-        at += size * np.dtype(kind).itemsize
-    return out
-
-
-def _sets(texts: list, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """shingle_sets of many texts, in chunks."""
-    hashes, offsets, at, size = [], [np.zeros(1, np.int64)], 0, 0
-    held: list = []
-    for n, text in enumerate(texts):
-        held.append(text)
-        size += len(text) if text else 0
-        if size >= CHUNK or n + 1 == len(texts):
-            h, o = shingle_sets(held, k)
-            hashes.append(h), offsets.append(o[1:] + at)
-            at, held, size = at + len(h), [], 0
-    return np.concatenate(hashes or [np.empty(0, np.uint64)]), np.concatenate(offsets)
-
-
-def _distinct_copies(doc: np.ndarray, live: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
-    """Of the rows `live`, that of the smallest doc_id of each set."""
-    order = live[np.lexsort((doc[live], k2[live], k1[live]))]
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])
-    return np.sort(order[new])
-
-
-def _packed(k: int, buckets: int):
-    """Batches of (doc_id, text) to (part, batch, blob): the batch's sets under a negative part, its tokens under their buckets."""
-
-    def emit(ids: list, texts: list):
-        hashes, offsets = _sets(texts, k)
-        size = np.diff(offsets)
-        known = np.array([i is not None for i in ids], dtype=bool)
-        doc = np.array([i or 0 for i in ids], dtype=np.int64)
-        owner = np.repeat(np.arange(len(ids)), size)
-        k1, k2 = (np.zeros(len(ids), dtype=np.uint64) for _ in range(2))
-        for seed, total in ((0xA5A5, k1), (0xA5A6, k2)):
-            np.add.at(total, owner, mix(hashes ^ np.uint64(seed)))
-        only = _distinct_copies(doc, np.flatnonzero(known & (size > 0)), k1, k2)
-        batch = int((mix(doc.view(np.uint64) + k1) + k2 + np.uint64(1)).sum(keepdims=True).view(np.int64)[0])
-        token = hashes[np.repeat(offsets[only], size[only]) + _ranges(size[only])]
-        node = np.repeat(np.arange(len(only), dtype=np.int32), size[only])
-        order = np.argsort(token, kind="stable")
-        token, node = token[order], node[order]
-        edge = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token)) if len(token) else np.zeros(1, np.int64)
-        times = np.diff(edge)
-        often = np.repeat(times > SHARED, times)
-        many = np.flatnonzero(times > SHARED)
-        side = _blob(doc, known, size.astype(np.int32), k1, k2, only.astype(np.int32), times[many].astype(np.int32), node[often])
-        token = np.append(token[~often], token[edge[many]])
-        node = np.append(node[~often], len(only) + np.arange(len(many), dtype=np.int32))
-        times = np.append(np.ones(len(node) - len(many), np.int32), times[many].astype(np.int32))
-        bucket = ((token >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-        order = np.lexsort((node, bucket))
-        token, node, times, bucket = (token[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), node[order], times[order], bucket[order]
-        out = [(-1 - abs(batch // 2), batch, side)]
-        edge = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)).tolist() if len(bucket) else [0]
-        for s, t in zip(edge[:-1], edge[1:], strict=True):
-            out.append((int(bucket[s]), batch, _blob(token[s:t], np.diff(node[s:t], prepend=0).astype(np.int32), times[s:t])))
-        return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.binary())], names=["part", "batch", "blob"])
-
-    def run(batches):
-        ids, texts, size = [], [], 0
-        for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-                ids.append(i), texts.append(text)
-                size += len(text) if text else 0
-                if size >= 2 * CHUNK:
-                    yield emit(ids, texts)
-                    ids, texts, size = [], [], 0
-        if ids:
-            yield emit(ids, texts)
-
-    return run
-
-
-_PACKED = "kind int, batch long, bucket int, blob binary"
-
-
-def _counted(key, table):
-    """Of a bucket's tokens those that two or more sets have, with their count, for each batch; a batch's sets pass."""
-    batch, blobs = table.column("batch"), table.column("blob").to_pylist()
-    if key[0].as_py() < 0:
-        n = len(blobs)
-        return pa.table([pa.array([NODES] * n, pa.int32()), batch, pa.array([-1] * n, pa.int32()), table.column("blob")], names=["kind", "batch", "bucket", "blob"])
-    parts = [_arrays(x, _TOKEN_ARRAYS) for x in blobs]
-    token, times = (np.concatenate([p[i] for p in parts]) for i in (0, 2))
-    order = np.argsort(token, kind="stable")
-    first = np.flatnonzero(np.append(True, token[order][1:] != token[order][:-1]))
-    total = np.add.reduceat(times[order].astype(np.int64), first)
-    count = np.empty(len(token), dtype=np.int32)
-    count[order] = np.repeat(np.minimum(total, 0x7FFFFFFF), np.diff(np.append(first, len(token))))
-    out, at = [], 0
-    for low, step, _ in parts:
-        here = count[at : at + len(low)]
-        keep = here > 1
-        out.append(_blob(low[keep], np.cumsum(step, dtype=np.int32)[keep], here[keep]) if keep.any() else None)
-        at += len(low)
-    n = len(out)
-    found = pa.table([pa.array([TOKENS] * n, pa.int32()), batch, pa.array([key[0].as_py()] * n, pa.int32()), pa.array(out, pa.binary())], names=["kind", "batch", "bucket", "blob"])
-    return found.filter(found.column("blob").is_valid())
-
-
-def _prefixes(percent: int):
-    """A batch's sets and shared tokens to (token, doc_id, k1, typical) of each set's prefix; typical: the mean logarithm of its tokens' counts."""
-
-    def run(key, table):
-        kinds = table.column("kind").to_numpy()
-        blobs, bucket = table.column("blob").to_pylist(), table.column("bucket").to_numpy()
-        sides = [b for b, kind in zip(blobs, kinds, strict=True) if kind == NODES]
-        doc, _, size, k1, _, only, times, members = _arrays(sides[0], _NODE_ARRAYS)
-        tokens, nodes, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        starts = np.cumsum(times) - times
-        for at in np.flatnonzero(kinds == TOKENS).tolist():
-            low, node, count = _arrays(blobs[at], _COUNTED_ARRAYS)
-            token = low.astype(np.int64) | np.int64(int(bucket[at]) << 32)
-            one = node < len(only)
-            group = node[~one] - len(only)
-            each = times[group]
-            tokens += [token[one], np.repeat(token[~one], each)]
-            counts += [count[one], np.repeat(count[~one], each)]
-            nodes += [node[one], members[np.repeat(starts[group], each) + _ranges(each)]]
-        token, node, count = (np.concatenate(x) for x in (tokens, nodes, counts))
-        order = np.lexsort((token, count, node))[:: len(sides)]  # equal batches are one, of which every entry came as often
-        token, node, count = token[order], node[order], count[order]
-        n = size[only].astype(np.int64)
-        typical = np.bincount(node, np.log2(count), len(only)) / np.maximum(n, 1)
-        prefix = n - -(-percent * n // 100) + 1
-        own = np.bincount(node, minlength=len(only))
-        rank = _ranges(own)
-        keep = rank < (prefix - (n - own))[node]
-        at = only[node[keep]]
-        return pa.table([pa.array(x) for x in (token[keep], doc[at], k1[at].view(np.int64), (1000 * typical[node[keep]]).astype(np.int32))], names=["token", "doc_id", "k1", "typical"])
-
-    return run
-
-
-def _rows(batches):
-    """Blobs of sets to (doc_id, n, k1, k2) of every row."""
-    for batch in batches:
-        for blob in batch.column("blob").to_pylist():
-            doc, known, size, k1, k2, *_ = _arrays(blob, _NODE_ARRAYS)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, mask=~known), pa.array(size), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))], names=["doc_id", "n", "k1", "k2"])
 
 
 def bitmaps(hashes: np.ndarray, offsets: np.ndarray, words: int) -> np.ndarray:
@@ -316,7 +119,7 @@ def _decided(k: int, percent: int):
         pairs = table.filter(table.column("b").is_valid())
         rows = table.filter(table.column("b").is_null())
         ids = rows.column("a").to_numpy()
-        hashes, offsets = _sets(texts_of(rows.column("text")), k)
+        hashes, offsets = sets_of(texts_of(rows.column("text")), k)
         order = np.argsort(ids, kind="stable")
         a, b = pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
         classes, place = np.unique(np.append(pairs.column("ca").to_numpy(), pairs.column("cb").to_numpy()), return_inverse=True)
@@ -328,11 +131,11 @@ def _decided(k: int, percent: int):
                 root[x] = x = root[root[x]]
             return x
 
-        sets_of = lambda i: [hashes[offsets[j] : offsets[j + 1]] for j in order[np.searchsorted(ids, i, "left", order) : np.searchsorted(ids, i, "right", order)]]
+        of = lambda i: [hashes[offsets[j] : offsets[j + 1]] for j in order[np.searchsorted(ids, i, "left", order) : np.searchsorted(ids, i, "right", order)]]
         found = []
         for i in np.lexsort((b, a)).tolist():
             x, y = find(int(ca[i])), find(int(cb[i]))
-            if x != y and any(_links(s, t, percent) for s in sets_of(a[i]) for t in sets_of(b[i])):
+            if x != y and any(_links(s, t, percent) for s in of(a[i]) for t in of(b[i])):
                 found.append(i)
                 root[max(x, y)] = min(x, y)
         return pa.table([pa.array(a[found]), pa.array(b[found])], names=["a", "b"])
@@ -345,7 +148,11 @@ def _links(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
     return common > 0 and 100 * common >= percent * (len(s) + len(t) - common)
 
 
-def near_classes(docs: DataFrame, k: int = 5, percent: int = 80, tile: int = TILE, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def _units(batch):
+    return (((i,), t) for i, t in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True))
+
+
+def near_classes(docs: DataFrame, k: int = 5, percent: int = 80, tile: int = TILE, bucket_bytes: int = rarity.BUCKET_BYTES) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links, the row's own included).
 
     Needs doc_id and text. A null or wordless text has an empty set and links
@@ -354,15 +161,13 @@ def near_classes(docs: DataFrame, k: int = 5, percent: int = 80, tile: int = TIL
     """
     rows = docs.select("doc_id", "text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    moved = rows.mapInArrow(_packed(k, 1 + size // bucket_bytes), "part long, batch long, blob binary").groupBy("part")
-    packed = stored(moved.applyInArrow(_counted, _PACKED), "packed")
-    sets = stored(packed.where(F.col("kind") == NODES).mapInArrow(_rows, "doc_id long, n int, k1 long, k2 long"), "sets")
-    prefixes = stored(packed.groupBy("batch").applyInArrow(_prefixes(percent), "token long, doc_id long, k1 long, typical int"), "prefixes")
+    packed = rarity.counted(rows, size, _units, ["doc_id"], k, bucket_bytes=bucket_bytes)
+    sets, prefixes = rarity.sets(packed, ["doc_id"]), rarity.prefixes(packed, ["doc_id"], percent)
     release(packed)
     same = ["k1", "k2", "n"]
     leaders = sets.where("n > 0").groupBy(same).agg(F.min("doc_id").alias("leader"))
     copies = stored(sets.join(leaders, same).where("doc_id != leader").select("doc_id", "leader", "k1").distinct(), "copies")
-    own = prefixes.join(copies, ["doc_id", "k1"], "left_anti").groupBy("token", "doc_id").agg(F.max("typical").alias("typical"))
+    own = prefixes.join(copies, ["doc_id", "k1"], "left_anti").select("doc_id", "typical", F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("token")).groupBy("token", "doc_id").agg(F.max("typical").alias("typical"))
     own = stored(own, "own")
     many = own.groupBy("token").count().where("count > 1").select("token")
     postings = stored(own.join(many, "token", "left_semi"), "postings")

@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from tallgrass.llm import byte_bpe, language_id, line_dedup, mixing, ngram_join, preference, projected_neighbours, quality, substring_dedup, warc
+from tallgrass.llm import byte_bpe, language_id, line_dedup, mixing, ngram_join, preference, projected_neighbours, quality, rarity, substring_dedup, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -52,7 +52,7 @@ def classes(texts, k, percent):
 @pytest.mark.parametrize("parts", [1, 9])
 def test_near_classes(docs, texts, parts, monkeypatch):
     if parts > 1:  # tokens meet in buckets, are often shared within a batch, and tiles hold two sets
-        monkeypatch.setattr(ngram_join, "SHARED", 2)
+        monkeypatch.setattr(rarity, "SHARED", 2)
         monkeypatch.setattr(ngram_join, "MEETINGS", 1)
         docs = docs.repartition(parts)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_classes(docs, 4, 85, tile=2 if parts > 1 else 2000, bucket_bytes=50_000).collect()}
@@ -65,7 +65,7 @@ def test_near_classes(docs, texts, parts, monkeypatch):
 def test_near_classes_of_a_hot_group(spark, meetings, monkeypatch):
     """A third of all documents are near copies, of which only some link; another third share a passage and no more."""
     monkeypatch.setattr(ngram_join, "MEETINGS", meetings)
-    monkeypatch.setattr(ngram_join, "SHARED", 3)
+    monkeypatch.setattr(rarity, "SHARED", 3)
     rng = np.random.default_rng(5)
     base, passage, rows = [f"b{i}" for i in range(80)], [f"p{i}" for i in range(30)], []
     for d in range(0, 180, 3):
