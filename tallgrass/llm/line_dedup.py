@@ -1,4 +1,4 @@
-"""Removal of lines that an earlier line matches, by an exact set-similarity join, on the JVM only.
+"""Removal of lines that an earlier line matches, by an exact set-similarity join.
 
 A line's set holds its distinct `gram`-word shingles (a shorter line's only one
 is the whole line). Lines match when the Jaccard similarity of their sets is at
@@ -6,40 +6,37 @@ least `percent` / 100. A line goes when an earlier line matches it; lines are
 judged on the input, not on what is left. Earlier means smaller in (doc_id, row,
 line number), where the row is told by a hash of its text.
 
-Tokens are ordered by rarity: by the count of their first word over all
-documents, in a hashed table of fixed size whose entries are logarithms and
-never saturate, then by hash. Two matching sets share a token in their prefixes.
-Tokens are counted first (with partial sums before the shuffle), and only those
-of two or more lines are joined back; of equal sets only the first line goes on,
-so a line that a third of all documents repeat is one. Length and positional
-filters and bitmaps of the sets drop most pairs; the rest are verified on whole
-sets, for which only the lines concerned are split again.
+Tokens are ordered by rarity: by their exact count over all lines (`rarity`,
+numpy in Arrow batches), then by hash. Two matching sets share a token in their
+prefixes, and only tokens that another set has can be shared, so most lines
+leave here. The rest is DataFrame code: of equal sets only the first line goes
+on, so a line that a third of all documents repeat is one; length and positional
+filters and bitmaps of the sets drop most pairs that share a prefix token, and
+the others are verified on the tokens that a set shares with any other, as the
+rest of its tokens can't be in common.
 
 Lines that share a prefix token are never all paired at once: each first meets
-the earliest of them, and only lines that this doesn't remove meet the others.
+the earliest and the most typical line of its token, and only lines that these
+have not removed meet all the others.
 
 Defined results: a line without words is kept and matches nothing; a null text
 has no lines; rows with a null doc_id keep their lines and remove none; rows of
 one doc_id and one text are one, whose equal lines at one place don't remove one
 another; rows of one doc_id with different texts are told apart by 31 bits of
-their texts' hash. Other columns pass through `deduplicated` untouched.
+their texts' hash. Other columns pass through `deduplicated` untouched. docs must
+come from a scan, whose rows have a fixed order (see `rarity`).
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, release, stored
+from . import rarity
+from .common import let, release, stored, texts_of
 
 GRAM, PERCENT = 5, 80
-#: Slots of the rarity table, whatever the corpus.
-SLOTS = 1 << 16
-#: Low bits of a token that are its hash; above them is the logarithm of a count, 64 steps an octave.
-_HASH_BITS = 51
-_CODE = ((1 << 63) - 1) ^ ((1 << _HASH_BITS) - 1)
+_ID = ["doc_id", "line_no"]
 
 
 def _row() -> Column:
@@ -47,74 +44,11 @@ def _row() -> Column:
     return F.shiftleft(F.xxhash64("text").bitwiseAND(F.lit((1 << 31) - 1)), 32)
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (the row's tag and the line's number), line of every line with a word, of documents with a doc_id."""
-    each = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", _row().alias("row"), F.posexplode(F.split("text", "\n")).alias("nth", "line"))
-    each = each.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    return each.select("doc_id", F.col("row").bitwiseOR(F.col("nth").cast("long")).alias("line_no"), "line")
-
-
-def words(line: Column) -> Column:
-    """The words of a line as an array. A split at a plain blank is the cheap one; only lines with other white space pay for a pattern."""
-    plain = F.when(line.rlike(r"[\x09-\x0D]"), F.regexp_replace(line, r"[\x09-\x0D]", " ")).otherwise(line)
-    return F.array_remove(F.split(plain, " "), "")
-
-
-def rarity(docs: DataFrame) -> str:
-    """Name of a session variable with SLOTS logarithms of the counts of the words of all documents' lines, by hashed slot, as high bits of a token.
-
-    A variable takes the table into the plan as a constant: neither a subquery
-    nor a column could be read inside a lambda without a copy for every row.
-    """
-    spark = docs.sparkSession
-    each = lines(docs).select(F.explode(words(F.col("line"))).alias("w")).select(_slot(F.xxhash64("w")).alias("slot"))
-    counts = each.groupBy("slot").count()
-    every = spark.range(SLOTS).select(F.col("id").cast("int").alias("slot"))
-    code = F.floor(64 * F.log2(F.coalesce("count", F.lit(0)) + F.lit(1.0))).cast("long")
-    rows = every.join(counts, "slot", "left").select("slot", F.shiftleft(code, _HASH_BITS).alias("code"))
-    table = rows.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "code"))), lambda r: r["code"]).alias("codes"))
-    name = f"line_rarity_{uuid.uuid4().hex}"
-    spark.sql(f"DECLARE VARIABLE {name} ARRAY<BIGINT>")
-    spark.sql(f"SET VARIABLE {name} = (SELECT codes FROM {{table}})", table=table)
-    return name
-
-
-def _slot(h: Column) -> Column:
-    return h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")
-
-
-def _sets(rows: DataFrame, counts: str, gram: int) -> DataFrame:
-    """Replaces line by tokens: the line's set, rarest first. A token is its first word's code above the bits of its hash.
-
-    A word's hash carries its code already; a shingle is a struct of words' hashes,
-    from arrays shifted against one another. Nothing is nullable, so that
-    arrays of longs are sorted as such.
-    """
-    zero = F.lit(0).cast("long")
-    short = lambda h: F.shiftrightunsigned(h, 64 - _HASH_BITS)
-    coded = lambda x: F.coalesce(F.get(F.expr(counts), _slot(x)), zero).bitwiseOR(short(x))
-    token = lambda first, h: F.coalesce(first.bitwiseAND(F.lit(_CODE)), zero).bitwiseOR(short(h))
-    rows = rows.withColumn("__h", F.transform(words(F.col("line")), lambda w: F.xxhash64(w))).drop("line")
-    rows = rows.withColumn("__h", F.transform("__h", coded))
-    some = F.greatest(F.size("__h") - (gram - 1), F.lit(0))
-    shingles = F.arrays_zip(*(F.slice("__h", F.lit(i + 1), some).alias(f"w{i}") for i in range(gram)))
-    whole = F.array(token(F.get("__h", F.lit(0)), F.xxhash64("__h")))
-    tokens = F.when(F.size("__h") < gram, whole).otherwise(F.transform(shingles, lambda s: token(s["w0"], F.xxhash64(s))))
-    return rows.withColumn("tokens", F.sort_array(F.array_distinct(tokens))).drop("__h")
-
-
-def least_common(n: Column, percent: int) -> Column:
-    """ceil(n * percent / 100)."""
-    return F.floor((n * percent + 99) / 100).cast("int")
-
-
-def occurrences(docs: DataFrame, counts: str, gram: int, percent: int) -> DataFrame:
-    """doc_id, line_no, k1, k2 (of the set), n (its size) and prefix of every line with a word."""
-    rows = _sets(lines(docs), counts, gram).withColumn("n", F.size("tokens"))
-    return rows.select("doc_id", "line_no", F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(1), "tokens").alias("k2"), "n", F.slice("tokens", F.lit(1), F.col("n") - least_common(F.col("n"), percent) + 1).alias("prefix"))
-
-
-_ID = ["doc_id", "line_no"]
+def _lines(batch):
+    """((doc_id, row tag and line number), line) of the lines of a batch of (doc_id, row, text)."""
+    for doc, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2)), strict=True):
+        for n, line in enumerate(text.split(b"\n")):
+            yield (doc, row | n), line
 
 
 def _may_match(percent: int) -> Column:
@@ -132,70 +66,59 @@ def _bitmap() -> Column:
 
 
 def _bits_allow(percent: int) -> Column:
-    """Bits that differ bound from below the tokens that differ, so from above the overlap of rows a and b."""
+    """Bits that differ, and tokens that no other set has, bound from below the tokens that differ, so from above the overlap of rows a and b."""
     differ = sum((F.bit_count(F.get("a.bits", F.lit(i)).bitwiseXOR(F.get("b.bits", F.lit(i)))) for i in range(4)), F.lit(0))
-    return (100 + percent) * differ <= (100 - percent) * (F.col("a.n") + F.col("b.n"))
+    return (100 + percent) * (differ + F.col("a.alone") + F.col("b.alone")) <= (100 - percent) * (F.col("a.n") + F.col("b.n"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _removed_by(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The later lines (doc_id, line_no) of pairs whose sets match; pairs: d1, l1 (earlier), doc_id, line_no."""
-    one = sets.select(F.col("doc_id").alias("d1"), F.col("line_no").alias("l1"), F.col("tokens").alias("t1"))
+    one = sets.select(F.col("doc_id").alias("d1"), F.col("line_no").alias("l1"), F.col("tokens").alias("t1"), F.col("n").alias("n1"))
     both = pairs.distinct().join(sets, _ID).join(one, ["d1", "l1"])
     common = F.size(F.array_intersect("tokens", "t1"))
-    return both.where(100 * common >= percent * (F.size("tokens") + F.size("t1") - common)).select(*_ID).distinct()
-
-
-def _shared(lines_at: DataFrame, firsts: DataFrame) -> DataFrame:
-    """doc_id, line_no, n, pos, token of the prefixes of first lines, of tokens that two or more of them have; first: the earliest of these."""
-    tokens = lines_at.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1")
-    tokens = stored(tokens.select("token"), "tokens")
-    each = lines_at.select(*_ID, "n", F.posexplode("prefix").alias("pos", "token")).join(tokens, "token")
-    each = stored(each.join(firsts.select("doc_id", "line_no"), _ID, "left_semi"), "each")
-    release(tokens)
-    grouped = each.groupBy("token").agg(F.count("*").alias("times"), F.min(F.struct(*_ID, "n", "pos")).alias("first"))
-    shared = stored(each.join(grouped.where("times > 1").drop("times"), "token"), "shared")
-    release(each)
-    return shared
-
-
-def _near(shared: DataFrame, docs: DataFrame, counts: str, gram: int, percent: int) -> DataFrame:
-    """First occurrences (doc_id, line_no) of sets that an earlier, different set matches."""
-    wanted = stored(_found_again(docs, shared.select(*_ID).distinct(), counts, gram), "sets")
-    plain = shared.drop("first")
-    same_first = (F.col("b.doc_id") == F.col("a.doc_id")) & (F.col("b.line_no") == F.col("a.line_no"))
-    of_pair = [F.col("b.doc_id").alias("d1"), F.col("b.line_no").alias("l1"), F.col("a.doc_id").alias("doc_id"), F.col("a.line_no").alias("line_no")]
-    with_first = shared.select(F.struct(*_ID, "n", "pos").alias("a"), F.col("first").alias("b")).where(~same_first & _may_match(percent))
-    removed = stored(_verified(with_first.select(*of_pair), wanted, percent), "removed")
-    bits = stored(plain.join(wanted.select(*_ID, _bitmap().alias("bits")), _ID), "bits")
-    left = bits.join(removed, _ID, "left_anti").alias("a")
-    earlier = F.struct("b.doc_id", "b.line_no") < F.struct("a.doc_id", "a.line_no")
-    rest = left.join(bits.alias("b"), (F.col("a.token") == F.col("b.token")) & earlier & _may_match(percent) & _bits_allow(percent))
-    near = stored(removed.unionByName(_verified(rest.select(*of_pair), wanted, percent)).distinct(), "near")
-    release(wanted, removed, bits)
+    return both.where(100 * common >= percent * (F.col("n") + F.col("n1") - common)).select(*_ID).distinct()
+
+
+def _near(sets: DataFrame, percent: int) -> DataFrame:
+    """Of first lines with their shared tokens, those (doc_id, line_no) that an earlier one matches, stored."""
+    alone = F.col("n") - F.size("tokens")
+    bits = sets.select(*_ID, "n", "typical", alone.alias("alone"), _bitmap().alias("bits"), F.posexplode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("nth", "token"))
+    # Tokens that no other line has are not listed but come first in the order: they count for the places.
+    bits = bits.withColumn("pos", F.col("nth") + F.col("alone")).drop("nth")
+    grouped = bits.groupBy("token").agg(F.count("*").alias("times"), F.min(F.struct(*_ID, "n", "pos", "alone", "bits")).alias("first"), F.max(F.struct("typical", -F.col("doc_id"), -F.col("line_no"), *_ID, "n", "pos", "alone", "bits")).alias("met"))
+    shared = stored(bits.join(grouped.where("times > 1").drop("times"), "token"), "shared")
+    pair = lambda a, b: [F.col(f"{b}.doc_id").alias("d1"), F.col(f"{b}.line_no").alias("l1"), F.col(f"{a}.doc_id").alias("doc_id"), F.col(f"{a}.line_no").alias("line_no")]
+    earlier = lambda a, b: F.struct(f"{b}.doc_id", f"{b}.line_no") < F.struct(f"{a}.doc_id", f"{a}.line_no")
+    may = _may_match(percent) & _bits_allow(percent)
+    own = F.struct(*_ID, "n", "pos", "alone", "bits")
+    of = lambda name: shared.select(own.alias("a"), F.col(name).alias("b")).where(earlier("a", "b") & may).select(*pair("a", "b"))
+    removed = stored(_removed_by(of("first").union(of("met")), sets, percent), "removed")
+    left = shared.drop("first", "met").join(removed, _ID, "left_anti").alias("a")
+    rest = left.join(shared.drop("first", "met").alias("b"), (F.col("a.token") == F.col("b.token")) & earlier("a", "b") & may)
+    near = stored(removed.unionByName(_removed_by(rest.select(*pair("a", "b")), sets, percent)).distinct(), "near")
+    release(shared, removed)
     return near
 
 
-def _found_again(docs: DataFrame, ids: DataFrame, counts: str, gram: int) -> DataFrame:
-    """doc_id, line_no, tokens of the lines named by ids. Lines move as text, which is smaller than their tokens; only those found are split again."""
-    return _sets(lines(docs).join(ids, _ID).dropDuplicates(_ID), counts, gram)
-
-
-def removed_lines(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
-    """doc_id, line_no (the row's tag and the line's number) of every line that an earlier line matches."""
-    spark = docs.sparkSession
-    counts = rarity(docs)
-    lines_at = stored(occurrences(docs, counts, gram, percent), "occurrences")
-    firsts = stored(lines_at.groupBy("k1", "k2", "n").agg(F.min(F.struct(*_ID)).alias("first")).select("k1", "k2", "n", "first.*"), "firsts")
-    shared = _shared(lines_at, firsts)
-    near = _near(shared, docs, counts, gram, percent)
-    spark.sql(f"DROP TEMPORARY VARIABLE IF EXISTS {counts}")
-    marked = firsts.join(near.withColumn("near", F.lit(True)), _ID, "left")
+def removed_lines(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, bucket_bytes: int = rarity.BUCKET_BYTES) -> DataFrame:
+    """doc_id, line_no (the row's tag and the line's number) of every line that an earlier line matches, stored."""
+    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", _row().alias("row"), "text")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    packed = rarity.counted(rows, size, _lines, _ID, gram, fold=False, bucket_bytes=bucket_bytes)
+    lines_at, prefixes = rarity.sets(packed, _ID), rarity.prefixes(packed, _ID, percent)
+    release(packed)
+    keys = ["k1", "k2", "n"]
+    some = lines_at.where("n > 0")
+    firsts = stored(some.groupBy(*keys).agg(F.min(F.struct(*_ID)).alias("first"), F.count("*").alias("times")).select(*keys, "first.*", "times"), "firsts")
+    sets = stored(prefixes.join(firsts.select(*_ID), _ID, "left_semi").dropDuplicates(_ID), "first_sets")
+    near = _near(sets, percent)
+    release(prefixes, sets)
+    marked = firsts.join(near.withColumn("near", F.lit(True)), _ID, "left").where("near OR times > 1")
     # Stored, both sides of the join are plain shuffles, of which Spark splits the hot line's.
-    marked = stored(marked.select("k1", "k2", "n", F.col("doc_id").alias("d"), F.col("line_no").alias("l"), "near"), "marked")
-    rows = lines_at.select(*_ID, "k1", "k2", "n").join(marked, ["k1", "k2", "n"])
+    marked = stored(marked.select(*keys, F.col("doc_id").alias("d"), F.col("line_no").alias("l"), "near"), "marked")
     copy = F.struct(*_ID) > F.struct("d", "l")
-    removed = stored(rows.where(copy | F.col("near")).select(*_ID), "removed")
-    release(lines_at, firsts, shared, near, marked)
+    removed = stored(some.join(marked, keys).where(copy | F.col("near")).select(*_ID), "removed")
+    release(lines_at, firsts, near, marked)
     return removed
 
 

@@ -8,6 +8,7 @@ from itertools import combinations
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from tallgrass.llm import byte_bpe, language_id, line_dedup, mixing, ngram_join, preference, projected_neighbours, quality, rarity, substring_dedup, warc
 
@@ -123,15 +124,18 @@ def removed_lines(rows):
 
 
 @pytest.mark.parametrize("parts", [1, 9])
-def test_lines(docs, texts, parts):
+def test_lines(docs, texts, parts, monkeypatch):
     want = dict(zip(sorted(texts), removed_lines([(d, texts[d]) for d in sorted(texts)]), strict=True))
     docs = docs.repartition(parts)
+    if parts > 1:
+        monkeypatch.setattr(rarity, "SHARED", 2)
+        assert {tuple(r) for r in line_dedup.removed_lines(docs, bucket_bytes=20_000).select("doc_id", F.col("line_no").bitwiseAND(0xFFFFFFFF)).collect()} == {(d, n) for d, gone in want.items() for n in gone}
+        return
     got = {r.doc_id: list(r.removed_lines) for r in line_dedup.summary(docs).collect()}
     assert got == want
-    if parts == 1:
-        kept = {r.doc_id: r.text for r in line_dedup.deduplicated(docs).collect()}
-        for d, t in kept.items():
-            assert t == (None if texts[d] is None else "\n".join(x for n, x in enumerate(texts[d].split("\n")) if n not in want[d]))
+    kept = {r.doc_id: r.text for r in line_dedup.deduplicated(docs).collect()}
+    for d, t in kept.items():
+        assert t == (None if texts[d] is None else "\n".join(x for n, x in enumerate(texts[d].split("\n")) if n not in want[d]))
 
 
 def test_lines_of_a_hot_token(spark):
