@@ -82,7 +82,7 @@ def _removed_by(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _near(sets: DataFrame, percent: int) -> DataFrame:
     """Of first lines with their shared tokens, those (doc_id, line_no) that an earlier one matches, stored."""
     alone = F.col("n") - F.size("tokens")
-    bits = sets.select(*_ID, "n", "typical", alone.alias("alone"), _bitmap().alias("bits"), F.posexplode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("nth", "token"))
+    bits = sets.select(*_ID, "n", "typical", alone.alias("alone"), "bits", F.posexplode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("nth", "token"))
     # Tokens that no other line has are not listed but come first in the order: they count for the places.
     bits = bits.withColumn("pos", F.col("nth") + F.col("alone")).drop("nth")
     grouped = bits.groupBy("token").agg(F.count("*").alias("times"), F.min(F.struct(*_ID, "n", "pos", "alone", "bits")).alias("first"), F.max(F.struct("typical", -F.col("doc_id"), -F.col("line_no"), *_ID, "n", "pos", "alone", "bits")).alias("met"))
@@ -110,7 +110,7 @@ def removed_lines(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, buc
     keys = ["k1", "k2", "n"]
     some = lines_at.where("n > 0")
     firsts = stored(some.groupBy(*keys).agg(F.min(F.struct(*_ID)).alias("first"), F.count("*").alias("times")).select(*keys, "first.*", "times"), "firsts")
-    sets = stored(prefixes.join(firsts.select(*_ID), _ID, "left_semi").dropDuplicates(_ID), "first_sets")
+    sets = stored(prefixes.join(firsts.select(*_ID), _ID, "left_semi").dropDuplicates(_ID).withColumn("bits", _bitmap()), "first_sets")
     near = _near(sets, percent)
     release(prefixes, sets)
     marked = firsts.join(near.withColumn("near", F.lit(True)), _ID, "left").where("near OR times > 1")
