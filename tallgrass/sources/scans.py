@@ -136,13 +136,17 @@ def error_log(rows: DataFrame) -> DataFrame:
     return e.withColumn("stage", F.coalesce(F.nullif("stage", F.lit("")), F.lit("other"))).withColumn("category", F.coalesce(F.nullif("category", F.lit("")), F.lit("unknown"))).withColumn("resolved", F.coalesce("resolved", F.lit(False)))
 
 
-def purged(log: DataFrame, before: str | None = None, source: str = "all", resolved_only: bool = False) -> DataFrame:
-    """The log without the entries that all given conditions meet; None and 'all' are no condition, and no condition at all takes every entry."""
+def purged(log: DataFrame, source: str = "all", stage: str = "", category: str = "", resolved: bool | None = None) -> DataFrame:
+    """The log without the entries that all given conditions meet; 'all', '' and None are no condition, and no condition at all takes every entry."""
     gone = F.lit(True)
-    if before is not None:
-        gone &= F.coalesce(F.col("timestamp") < before, F.lit(False))
-    if source != "all":
-        gone &= F.coalesce(F.col("source") == source, F.lit(False))
-    if resolved_only:
-        gone &= F.col("resolved")
+    for name, value in (("source", "" if source == "all" else source), ("stage", stage), ("category", category)):
+        if value:
+            gone &= F.coalesce(F.col(name) == value, F.lit(False))
+    if resolved is not None:
+        gone &= F.col("resolved") == resolved
     return log.where(~gone)
+
+
+def valid_payload(json: Column) -> Column:
+    """Whether a text is a JSON object, as payloads of jobs must be; null is not."""
+    return F.coalesce(json.rlike(r"^\s*\{") & F.try_parse_json(json).isNotNull(), F.lit(False))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallgrass.operators import catalog, diff, library, relate, sequence
-from tallgrass.sources import scans
+from tallgrass.sources import mirror, scans
 from tallgrass.streaming import breaker, progress
 
 FILE = "path string, file_id string, size bigint, mtime double, source string, content string, kind string"
@@ -106,7 +106,10 @@ def test_error_log(spark):
     rows = spark.createDataFrame([('{"id":"1","timestamp":"2024","stage":"","source":"a"}',), ("broken",), ('{"id":"2","timestamp":"2025","stage":"s","resolved":true,"source":"b"}',)], "value string")
     log = scans.error_log(rows)
     assert sorted((r.id, r.stage, r.category, r.resolved) for r in log.collect()) == [("1", "other", "unknown", False), ("2", "s", "unknown", True)]
-    assert [r.id for r in scans.purged(log, before="2025").collect()] == ["2"] and scans.purged(log).count() == 0 and scans.purged(log, source="b", resolved_only=True).count() == 1
+    assert [r.id for r in scans.purged(log, stage="other").collect()] == ["2"] and scans.purged(log).count() == 0 and scans.purged(log, source="b", resolved=True).count() == 1
+    assert [r.text for r in mirror.error_report(log).orderBy("timestamp").collect()] == ["[2024]  · other · unknown · a\n    ", "[2025]  · s · unknown · b · resolved\n    "]
+    payloads = spark.createDataFrame([('{"a":[1]}',), ("[1]",), ("{broken",), (None,)], "value string")
+    assert [r.v for r in payloads.select(scans.valid_payload(F.col("value")).alias("v")).collect()] == [True, False, False, False]
 
 
 BREAKER = [("a", 1, 0.0, "failure", "timeout"), ("a", 2, 1.0, "failure", "odd"), ("a", 3, 2.0, "failure", "timeout"), ("a", 4, 3.0, "success", ""), ("a", 5, 4.0, "ask", ""), ("a", 6, 5.0, "failure", "rate_limit"), ("a", 7, 4000.0, "ask", ""), ("a", 8, 4001.0, "ask", ""), ("a", 9, 4002.0, "failure", "not_found"), ("b", 1, 0.0, "failure", "risk_control"), ("b", 2, 1.0, "failure", "rate_limit"), (None, 1, 0.0, "ask", "")]
@@ -135,3 +138,9 @@ def test_breaker_stream(spark, tmp_path):
 def test_progress(spark):
     e = spark.createDataFrame([("w", "e", 1, 950.0, 1000.0), ("w", "e", 2, 10.0, 1000.0), ("w", "f", 1, None, 5.0)], "work_id string, episode_id string, at int, position double, duration double")
     assert sorted((r.episode_id, r.ratio, r.completed) for r in progress.progress(e).collect()) == [("e", 0.01, True), ("f", 0.0, False)]
+
+
+def test_eviction(spark):
+    c = spark.createDataFrame([(1, 10, 5), (2, 90_000, 5), (3, 90_001, None), (4, None, 1), (5, 200_000, 4)], "k int, used bigint, size bigint")
+    gone = lambda rows, size: sorted(r.k for r in mirror.evicted(c, "k", "used", "size", rows, size).collect())
+    assert gone(9, 99) == [] and gone(2, 99) == [1, 2, 4] and gone(9, 8) == [1, 2, 4] and gone(9, 9) == [1, 4]
