@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 # Words and patterns of release names.
 STATUS_WORDS = ["[完结]", "【完结】", "(完结)", "（完结）", "[连载中]", "【连载中】"]
@@ -95,3 +97,61 @@ def cast_names(x, most: int = 14) -> Column:
     """Names among the first `most` entries of a JSON list; blanks are left out after the cut."""
     rows = F.slice(F.coalesce(F.from_json(_c(x), "array<struct<name:string>>"), F.array().cast("array<struct<name:string>>")), 1, most)
     return F.filter(F.transform(rows, lambda r: F.trim(r["name"])), lambda n: n != "")
+
+
+@F.pandas_udf(DoubleType())
+def block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Twice the characters in matching blocks over all characters, longest block first; the order of arguments matters. Null counts as empty."""
+    from difflib import SequenceMatcher
+
+    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(StringType())
+def folded(x: pd.Series) -> pd.Series:
+    """Compatibility form without case, as titles are compared across widths and scripts; null gives empty."""
+    from unicodedata import normalize
+
+    return pd.Series([normalize("NFKC", v or "").casefold() for v in x])
+
+
+def identity(title) -> Column:
+    """A title as an identity: compatibility form without case, words for films as 'movie', only letters a-z, digits, Han and kana."""
+    x = folded(_c(title))
+    x = F.regexp_replace(x, "剧场版|劇場版|电影版|電影版|the movie|gekijouban", "movie")
+    return F.regexp_replace(x, r"[^0-9a-z\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}]", "")
+
+
+def same_title(a, b, least: int = 5, share: float = 0.82) -> Column:
+    """Whether two titles are one: equal as identities, or one holds the other, which has `least` characters and that share of its length."""
+    x, y = identity(a), identity(b)
+    short, long = F.when(F.length(x) <= F.length(y), x).otherwise(y), F.when(F.length(x) <= F.length(y), y).otherwise(x)
+    holds = F.contains(long, short) & (F.length(short) >= least) & (F.length(short) >= share * F.length(long))
+    return (x != "") & ((x == y) | holds)
+
+
+def display_titles(name, original) -> Column:
+    """(primary, secondary): a name in Han characters without kana goes first, else the original if that is so, else the name; the secondary is empty where equal."""
+    n, o = F.coalesce(_c(name), F.lit("")), F.coalesce(_c(original), F.lit(""))
+    han = lambda x: x.rlike(r"[\x{4E00}-\x{9FFF}]") & ~x.rlike(r"[\x{3040}-\x{30FF}]")
+    first = F.when(han(n), n).when(han(o), o).when(n != "", n).otherwise(o)
+    second = F.when(first == n, o).otherwise(n)
+    return F.struct(first.alias("primary"), F.when(second == first, "").otherwise(second).alias("secondary"))
+
+
+def is_noise(query) -> Column:
+    """Whether a text is no use as a search query: too short, only digits and signs, a format or a team."""
+    q = one_spaced(F.coalesce(_c(query), F.lit("")))
+    core = F.regexp_replace(q, r"[\s\p{Punct}]+", "")
+    return (F.length(core) < 2) | core.rlike(r"^\d+$") | is_tech(q) | is_team(q) | q.rlike(r"(?i)^(?:season|s|第)\s*\d+\s*季?$")
+
+
+def variants(title, most: int = 12) -> Column:
+    """Distinct search forms of a title in order: itself, without brackets, dots as blanks, without film words, without a sequel's number; noise left out."""
+    t = one_spaced(F.coalesce(_c(title), F.lit("")))
+    plain = one_spaced(F.regexp_replace(t, r"[\[(（【][^\])）】]*[\])）】]", " "))
+    dots = one_spaced(F.regexp_replace(plain, r"[._·・]+", " "))
+    film = one_spaced(F.regexp_replace(dots, r"(?i)剧场版|劇場版|电影版|(?<![A-Za-z])the movie(?![A-Za-z])", " "))
+    sequel = one_spaced(F.regexp_replace(film, r"(?i)\s*(?:第\s*\d+\s*季|season\s*\d+|s\d{1,2}|\s[2-9]|[ⅡⅢⅣⅤ])$", ""))
+    half = one_spaced(F.regexp_extract(film, r"^([^:：~～\-]{2,})[:：~～\-]", 1))
+    return F.slice(F.array_distinct(F.filter(F.array(t, plain, dots, film, sequel, half), lambda x: ~is_noise(x))), 1, most)

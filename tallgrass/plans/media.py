@@ -170,3 +170,9 @@ def jitter_due(spark: SparkSession, d: str) -> DataFrame:
 def progress_ratios(spark: SparkSession, d: str) -> DataFrame:
     level = lambda n, name: F.when(F.col("event_id") % n == 0, name).otherwise("high")
     return table(spark, d, "events").select("event_id", score.progress_ratio(F.col("event_id") % 100, "value").alias("ratio"), score.least_confidence(level(2, "medium"), level(3, "low")).alias("confidence"))
+
+
+@query("SELECT p_partkey, regexp_replace(lower(p_name), '[^0-9a-z]', '', 'g') AS identity, regexp_replace(lower(p_name), '[^0-9a-z]', '', 'g') = regexp_replace(lower(p_type), '[^0-9a-z]', '', 'g') AS same, 1.0::DOUBLE AS ratio, p_name AS first_form FROM part")
+def title_identity(spark: SparkSession, d: str) -> DataFrame:
+    wide = F.concat(F.upper("p_name"), F.lit("！"))
+    return table(spark, d, "part").select("p_partkey", text.identity(wide).alias("identity"), text.same_title("p_name", "p_type").alias("same"), text.block_ratio("p_name", "p_name").alias("ratio"), F.get(text.variants("p_name"), F.lit(0)).alias("first_form"))

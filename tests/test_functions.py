@@ -95,3 +95,12 @@ def test_scores(spark):
 def test_pipeline_states(spark):
     rows = [("draft", None, None, None), ("a", None, None, None), ("a", "failed", None, None), ("a", "queued", None, None), ("a", "succeeded", None, None), ("a", "succeeded", "running", None), ("a", "succeeded", "succeeded", None), ("a", "succeeded", "succeeded", "queued"), ("a", "succeeded", "succeeded", "cancelled")]
     assert values(spark, score.pipeline_state("a", "b", "c", "d"), rows) == ["needs_review", "queued", "failed", "mirroring", "mirrored", "scraping", "completed", "updating_library", "cancelled"]
+
+
+def test_likeness_of_titles(spark):
+    assert values(spark, text.block_ratio("a", "b"), [("tide", "diet"), ("diet", "tide"), ("abc", "abc"), (None, "a"), (None, None)]) == [0.25, 0.5, 1.0, 0.0, 1.0]
+    assert values(spark, text.identity("a"), [("ＡＢＣ the Movie!",), ("剧场版 名",), (None,)]) == ["abcmovie", "movie名", ""]
+    assert values(spark, text.same_title("a", "b"), [("A-B c", "abc"), ("abcdefghi", "abcdefghij"), ("abc", "abcd"), ("", ""), (None, "a")]) == [True, True, False, False, False]
+    assert [tuple(r) for r in values(spark, text.display_titles("a", "b"), [("Name", "名字"), ("名字", "なまえ"), ("Name", "なまえ"), (None, "x"), ("x", "x")])] == [("名字", "Name"), ("名字", "なまえ"), ("Name", "なまえ"), ("x", ""), ("x", "")]
+    assert values(spark, text.is_noise("a"), [("1080p",), ("12",), ("VCB-Studio",), ("Season 2",), ("Show",), (None,)]) == [True, True, True, True, False, True]
+    assert values(spark, text.variants("a"), [("Some.Show [x] Season 2",), ("1",), (None,)]) == [["Some.Show [x] Season 2", "Some.Show Season 2", "Some Show Season 2", "Some Show"], [], []]
