@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallgrass.llm import byte_bpe, mixing, projected_neighbours, quality, warc
 from tallgrass.llm.common import smallest, stored
+from tallgrass.llm.components import components
 
 from .test_operators import SCHEMA, WORD, classes, removed_lines
 
@@ -159,3 +160,23 @@ def test_smallest_hashes(spark):
     want = {r.id for r in rows.orderBy(F.shiftrightunsigned(hashed, 1)).limit(100).collect()}
     assert {r.id for r in smallest(rows, hashed, 100, "id").collect()} == want
     assert smallest(rows, hashed, 9000).count() == 5000 and smallest(rows.limit(0), hashed, 5).count() == 0
+
+
+def test_components(spark):
+    """Chains, stars, cycles, self-edges, nulls and no edges at all."""
+    rng = np.random.default_rng(6)
+    edges = [(i, i + 1) for i in range(20)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 201), (201, 202), (202, 200)] + [(300, 300), (None, 5), (5, None), (7, 3)] + [tuple(map(int, rng.integers(400, 460, 2))) for _ in range(40)]
+    root = {x: x for e in edges if None not in e for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
