@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import zlib
 from collections import Counter
 
 import corpus_pipeline
@@ -10,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tallgrass.llm import byte_bpe, mixing, projected_neighbours, quality, warc
+from tallgrass.llm import byte_bpe, language_id, mixing, projected_neighbours, quality, warc
 from tallgrass.llm.common import smallest, stored
 from tallgrass.llm.components import components
 
@@ -180,3 +181,43 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_language_by_brute_force(spark, small):
+    """Profiles built letter by letter, over several partitions; only the letters' vectors are the operator's."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("doc_id < 80").select("doc_id", "text", F.when(F.col("doc_id") % 11 != 0, F.col("lang")).alias("lang"))
+    vectors: dict[int, np.ndarray] = {}
+
+    def letter(code: int) -> np.ndarray:
+        if code not in vectors:
+            vectors[code] = language_id.letter_vectors(np.array([code]))[0].astype(int)
+        return vectors[code]
+
+    def profile(text: str | None) -> np.ndarray:
+        line = [0]
+        for c in (text or "").lower():
+            code = ord(c) if c.isalpha() else 0
+            if code or line[-1]:
+                line.append(code)
+        counts = Counter(x for x in zip(line, line[1:], [*line[2:], 0], strict=False) if x[1])
+        out = np.zeros(language_id.DIM, int)
+        for (a, b, c), n in counts.items():
+            out += n * np.roll(letter(a), 2) * np.roll(letter(b), 1) * letter(c)
+        return out
+
+    rows = docs.collect()
+    own, learned = {r.doc_id: profile(r.text) for r in rows}, {}
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in rows}
+    for r in rows:
+        if r.lang is not None and not held[r.doc_id]:
+            learned[r.lang] = learned.get(r.lang, 0) + own[r.doc_id]
+    for got in language_id.identify(docs.repartition(5)).collect():
+        v = own[got.doc_id]
+        assert got.held_out == held[got.doc_id]
+        if not v.any():
+            assert (got.lang_pred, got.score) == ("und", 0.0)
+            continue
+        cosine = {k: float(v @ p / np.linalg.norm(v) / np.linalg.norm(p)) for k, p in sorted(learned.items())}
+        best = max(cosine, key=cosine.get)
+        assert got.lang_pred == best or cosine[best] - cosine[got.lang_pred] < 1e-9
+        assert got.score == pytest.approx(max(cosine[best], 0.0), abs=1e-9)

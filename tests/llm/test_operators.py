@@ -92,7 +92,9 @@ def test_near_classes_of_repeated_ids(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 5, 7]
 
 
-def test_substrings(docs, texts):
+@pytest.mark.parametrize("parts", [1, 9])
+def test_substrings(docs, texts, parts):
+    """Over several partitions, windows meet in the buckets of their minimisers."""
     first = {}
     words = {d: WORD.findall(t or "") for d, t in texts.items()}
     for d in sorted(words):
@@ -103,7 +105,7 @@ def test_substrings(docs, texts):
         gone = {j for i in range(len(w) - 12) if first[tuple(w[i : i + 13])] < d for j in range(i, i + 13)}
         kept = " ".join(x for i, x in enumerate(w) if i not in gone)
         want[d] = (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup_substrings(docs, 13).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup_substrings(docs.repartition(parts) if parts > 1 else docs, 13).collect()}
     assert got == want
 
 
