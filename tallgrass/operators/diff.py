@@ -61,11 +61,6 @@ def _files(snapshot: DataFrame, name: str) -> DataFrame:
     return snapshot.where("path IS NOT NULL").groupBy("path").agg(F.max(F.struct(*_FILE[1:])).alias("f")).select(F.struct("path", "f.*").alias(name))
 
 
-def _unique(rows: DataFrame, key: Column, name: str) -> DataFrame:
-    """One row of each key: that of the greatest path."""
-    return rows.groupBy(key.alias("k")).agg(F.max(name).alias(name))
-
-
 def compared(old: DataFrame, new: DataFrame) -> DataFrame:
     """change, old_path, new_path, kind, size of every file of two snapshots.
 
@@ -73,44 +68,59 @@ def compared(old: DataFrame, new: DataFrame) -> DataFrame:
     file ids are moved (same name), renamed (alike) or uncertain. Pass 3: of the
     rest, a pair that alone has its stem and size is moved, and a new file whose
     size and a name alike only one free old file has is renamed; where several
-    new files want one old file, the smallest path gets it, and so on in rounds.
+    new files want one old file, the smallest path gets it, in one round.
     Passes 4 and 5: added and missing.
+
+    All files flow through one plan: each pass is a window over its key, in which
+    files that are settled have keys of their own.
     """
-    o, n = _files(old, "o"), _files(new, "n")
-    both = o.join(n, F.col("o.path") == F.col("n.path"), "full")
-    first = both.where("o IS NOT NULL AND n IS NOT NULL").withColumn("change", F.when(changed("o", "n"), "replaced").otherwise("unchanged"))
-    o, n = both.where("n IS NULL").select("o"), both.where("o IS NULL").select("n")
-    by_id = _unique(o.where("o.file_id != ''"), F.col("o.file_id"), "o").join(_unique(n.where("n.file_id != ''"), F.col("n.file_id"), "n"), "k").drop("k")
+    both = _files(old, "o").join(_files(new, "n"), F.col("o.path") == F.col("n.path"), "full")
+    rows = both.select("o", "n", F.when(F.col("o").isNotNull() & F.col("n").isNotNull(), F.when(changed("o", "n"), "replaced").otherwise("unchanged")).alias("change"))
+    file = lambda x: F.coalesce(f"n.{x}", f"o.{x}")
     name = lambda x: basename(f"{x}.path")
-    alike = similarity(stem(name("o")), stem(name("n"))) > ALIKE
-    second = by_id.withColumn("change", F.when(name("o") == name("n"), "moved").when(alike, "renamed").otherwise("uncertain"))
-    o = o.join(second.select(F.col("o.path").alias("p")), F.col("o.path") == F.col("p"), "left_anti")
-    n = n.join(second.select(F.col("n.path").alias("p")), F.col("n.path") == F.col("p"), "left_anti")
-    third = _by_name(o, n)
-    o = o.join(third.select(F.col("o.path").alias("p")), F.col("o.path") == F.col("p"), "left_anti")
-    n = n.join(third.select(F.col("n.path").alias("p")), F.col("n.path") == F.col("p"), "left_anti")
-    empty = lambda x, like: F.lit(None).cast(like.schema[x].dataType).alias(x)
-    rest = n.select(empty("o", first), "n", F.lit("added").alias("change")).unionByName(o.select("o", empty("n", first), F.lit("missing").alias("change")))
-    every = first.unionByName(second).unionByName(third).unionByName(rest)
-    return every.select("change", F.col("o.path").alias("old_path"), F.col("n.path").alias("new_path"), F.coalesce("n.kind", "o.kind").alias("kind"), F.coalesce("n.size", "o.size", F.lit(0)).alias("size"))
-
-
-def _by_name(o: DataFrame, n: DataFrame) -> DataFrame:
-    """Pass 3: pairs (o, n, change)."""
-    keyed = lambda rows, x: rows.select(x, stem(basename(f"{x}.path")).alias(f"s{x}"), F.coalesce(f"{x}.size", F.lit(0)).alias(f"z{x}"))
-    ko, kn = keyed(o, "o"), keyed(n, "n")
-    alone = ko.groupBy("so", "zo").agg(F.max("o").alias("o"), F.count("*").alias("c")).where("c = 1")
-    taken = kn.join(alone, (F.col("sn") == F.col("so")) & (F.col("zn") == F.col("zo")))
-    exact = taken.groupBy("o.path").agg(F.min(F.struct("n.path", "n")).alias("x"), F.first("o").alias("o")).select("o", "x.n", F.lit("moved").alias("change"))
-    free_o = ko.join(exact.select(F.col("o.path").alias("p")), F.col("o.path") == F.col("p"), "left_anti")
-    free_n = kn.join(exact.select(F.col("n.path").alias("p")), F.col("n.path") == F.col("p"), "left_anti")
-    single = free_o.groupBy("so", "zo").agg(F.max("o").alias("o"), F.count("*").alias("c")).where("c = 1")
+    own = F.concat(F.when(F.col("n").isNotNull(), "n:").otherwise("o:"), file("path"))
+
+    free = F.col("change").isNull()
+    rows = rows.withColumn("key", F.when(free & (file("file_id") != ""), F.concat(F.lit("#"), file("file_id"))).otherwise(own))
+    group = Window.partitionBy("key")
+    rows = rows.withColumns({"mo": F.max(F.when(free, F.col("o"))).over(group), "mn": F.max(F.when(free, F.col("n"))).over(group)})
+    pair = free & F.col("mo").isNotNull() & F.col("mn").isNotNull()
+    hit = pair & (F.col("n.path") == F.col("mn.path"))
+    stems = [F.when(hit, stem(name(x))) for x in ("mo", "n")]
+    verdict = F.when(name("mo") == name("n"), "moved").when(similarity(*stems) > ALIKE, "renamed").otherwise("uncertain")
+    rows = _settled(rows, pair, hit, verdict)
+
+    rows = rows.withColumns({"stem": stem(basename(file("path"))), "bytes": F.coalesce(file("size"), F.lit(0))})
+    rows = rows.withColumn("key", F.when(free, F.concat_ws("|", F.lit("~"), F.col("bytes").cast("string"), "stem")).otherwise(own))
+    rows = rows.withColumns({"mo": F.max(F.when(free, F.col("o"))).over(group), "mn": F.min(F.when(free & F.col("n").isNotNull(), F.struct("n.path", "n"))).over(group)["n"], "olds": F.count(F.when(free, F.col("o"))).over(group)})
+    pair = free & (F.col("olds") == 1) & F.col("mn").isNotNull()
+    rows = _settled(rows, pair, pair & (F.col("n.path") == F.col("mn.path")), F.lit("moved"))
+
+    gets = _alike(rows.where(free))
+    rows = rows.join(gets.select(F.col("new").alias("p"), F.col("old").alias("got")), F.when(free, F.col("n.path")) == F.col("p"), "left")
+    rows = rows.join(gets.select(F.col("old.path").alias("q")), F.when(free & F.col("n").isNull(), F.col("o.path")) == F.col("q"), "left").where("q IS NULL")
+    change = F.coalesce("change", F.when(F.col("got").isNotNull(), "renamed"), F.when(F.col("n").isNotNull(), "added"), F.lit("missing"))
+    return rows.select(change.alias("change"), F.coalesce("o.path", "got.path").alias("old_path"), F.col("n.path").alias("new_path"), file("kind").alias("kind"), F.coalesce("n.size", "o.size", "got.size", F.lit(0)).alias("size"))
+
+
+def _settled(rows: DataFrame, pair: Column, hit: Column, verdict: Column) -> DataFrame:
+    """rows (o, n, change, mo, mn): where a row is a hit, its new file and the group's old one are a pair; that old file's own row goes."""
+    spent = pair & F.col("n").isNull() & (F.col("o.path") == F.col("mo.path"))
+    rows = rows.where(~F.coalesce(spent, F.lit(False)))
+    hit = F.coalesce(hit, F.lit(False))
+    return rows.select(F.when(hit, F.col("mo")).otherwise(F.col("o")).alias("o"), "n", F.when(hit, verdict).otherwise(F.col("change")).alias("change"))
+
+
+def _alike(free: DataFrame) -> DataFrame:
+    """The second half of pass 3: (new, old) of new paths and the old files that they get."""
+    olds = free.where("n IS NULL").select("o", stem(basename("o.path")).alias("stem"), F.coalesce("o.size", F.lit(0)).alias("bytes"))
+    news = free.where("n IS NOT NULL").select(F.col("n.path").alias("new"), stem(basename("n.path")).alias("s"), F.coalesce("n.size", F.lit(0)).alias("b"))
+    single = olds.groupBy("stem", "bytes").agg(F.max("o").alias("old"), F.count("*").alias("c")).where("c = 1")
     # Equal sizes are the key; texts whose lengths differ too much can't be alike and don't reach the UDF.
-    near = (F.col("zn") == F.col("zo")) & (F.least(F.length("sn"), F.length("so")) > ALIKE * F.greatest(F.length("sn"), F.length("so")))
-    alike = free_n.join(single, near).where(similarity(F.col("sn"), F.col("so")) > ALIKE).select("o", "n")
-    wants = alike.withColumn("mine", F.row_number().over(Window.partitionBy("n.path").orderBy("o.path"))).where("mine = 1")
-    gets = wants.withColumn("first", F.row_number().over(Window.partitionBy("o.path").orderBy("n.path"))).where("first = 1")
-    return exact.unionByName(gets.select("o", "n", F.lit("renamed").alias("change")))
+    near = (F.col("b") == F.col("bytes")) & (F.least(F.length("s"), F.length("stem")) > ALIKE * F.greatest(F.length("s"), F.length("stem")))
+    alike = news.join(single, near).where(similarity(F.col("s"), F.col("stem")) > ALIKE)
+    wants = alike.groupBy("new").agg(F.min(F.struct("old.path", "old")).alias("x")).select("new", "x.old")
+    return wants.groupBy("old.path").agg(F.min(F.struct("new", "old")).alias("x")).select("x.new", "x.old")
 
 
 def counts(diff: DataFrame) -> DataFrame:
