@@ -110,6 +110,11 @@ class Codec:
             self._keep(self.known, text, known)
         return known
 
+    def forget(self) -> None:
+        """Drop the remembered pieces: at the end of a task, as Spark keeps idle workers beside what runs next."""
+        for cache in (self.known, self.parts, self.seams, self.halves):
+            cache.clear()
+
     def _keep(self, cache: dict, key: str, value: str) -> None:
         if len(key) <= 64:
             if len(cache) >= CACHE:
@@ -193,6 +198,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: list[str] | None = No
         for batch in batches:
             ids = [c.encode(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=[*keep, "n_tokens", "ids"])
+        c.forget()
 
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
     return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(run, f"{kinds}, n_tokens long, ids array<int>")
@@ -231,5 +237,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False)
             if with_ids:
                 columns.append(pa.array(rows[3], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        c.forget()
+        pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -149,6 +149,7 @@ def _packed(units: Callable, n_ids: int, k: int, fold: bool, buckets: int):
                     ids, texts, size = [], [], 0
         if ids:
             yield emit(ids, texts)
+        pa.default_memory_pool().release_unused()
 
     return run
 
