@@ -36,7 +36,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
     The write's own shuffle files go as soon as it ends, so that steps that
     follow one another don't add up on the executors' disks. `release` deletes
-    the table.
+    the table; one that a query's result still reads goes when the driver ends.
     """
     conf = df.sparkSession.conf
     before = conf.get(_CLEANUP, "false")
@@ -46,17 +46,24 @@ def stored(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         conf.set(_CLEANUP, before)
+    at, files = _file_system(df.sparkSession, path)
+    files.deleteOnExit(at)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.stored_at = path
     return table
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def release(*tables: DataFrame) -> None:
     """Delete stored tables whose last reader has been stored itself."""
     for table in tables:
-        context = table.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(table.stored_at)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        at, files = _file_system(table.sparkSession, table.stored_at)
+        files.delete(at, True)
+        files.cancelDeleteOnExit(at)
 
 
 def partitions(spark: SparkSession) -> int:
