@@ -81,11 +81,17 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import summary
+
+    return summary(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), window=10)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import preference, warc
+    from . import decontaminate, preference, warc
 
-    return {"op5_preference_formatting": preference.ORACLE_SQL, "op8_warc": warc.ORACLE_SQL}
+    return {"op5_preference_formatting": preference.ORACLE_SQL, "op8_warc": warc.ORACLE_SQL, "op12_decontamination": decontaminate.ORACLE_SQL}
