@@ -87,6 +87,12 @@ def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), window=10)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .manifest import summary
+
+    return summary(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
