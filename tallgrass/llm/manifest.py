@@ -263,3 +263,38 @@ def summary(docs: DataFrame) -> DataFrame:
     hit = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
     changed = F.when(hit, digest_of(*(lower if c == "text" else F.col(c) for c in FIELDS)))
     return manifest(docs, changed, with_proofs=False).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+#: DuckDB SQL for summary(documents). crc holds CRC-32 of the decimal id, bit by bit; n and t are the levels of the trees and of the tree over their roots.
+ORACLE_SQL = r"""
+WITH RECURSIVE f AS (
+  SELECT row_number() OVER () AS row, doc_id, lang,
+         list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+                     lambda a, c: list_reduce(list_prepend(xor(a, c), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: xor(y >> 1, (y & 1) * 3988292384::BIGINT))) AS crc,
+         concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'),
+                coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS head,
+         text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+h AS (SELECT row, doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+             CASE WHEN xor(crc, 4294967295::BIGINT) % 3 = 0 THEN sha256(head || coalesce(strlen(low) || ':' || low, '-')) END AS changed FROM f),
+l AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, row) - 1 AS idx FROM h),
+n AS (
+  SELECT tree, 0 AS level, idx, leaf AS h, count(*) OVER (PARTITION BY tree) AS n FROM l
+  UNION ALL
+  SELECT tree, level + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)), any_value((n + 7) // 8) FROM n WHERE n > 1 GROUP BY tree, level, idx // 8),
+s AS (SELECT tree AS idx, level AS high, h FROM n WHERE n = 1),
+t AS (
+  SELECT 0 AS level, idx, h, count(*) OVER () AS n FROM s
+  UNION ALL
+  SELECT level + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)), any_value((n + 7) // 8) FROM t WHERE n > 1 GROUP BY level, idx // 8),
+r AS (SELECT h AS root FROM t WHERE n = 1),
+x AS (
+  SELECT l.row, 0 AS phase, a.level, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS lefts, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS rights
+  FROM l JOIN n a ON a.tree = l.tree AND a.n > 1 AND a.idx = l.idx // CAST(8 ** a.level AS BIGINT) JOIN n b ON b.tree = a.tree AND b.level = a.level AND b.idx // 8 = a.idx // 8 GROUP BY l.row, a.level
+  UNION ALL
+  SELECT l.row, 1, a.level, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx < a.idx), ''), coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '')
+  FROM l JOIN t a ON a.n > 1 AND a.idx = l.tree // CAST(8 ** a.level AS BIGINT) JOIN t b ON b.level = a.level AND b.idx // 8 = a.idx // 8 GROUP BY l.row, a.level),
+p AS (SELECT row, sha256(string_agg(lefts || rights, '' ORDER BY phase, level)) AS proof, list([lefts, rights] ORDER BY phase, level) AS steps FROM x GROUP BY row),
+o AS (SELECT l.*, p.proof, list_reduce(list_prepend([coalesce(changed, leaf), ''], coalesce(steps, [])), lambda a, s: [sha256(s[1] || a[1] || s[2]), ''])[1] AS folded FROM l LEFT JOIN p USING (row))
+SELECT doc_id, leaf, s.h AS subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM o JOIN s ON s.idx = o.tree, r
+"""

@@ -98,6 +98,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontaminate, preference, warc
+    from . import decontaminate, manifest, preference, warc
 
-    return {"op5_preference_formatting": preference.ORACLE_SQL, "op8_warc": warc.ORACLE_SQL, "op12_decontamination": decontaminate.ORACLE_SQL}
+    return {"op5_preference_formatting": preference.ORACLE_SQL, "op8_warc": warc.ORACLE_SQL, "op12_decontamination": decontaminate.ORACLE_SQL, "op13_merkle_manifest": manifest.ORACLE_SQL}
