@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,8 @@ from .rarity import _arrays as arrays_of
 from .rarity import _blob as blob_of
 from .rarity import ranges
 
-#: Distinct parts that a task remembers, and the longest that it does.
-CACHE, LONGEST = 200_000, 64
+#: Distinct parts that a task remembers between slices.
+CACHE = 200_000
 #: Parts that one call of A's tokenizer gets: its intermediate results take about 100 bytes a token.
 CALL = 20_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -76,34 +77,39 @@ class Pair:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_MARK, " ").encode() if plain(i) else b"" for i, p in enumerate(pieces)]
         self.cuts = not any(_MARK in p.lstrip(_MARK) for i, p in enumerate(pieces) if plain(i))
         self.sizes = tuple(np.array([len(x) for x in t], dtype=np.int64) for t in (self.a_bytes, self.b_bytes))
-        self.known: dict[str, tuple] = {}
+        self.forget()
         # Every token as it stands in a document's text of groups, followed by a separator: A's with , or |, then B's with , or ;
         self.written = [f"{i}{s}".encode() for i in range(len(self.a_bytes)) for s in ",|"] + [f"{i}{s}".encode() for i in range(len(self.b_bytes)) for s in ",;"]
 
     def parts(self, text: str) -> list[str]:
         return _CUT.split(text) if self.cuts else [text]
 
-    def encode(self, texts: list[str]) -> dict[str, tuple]:
-        """Part to (A's ids, B's ids, bytes, whether both spell it), for all parts of texts."""
-        found, new = {}, []
-        for part in texts:
-            if part not in found:
-                found[part] = self.known.get(part)
-                if found[part] is None:
-                    new.append(part)
+    def forget(self) -> None:
+        """Drop the parts met so far: their numbers, and by number their ids of A and B (in one array each, with counts), bytes, and whether both spell them."""
+        self.number: dict[str, int] = {}
+        self.ids = [np.empty(0, np.int32)] * 2
+        self.counts = [np.empty(0, np.int64)] * 2
+        self.bytes, self.spelt = np.empty(0, np.int64), np.empty(0, bool)
+
+    def learn(self, split: list[list[str]]) -> None:
+        """Give every part of some texts a number."""
+        if len(self.number) > CACHE or len(self.ids[0]) > 8 * CACHE:
+            self.forget()
+        known = self.number
+        new = list(dict.fromkeys(p for parts in split for p in parts if p not in known))
         for at in range(0, len(new), CALL):
             some = new[at : at + CALL]
-            a = self.a.encode_batch_fast([" " + p for p in some], add_special_tokens=False)
-            b = self.b.encode(some, num_threads=1)
-            for part, x, y in zip(some, a, b, strict=True):
-                want = b" " + part.encode()
-                spelt = b"".join(map(self.a_bytes.__getitem__, x.ids)) == want == b"".join(map(self.b_bytes.__getitem__, y))
-                found[part] = one = np.array(x.ids, np.int32), np.array(y, np.int32), len(want), spelt
-                if len(part) <= LONGEST:
-                    if len(self.known) >= CACHE:
-                        self.known.clear()
-                    self.known[part] = one
-        return found
+            known.update(zip(some, range(len(known), len(known) + len(some)), strict=True))
+            raw = [b" " + p.encode() for p in some]
+            found = [[x.ids for x in self.a.encode_batch_fast([" " + p for p in some], add_special_tokens=False)], self.b.encode(some, num_threads=1)]
+            size, spelt = np.array(list(map(len, raw)), np.int64), np.ones(len(some), dtype=bool)
+            for i, (ids, names) in enumerate(zip(found, (self.a_bytes, self.b_bytes), strict=True)):
+                flat, count = np.array(list(chain.from_iterable(ids)), np.int32), np.array(list(map(len, ids)), np.int64)
+                upto = np.append(0, np.cumsum(self.sizes[i][flat]))[np.append(0, np.cumsum(count))]
+                if (np.diff(upto) != size).any() or b"".join(map(names.__getitem__, flat.tolist())) != b"".join(raw):
+                    spelt &= np.array([b"".join(map(names.__getitem__, x)) == want for x, want in zip(ids, raw, strict=True)], dtype=bool)
+                self.ids[i], self.counts[i] = np.concatenate([self.ids[i], flat]), np.concatenate([self.counts[i], count])
+            self.bytes, self.spelt = np.concatenate([self.bytes, size]), np.concatenate([self.spelt, spelt])
 
 
 _pairs: dict[int, Pair] = {}
@@ -131,14 +137,13 @@ class Slice:
             except UnicodeDecodeError:
                 texts.append(None)
         split = [pair.parts(t) if t else [] for t in texts]
-        table = pair.encode([p for parts in split for p in parts])
-        number, spelt = {p: i for i, p in enumerate(table)}, np.array([x[3] for x in table.values()], dtype=bool)
+        pair.learn(split)
         for parts in split:
-            at = np.fromiter(map(number.__getitem__, parts), np.int64, len(parts))
-            here.append(at if spelt[at].all() else at[:0])
+            at = np.array(list(map(pair.number.__getitem__, parts)), np.int64)
+            here.append(at if pair.spelt[at].all() else at[:0])
         n, at = np.array([len(x) for x in here], np.int64), np.concatenate([*here, np.empty(0, np.int64)])
-        self.ids = [self._gather([x[i] for x in table.values()], at) for i in (0, 1)]
-        self.offsets = np.append(0, np.cumsum(np.array([x[2] for x in table.values()], np.int64)[at]))[np.append(0, np.cumsum(n))]
+        self.ids = [self._gather(flat, size, at) for flat, size in zip(pair.ids, pair.counts, strict=True)]
+        self.offsets = np.append(0, np.cumsum(pair.bytes[at]))[np.append(0, np.cumsum(n))]
         ends = [np.cumsum(size[ids]) for size, ids in zip(pair.sizes, self.ids, strict=True)]
         total = int(self.offsets[-1])
         a, b = (np.bincount(e, minlength=total + 1) > 0 for e in ends)
@@ -152,10 +157,9 @@ class Slice:
         self.group_ends = np.flatnonzero(a & b)
 
     @staticmethod
-    def _gather(arrays: list[np.ndarray], at: np.ndarray) -> np.ndarray:
-        size = np.array([len(x) for x in arrays], np.int64)
-        flat, first = np.concatenate([*arrays, np.empty(0, np.int32)]), np.cumsum(size) - size
-        return flat[np.repeat(first[at], size[at]) + ranges(size[at])]
+    def _gather(flat: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
+        first, own = np.cumsum(size) - size, size[at]
+        return flat[np.repeat(first[at], own) + ranges(own)]
 
     def spans(self, d: int) -> tuple:
         """One document's A ids, B ids, and for each group its end in bytes and how many tokens of A and of B it has."""
@@ -213,7 +217,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             groups = [[{"end": x, "n_a": y, "n_b": z} for x, y, z in zip(*(c.tolist() for c in r[2:]), strict=True)] for r in rows]
             kind = pa.struct([("end", pa.int64()), ("n_a", pa.int32()), ("n_b", pa.int32())])
             yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[i] for r in rows], pa.list_(pa.int32())) for i in (0, 1)), pa.array(groups, pa.list_(kind))], names=["doc_id", "a_ids", "b_ids", "groups"])
-        pair.known.clear()
+        pair.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, a_ids array<int>, b_ids array<int>, groups array<struct<end: long, n_a: int, n_b: int>>")
@@ -234,7 +238,7 @@ def _first_pass(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             of = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
             yield pa.RecordBatch.from_arrays([pa.array([at]), of(rows), of(pa.array(codes)), of(pa.array(times)), pa.array([own], pa.binary())], names=["slice", "docs", "pairs", "times", "own"])
             at += 1
-        pair.known.clear()
+        pair.forget()
         pa.default_memory_pool().release_unused()
 
     docs_kind = f"array<struct<doc_id: {kind}, {', '.join(f'{f}: long' for f in FIGURES)}, groups_sha256: string>>"
