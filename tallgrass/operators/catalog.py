@@ -13,22 +13,26 @@ from pyspark.sql import functions as F
 from tallgrass.functions.paths import is_within
 
 from .relate import ancestors
+from .relate import ancestors as _ancestors
 
 
-def committed(nodes: DataFrame, page: DataFrame, folder: str, generation: int) -> DataFrame:
+def committed(nodes: DataFrame, page: DataFrame, folder: str, generation: int, active: int | None = None) -> DataFrame:
     """nodes after the complete listing of one folder at a generation: `verdict` tells inserted, updated, unchanged, deleted or outside.
 
-    Children that the page lacks get a tombstone, and with a folder all that is
-    below it; a page older than what a child was last seen at leaves it alone.
+    A listing older than the root's `active` generation changes nothing at all:
+    every node is outside. Children that the page lacks get a tombstone unless
+    they were seen at its generation or later, and with a folder all that is
+    below it.
     """
+    if active is not None and active > generation:
+        page, folder = page.limit(0), ""
     rows = page.where("path IS NOT NULL").groupBy("path").agg(F.max(F.struct("kind", "size", "mtime")).alias("p"))
     alive = nodes.where("path IS NOT NULL").withColumn("own", F.col("parent") == folder)
-    gone = alive.where((F.coalesce("tombstone", F.lit("")) == "") & F.col("own") & (F.col("last_seen") <= generation)).join(rows, "path", "left_anti").select(F.col("path").alias("a"))
+    gone = alive.where((F.coalesce("tombstone", F.lit("")) == "") & F.col("own") & (F.col("last_seen") < generation)).join(rows, "path", "left_anti").select(F.col("path").alias("a"))
     below = alive.select("path", F.explode(ancestors(F.col("path"))).alias("a")).join(gone, "a").select("path").distinct().withColumn("lost", F.lit(True))
     both = alive.join(rows, "path", "full").join(below, "path", "left")
-    late = F.col("last_seen") > generation
-    same = F.col("kind").eqNullSafe(F.col("p.kind")) & F.col("size").eqNullSafe(F.col("p.size")) & (F.coalesce("tombstone", F.lit("")) == "")
-    verdict = F.when(F.col("own").isNull() & F.col("p").isNotNull(), "inserted").when(F.coalesce(late, F.lit(False)), "late")
+    same = F.col("kind").eqNullSafe(F.col("p.kind")) & F.col("size").eqNullSafe(F.col("p.size")) & F.col("mtime").eqNullSafe(F.col("p.mtime"))
+    verdict = F.when(F.col("own").isNull() & F.col("p").isNotNull(), "inserted")
     verdict = verdict.when(F.col("p").isNotNull(), F.when(same, "unchanged").otherwise("updated")).when(F.col("lost"), "deleted").otherwise("outside")
     out = both.withColumn("verdict", verdict)
     seen = F.col("verdict").isin("inserted", "updated", "unchanged")
@@ -49,10 +53,16 @@ def removed_subtree(nodes: DataFrame, folder: str) -> DataFrame:
 
 
 def frontier(folders: DataFrame, now: Column, most_unverified: int = 50) -> DataFrame:
-    """Folders to scan: the root, failed ones, ones that are due, and the `most_unverified` oldest unverified. Columns: path, depth, state, due_at, verified_at; plus reason."""
-    reason = F.when(F.col("depth") == 0, "root").when(F.col("state") == "failed", "failed").when(F.col("due_at") <= now, "due")
+    """Folders to scan and why: the root, failed ones, complete ones that are due, and of the complete ones that were never verified at the source and have no time set, the `most_unverified` whose last verification of any kind is oldest (null first), then by path.
+
+    Columns: path, depth, state, due_at, verified_at, remote_verified_at. A
+    folder with a later due time waits for it, verified or not.
+    """
+    complete = F.coalesce(F.col("state") == "complete", F.lit(False))
+    reason = F.when(F.col("depth") == 0, "root").when(F.col("state") == "failed", "failed").when(complete & (F.col("due_at") <= now), "due")
     named = folders.withColumn("reason", reason)
-    old = named.where("reason IS NULL AND verified_at IS NULL").orderBy("depth", "path").limit(most_unverified).withColumn("reason", F.lit("unverified"))
+    old = named.where(F.col("reason").isNull() & complete & F.col("remote_verified_at").isNull() & F.col("due_at").isNull())
+    old = old.orderBy(F.col("verified_at").asc_nulls_first(), "path").limit(most_unverified).withColumn("reason", F.lit("unverified"))
     return named.where("reason IS NOT NULL").unionByName(old).select("path", "reason")
 
 
@@ -110,7 +120,8 @@ def shallowest(paths: DataFrame, path: str) -> DataFrame:
 
 
 def overlapping(a: DataFrame, b: DataFrame, path: str) -> DataFrame:
-    """Distinct pairs (path, other) of which one is the other or its ancestor."""
+    """Distinct pairs (path, other) of which one is the other or its ancestor; '/' is above all."""
+    ancestors = lambda p: F.array_append(_ancestors(p), "/")
     one = a.select(path).distinct().select(path, F.explode(ancestors(F.col(path))).alias("_a"))
     two = b.select(F.col(path).alias("other")).distinct().select("other", F.explode(ancestors(F.col("other"))).alias("_b"))
     down = one.join(b.select(F.col(path).alias("other")).distinct(), F.col("_a") == F.col("other")).select(path, "other")

@@ -65,10 +65,10 @@ def matching(works: DataFrame, q: str = "", source: str = "all", media_type: str
     return works.where(keep)
 
 
-def visible(works: DataFrame, exceptions: DataFrame) -> DataFrame:
-    """Works that wait for review, whose source is away, that are ready and complete, or that exceptions (work_id) name."""
+def visible(works: DataFrame, exceptions: DataFrame, version: int = 2) -> DataFrame:
+    """Works that wait for review, whose source is away, that are ready, or that exceptions (work_id) name. Of an index before version 2 ready ones must be complete, too."""
     named = exceptions.select("work_id").distinct().withColumn("_named", F.lit(True))
-    shown = F.col("state").isin("waiting_review", "source_unavailable") | ((F.col("state") == "ready") & F.col("complete"))
+    shown = F.col("state").isin("waiting_review", "source_unavailable") | ((F.col("state") == "ready") & (F.lit(True) if version >= 2 else F.col("complete")))
     return works.join(named, "work_id", "left").where(F.coalesce(F.col("_named"), shown, F.lit(False))).drop("_named")
 
 
@@ -78,12 +78,15 @@ def with_watch_status(works: DataFrame, statuses: DataFrame, wanted: str) -> Dat
     return rows.where(F.coalesce("_s", F.lit("")) == ("" if wanted == "empty" else wanted)).drop("_s")
 
 
-def searched(works: DataFrame, q: str, recent: DataFrame) -> DataFrame:
-    """work_id, place of works whose titles, plot or tags hold q, recent ones (work_id, recent_rank) first, then by rating."""
-    text = F.lower(F.concat_ws(" ", "title", "original_title", "plot", F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " ")))
-    hits = works.where(text.contains(q.strip().lower())).join(recent, "work_id", "left")
+def searched(works: DataFrame, q: str, recent: DataFrame, source: str = "all") -> DataFrame:
+    """work_id, recent_rank, rating of a source's works whose title, original title and related titles (array), joined by spaces, hold q without case: recent ones (work_id, recent_rank) first, then by rating. A blank q finds nothing."""
+    word = q.strip().lower()
+    full = lambda c: F.nullif(F.col(c), F.lit(""))
+    related = F.filter(F.coalesce("related_titles", F.array().cast("array<string>")), lambda t: t != "")
+    text = F.lower(F.concat_ws(" ", full("title"), full("original_title"), F.array_join(related, " ")))
+    found = works.where(of_source("source", "sources", source) & text.contains(word)) if word else works.limit(0)
     order = [F.coalesce("recent_rank", F.lit((1 << 31) - 1)).asc(), F.coalesce("rating", F.lit(0.0)).desc(), F.col("work_id").asc()]
-    return hits.orderBy(*order).select("work_id", "recent_rank", "rating")
+    return found.join(recent, "work_id", "left").orderBy(*order).select("work_id", "recent_rank", "rating")
 
 
 def main_episodes(direct, seasons, episodes) -> Column:
@@ -123,22 +126,34 @@ def showcase(works: DataFrame, order: list[Column], featured: int = 5, side: int
 def similar(works: DataFrame, most: int = 6) -> DataFrame:
     """work_id, other, score, place: for each work the `most` alike ones: 2 for the same show type and 3 for each shared tag.
 
-    Columns: work_id, show_type, tags, rating. Only works that share a tag or
-    a show type meet: pairs by tag come from a join on the tag, those by show
-    type need only the best rated `most` works of the type beside them.
+    Columns: work_id, show_type, tags, rating. Works of equal tags and type are
+    one class and score alike, so classes meet in place of works: by tag those
+    that share one, by type only the best. Of a class's partners the first
+    `most` + 1 by score and best work hold all that can be placed, and of each
+    of these the first works.
     """
-    w = works.select("work_id", "show_type", F.coalesce("rating", F.lit(0.0)).alias("rating"), F.array_distinct(F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.lower(F.trim(t)))).alias("tags"))
-    each = w.select("work_id", F.explode(F.filter("tags", lambda t: t != "")).alias("tag"))
-    shared = each.join(each.withColumnRenamed("work_id", "other"), "tag").where("work_id != other").groupBy("work_id", "other").agg((3 * F.count("*")).alias("points"))
-    typed = w.where("show_type != ''")
-    best = typed.withColumn("_n", F.row_number().over(Window.partitionBy("show_type").orderBy(F.col("rating").desc(), "work_id"))).where(F.col("_n") <= most + 1)
-    by_type = typed.select("work_id", "show_type").join(best.select(F.col("work_id").alias("other"), "show_type"), "show_type").where("work_id != other").select("work_id", "other", F.lit(0).cast("long").alias("points"))
-    pairs = shared.unionByName(by_type).groupBy("work_id", "other").agg(F.max("points").alias("points"))
-    b = w.select(F.col("work_id").alias("other"), F.col("show_type").alias("_t"), F.col("rating").alias("_r"))
-    scored = pairs.join(w.select("work_id", "show_type"), "work_id").join(b, "other")
-    scored = scored.withColumn("score", F.col("points") + F.when((F.col("show_type") == F.col("_t")) & (F.col("_t") != ""), 2).otherwise(0)).where("score > 0")
-    place = F.row_number().over(Window.partitionBy("work_id").orderBy(F.col("score").desc(), F.col("_r").desc(), "other"))
-    return scored.withColumn("place", place).where(F.col("place") <= most).select("work_id", "other", "score", "place")
+    nothing, k = F.array().cast("array<string>"), most + 1
+    tags = F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce("tags", nothing), lambda t: F.lower(F.trim(t))), lambda t: t != "")))
+    w = works.select("work_id", F.coalesce("show_type", F.lit("")).alias("type"), F.coalesce("rating", F.lit(0.0)).alias("rating"), tags.alias("tags"))
+    w = w.withColumn("class", F.xxhash64("tags", "type"))
+    in_class = F.row_number().over(Window.partitionBy("type", "tags").orderBy(F.col("rating").desc(), "work_id"))
+    best = w.withColumn("_n", in_class).where(F.col("_n") <= k)
+    classes = best.where("_n = 1").select("class", "type", "tags", F.col("rating").alias("top"), F.col("work_id").alias("first"))
+    other = classes.select(*(F.col(c).alias(f"o_{c}") for c in ("class", "type", "top", "first")))
+    each = classes.select("class", F.explode("tags").alias("tag"))
+    shared = each.join(each.withColumnRenamed("class", "o_class"), "tag").groupBy("class", "o_class").agg((3 * F.count("*")).alias("points"))
+    typed = classes.where("type != ''")
+    first = typed.withColumn("_n", F.row_number().over(Window.partitionBy("type").orderBy(F.col("top").desc(), "first"))).where(F.col("_n") <= k)
+    by_type = typed.select("class", "type").join(first.select("type", F.col("class").alias("o_class")), "type").select("class", "o_class", F.lit(0).cast("long").alias("points"))
+    pairs = shared.unionByName(by_type).groupBy("class", "o_class").agg(F.max("points").alias("points")).join(classes.select("class", "type"), "class").join(other, "o_class")
+    pairs = pairs.withColumn("score", F.col("points") + F.when((F.col("type") == F.col("o_type")) & (F.col("type") != ""), 2).otherwise(0)).where("score > 0")
+    by_class = F.row_number().over(Window.partitionBy("class").orderBy(F.col("score").desc(), F.col("o_top").desc(), "o_first"))
+    near = pairs.withColumn("_n", by_class).where(F.col("_n") <= k).select("class", "o_class", "score")
+    partners = near.join(best.select(F.col("class").alias("o_class"), F.col("work_id").alias("other"), F.col("rating").alias("_r")), "o_class")
+    ranked = F.row_number().over(Window.partitionBy("class").orderBy(F.col("score").desc(), F.col("_r").desc(), "other"))
+    partners = partners.withColumn("_n", ranked).where(F.col("_n") <= k).groupBy("class").agg(F.sort_array(F.collect_list(F.struct("_n", "other", "score"))).alias("p"))  # at most `most` + 1 each
+    own = w.join(partners, "class").select("work_id", F.slice(F.filter("p", lambda x: x["other"] != F.col("work_id")), 1, most).alias("p"))
+    return own.select("work_id", F.posexplode("p").alias("i", "p")).select("work_id", "p.other", "p.score", (F.col("i") + 1).alias("place"))
 
 
 def deduplicated(works: DataFrame, key: Column, completeness: list[Column], position: str) -> DataFrame:
@@ -176,11 +191,12 @@ def merged_episodes(episodes: DataFrame) -> DataFrame:
 
 
 def merged_seasons(seasons: DataFrame, episodes: DataFrame) -> DataFrame:
-    """Per (work_id, group_type, season) the best row (scraped, with an id, most episodes, smallest title), its episodes counted anew."""
-    best = F.max_by(F.struct("title", "scraped"), F.struct("scraped", F.col("tmdb_id").isNotNull(), "episode_count", F.col("title"))).alias("b")
-    rows = seasons.groupBy("work_id", "group_type", "season").agg(best)
-    counted = episodes.groupBy("work_id", "group_type", "season").agg(F.countDistinct("episode").alias("n"))
-    return rows.join(counted, ["work_id", "group_type", "season"], "left").select("work_id", "group_type", "season", "b.title", "b.scraped", F.coalesce("n", F.lit(0)).alias("episode_count"))
+    """Per (work_id, group_type, season) the best row (scraped, with an id, most episodes, smallest title), its episodes counted anew: rows of group 'special' for groups 'special' and 'sps', of group 'season' for others."""
+    order = F.struct(~F.coalesce("scraped", F.lit(False)), F.col("tmdb_id").isNull(), -F.coalesce("episode_count", F.lit(0)), F.col("title"))
+    rows = seasons.groupBy("work_id", "group_type", "season").agg(F.min_by(F.struct("title", "scraped"), order).alias("b"))
+    counted = episodes.groupBy("work_id", F.col("group_type").alias("_g"), "season").agg(F.count("*").alias("n"))
+    rows = rows.withColumn("_g", F.when(F.col("group_type").isin("special", "sps"), "special").otherwise("season"))
+    return rows.join(counted, ["work_id", "_g", "season"], "left").select("work_id", "group_type", "season", "b.title", "b.scraped", F.coalesce("n", F.lit(0)).alias("episode_count"))
 
 
 def deduplicated_candidates(candidates: DataFrame) -> DataFrame:

@@ -87,17 +87,19 @@ def _nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH v AS (SELECT '/f' || o_orderkey % 4 || '/' || o_orderkey AS path, o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN 'outside' WHEN o_orderkey % 28 = 0 THEN 'late' WHEN o_orderkey % 5 = 0 THEN 'deleted' WHEN o_orderkey % 3 = 0 THEN 'updated' ELSE 'unchanged' END AS verdict FROM orders)
-    SELECT path, verdict, CASE WHEN verdict = 'deleted' THEN 'deleted' ELSE '' END AS tombstone, CASE WHEN verdict IN ('updated', 'unchanged') THEN 3 WHEN o_orderkey % 28 = 0 THEN 9 ELSE 2 END AS last_seen FROM v
-    UNION ALL SELECT '/f0/new' || o_orderkey, 'inserted', '', 3 FROM orders WHERE o_orderkey % 4 = 1"""
+    """WITH v AS (SELECT '/f' || o_orderkey % 4 || '/' || o_orderkey AS path, o_orderkey AS k, o_orderkey % 28 = 0 AS later, o_orderkey % 5 <> 0 AS listed FROM orders), w AS (SELECT *, CASE WHEN k % 4 <> 0 THEN 'outside' WHEN listed AND k % 3 = 0 THEN 'updated' WHEN listed THEN 'unchanged' WHEN later THEN 'outside' ELSE 'deleted' END AS verdict FROM v)
+    SELECT 'now' AS listing, path, verdict, CASE WHEN verdict = 'deleted' THEN 'deleted' ELSE '' END AS tombstone, CASE WHEN verdict IN ('updated', 'unchanged') THEN 3 WHEN later THEN 9 ELSE 2 END AS last_seen FROM w
+    UNION ALL SELECT 'now', '/f0/new' || o_orderkey, 'inserted', '', 3 FROM orders WHERE o_orderkey % 4 = 1
+    UNION ALL SELECT 'late', path, 'outside', '', CASE WHEN later THEN 9 ELSE 2 END FROM v"""
 )
 def catalog_merge(spark: SparkSession, d: str) -> DataFrame:
-    """A complete listing of folder /f0 at generation 3, over all orders as nodes."""
+    """A complete listing of folder /f0 at generation 3, over all orders as nodes; and the same where the root is at generation 4 already, which changes nothing."""
     o = table(spark, d, "orders")
     size = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey"))
-    page = o.where("o_orderkey % 4 = 0 AND (o_orderkey % 5 <> 0 OR o_orderkey % 28 = 0)").select(F.concat(F.lit("/f0/"), "o_orderkey").alias("path"), F.lit("file").alias("kind"), size.alias("size"), F.lit(2.0).alias("mtime"))
+    page = o.where("o_orderkey % 4 = 0 AND o_orderkey % 5 <> 0").select(F.concat(F.lit("/f0/"), "o_orderkey").alias("path"), F.lit("file").alias("kind"), size.alias("size"), F.lit(1.0).alias("mtime"))
     new = o.where("o_orderkey % 4 = 1").select(F.concat(F.lit("/f0/new"), "o_orderkey").alias("path"), F.lit("file").alias("kind"), F.col("o_custkey").alias("size"), F.lit(2.0).alias("mtime"))
-    return catalog.committed(_nodes(spark, d), page.unionByName(new), "/f0", 3).select("path", "verdict", "tombstone", "last_seen")
+    rows = lambda name, active: catalog.committed(_nodes(spark, d), page.unionByName(new), "/f0", 3, active).select(F.lit(name).alias("listing"), "path", "verdict", "tombstone", "last_seen")
+    return rows("now", 3).unionByName(rows("late", 4))
 
 
 @query(
@@ -164,12 +166,13 @@ def shallowest_owners(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH p AS (SELECT DISTINCT {_PATH} AS path, page_id % 2 AS side FROM pages), a AS (SELECT DISTINCT path FROM p WHERE side = 0 AND path <> '/'), b AS (SELECT DISTINCT path AS other FROM p WHERE side = 1 AND path <> '/')
-    SELECT path, other FROM a, b WHERE path = other OR starts_with(path, other || '/') OR starts_with(other, path || '/')"""
+    f"""WITH p AS (SELECT DISTINCT {_PATH} AS path, page_id % 2 AS side FROM pages), a AS (SELECT DISTINCT path FROM p WHERE side = 0 UNION SELECT '/'), b AS (SELECT DISTINCT path AS other FROM p WHERE side = 1)
+    SELECT path, other FROM a, b WHERE path = other OR path = '/' OR other = '/' OR starts_with(path, other || '/') OR starts_with(other, path || '/')"""
 )
 def overlapping_roots(spark: SparkSession, d: str) -> DataFrame:
-    own = pages(spark, d).where("path <> '/'")
-    return catalog.overlapping(own.where("page_id % 2 = 0"), own.where("page_id % 2 = 1"), "path")
+    own = pages(spark, d).select("path", "page_id")
+    root = spark.range(1).select(F.lit("/").alias("path"))
+    return catalog.overlapping(own.where("page_id % 2 = 0").select("path").union(root), own.where("page_id % 2 = 1"), "path")
 
 
 @query("SELECT l_orderkey, sha256(string_agg(l_linenumber || chr(9) || l_partkey || chr(9) || coalesce(l_returnflag, ''), chr(10) ORDER BY l_linenumber || chr(9) || l_partkey || chr(9) || coalesce(l_returnflag, ''))) AS digest, count(*) AS n FROM lineitem GROUP BY 1")
@@ -184,11 +187,14 @@ def oldest_k_semi(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH f AS (SELECT o_orderkey, o_custkey % 6 AS depth, CASE WHEN o_orderkey % 9 = 0 THEN 'failed' ELSE 'done' END AS state, o_orderdate AS due_at, o_orderkey % 2 = 0 AS verified FROM orders), r AS (SELECT *, CASE WHEN depth = 0 THEN 'root' WHEN state = 'failed' THEN 'failed' WHEN due_at <= TIMESTAMP '1995-01-01' THEN 'due' END AS reason FROM f)
-    SELECT o_orderkey::VARCHAR AS path, reason FROM r WHERE reason IS NOT NULL UNION ALL SELECT * FROM (SELECT o_orderkey::VARCHAR, 'unverified' FROM r WHERE reason IS NULL AND NOT verified ORDER BY depth, o_orderkey::VARCHAR LIMIT 50)"""
+    """WITH f AS (SELECT o_orderkey::VARCHAR AS path, o_custkey % 6 AS depth, CASE WHEN o_orderkey % 9 = 0 THEN 'failed' WHEN o_orderkey % 9 = 1 THEN 'queued' ELSE 'complete' END AS state, CASE WHEN o_orderkey % 5 > 1 THEN o_orderdate END AS due_at, CASE WHEN o_orderkey % 7 > 0 THEN o_orderdate END AS verified_at, o_orderkey % 2 = 0 AS at_source FROM orders),
+    r AS (SELECT *, CASE WHEN depth = 0 THEN 'root' WHEN state = 'failed' THEN 'failed' WHEN state = 'complete' AND due_at <= TIMESTAMP '1995-01-01' THEN 'due' END AS reason FROM f)
+    SELECT path, reason FROM r WHERE reason IS NOT NULL UNION ALL SELECT * FROM (SELECT path, 'unverified' FROM r WHERE reason IS NULL AND state = 'complete' AND NOT at_source AND due_at IS NULL ORDER BY verified_at NULLS FIRST, path LIMIT 50)"""
 )
 def scan_frontier(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("path"), (F.col("o_custkey") % 6).alias("depth"), F.when(F.col("o_orderkey") % 9 == 0, "failed").otherwise("done").alias("state"), F.col("o_orderdate").alias("due_at"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderdate")).alias("verified_at"))
+    k, day = F.col("o_orderkey"), F.col("o_orderdate")
+    state = F.when(k % 9 == 0, "failed").when(k % 9 == 1, "queued").otherwise("complete")
+    f = table(spark, d, "orders").select(k.cast("string").alias("path"), (F.col("o_custkey") % 6).alias("depth"), state.alias("state"), F.when(k % 5 > 1, day).alias("due_at"), F.when(k % 7 > 0, day).alias("verified_at"), F.when(k % 2 == 0, day).alias("remote_verified_at"))
     return catalog.frontier(f, F.lit("1995-01-01").cast("timestamp"), 50)
 
 
@@ -287,29 +293,27 @@ def unique_or_null(spark: SparkSession, d: str) -> DataFrame:
     return relate.unique_or_null(rows, ["c_nationkey"], "c_mktsegment")
 
 
-_TREE = """|——root
-| |-Show
-| | |-Season 1
-| | | |-E01.mkv
-| | | |-E01.ass
-| | | |-Thumbs.db
-| |-Film.mp4
-| | |-deep.mkv
-|-top.nfo"""
-_BOX = "├── Show\n│   ├── S1\n│   │   └── E01.mkv\n│   └── E02.mkv\n└── a.txt"
-
-
 @query(
-    """SELECT * FROM (VALUES ('a', 'root/Show/Season 1/E01.mkv', 'video'), ('a', 'root/Show/Season 1/E01.ass', 'subtitle'), ('a', 'root/Film.mp4', 'video'), ('a', 'root/Film.mp4/deep.mkv', 'video'), ('a', 'top.nfo', 'nfo'), ('b', 'Show/S1/E01.mkv', 'video'), ('b', 'Show/E02.mkv', 'video'), ('b', 'a.txt', 'text'), ('c', 'root/Show/Season 1/E01.mkv', 'video'), ('c', 'root/Show/Season 1/E01.ass', 'subtitle'), ('c', 'root/Film.mp4', 'video'), ('c', 'root/Film.mp4/deep.mkv', 'video'), ('c', 'top.nfo', 'nfo')) t(file, path, kind)"""
+    """WITH p AS (SELECT p_brand, CAST(right(p_brand, 1) AS INTEGER) % 3 AS style, CASE WHEN CAST(right(p_brand, 1) AS INTEGER) % 3 = 0 THEN '' ELSE 'root/' END || 'Size ' || p_size || '/' || p_partkey || CASE p_partkey % 4 WHEN 0 THEN '.mkv' WHEN 1 THEN '.ass' WHEN 2 THEN '.nfo' ELSE ' extras' END AS path, p_partkey % 4 AS k, p_partkey FROM part)
+    SELECT p_brand AS file, path, CASE k WHEN 0 THEN 'video' WHEN 1 THEN 'subtitle' ELSE 'nfo' END AS kind, md5(CASE style WHEN 0 THEN 'pan115:' ELSE 'baidu:' END || path) AS id FROM p WHERE style < 2 AND k < 3
+    UNION ALL SELECT p_brand, path || '/inner.mp4', 'video', md5(CASE style WHEN 0 THEN 'pan115:' ELSE 'baidu:' END || path || '/inner.mp4') FROM p WHERE style < 2 AND k = 3"""
 )
 def tree_parse(spark: SparkSession, d: str) -> DataFrame:
-    """Tree listings of both kinds, in UTF-8 and GBK; the third is the first in another encoding."""
-    files = spark.createDataFrame([("a", bytearray(_TREE.encode())), ("b", bytearray(_BOX.encode())), ("c", bytearray(_TREE.encode("gbk"))), ("d", bytearray(b"no tree")), ("e", None)], "file string, content binary")
+    """A listing of each brand's parts, of either kind or mixed (refused), in UTF-8 or UTF-16, parsed back to files."""
+    style, k, key = F.right("p_brand", F.lit(1)).cast("int") % 3, F.col("p_partkey") % 4, F.col("p_partkey").cast("string")
+    name = F.concat(key, F.when(k == 0, ".mkv").when(k == 1, ".ass").when(k == 2, ".nfo").otherwise(" extras"))
+    folder = F.concat(F.lit("Size "), F.col("p_size").cast("string"))
+    bar = F.concat(F.lit("| |-"), folder, F.lit("\n| | |-"), name, F.when(k == 3, "\n| | | |-inner.mp4").otherwise(""))
+    box = F.concat(F.lit("│   ├── "), folder, F.lit("\n│   │   └── "), name, F.when(k == 3, "\n│   │       └── inner.mp4").otherwise(""))
+    parts = table(spark, d, "part").select("p_brand", style.alias("style"), F.struct("p_size", "p_partkey", F.when(style == 0, bar).when(style == 1, box).when(k == 0, bar).otherwise(box).alias("lines")).alias("p"))
+    texts = parts.groupBy("p_brand", "style").agg(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["lines"]), "\n").alias("t"))  # one listing each
+    text = F.concat(F.when(F.col("style") != 1, "|——root\n").otherwise(""), F.when(F.col("style") != 0, "├── root\n").otherwise(""), "t")
+    files = texts.select(F.col("p_brand").alias("file"), F.when(F.right("p_brand", F.lit(1)).cast("int") % 2 == 0, F.encode(text, "UTF-16")).otherwise(F.encode(text, "UTF-8")).alias("content"))
     rows = scans.lines(files)
     kinds = scans.style(rows)
-    bar = scans.tree(rows.join(kinds.where("style = 'bar'"), "file"), scans.bar_node(F.col("line")), "pan115")
-    box = scans.tree(rows.join(kinds.where("style = 'box'"), "file"), scans.box_node(F.col("line")), "baidu")
-    return bar.unionByName(box).select("file", "path", "kind")
+    bars = scans.tree(rows.join(kinds.where("style = 'bar'"), "file"), scans.bar_node(F.col("line")), "pan115", above=1)
+    boxes = scans.tree(rows.join(kinds.where("style = 'box'"), "file"), scans.box_node(F.col("line")), "baidu")
+    return bars.unionByName(boxes).select("file", "path", "kind", "id")
 
 
 @query("SELECT * FROM (VALUES ('a', 'One', 2005, 7.5::DOUBLE, 24, true, 2, 1), ('b', NULL, NULL, NULL, NULL, NULL, NULL, NULL), ('c', 'Two', NULL, NULL, NULL, NULL, 0, 0)) t(file, title, year, rating, runtime, pending, n_genres, n_cast)")

@@ -25,7 +25,7 @@ def library_query(spark: SparkSession, d: str) -> DataFrame:
     return library.matching(_works(spark, d), q=" AN ", source="local", media_type="tv").select("work_id")
 
 
-@query(f"WITH w AS ({_WORKS}) SELECT work_id, state FROM w WHERE state IN ('waiting_review', 'source_unavailable') OR (state = 'ready' AND complete) OR work_id IN (SELECT ps_ FROM (SELECT DISTINCT l_partkey AS ps_ FROM lineitem WHERE l_quantity > 49))")
+@query(f"WITH w AS ({_WORKS}) SELECT work_id, state FROM w WHERE state IN ('waiting_review', 'source_unavailable') OR state = 'ready' OR work_id IN (SELECT ps_ FROM (SELECT DISTINCT l_partkey AS ps_ FROM lineitem WHERE l_quantity > 49))")
 def visible_works(spark: SparkSession, d: str) -> DataFrame:
     named = table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("work_id"))
     return library.visible(_works(spark, d), named).select("work_id", "state")
@@ -73,12 +73,14 @@ def sort_orders(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH w AS ({_WORKS}), r AS (SELECT l_partkey AS work_id, min(l_orderkey) AS recent_rank FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) SELECT work_id, recent_rank, rating FROM w LEFT JOIN r USING (work_id) WHERE contains(lower(title || ' ' || original_title), 'an')"""
+    f"""WITH w AS ({_WORKS}), r AS (SELECT l_partkey AS work_id, min(l_orderkey) AS recent_rank FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), t AS (SELECT p_partkey AS work_id, p_type AS related FROM part WHERE p_partkey % 3 = 0)
+    SELECT work_id, recent_rank, rating FROM w LEFT JOIN r USING (work_id) LEFT JOIN t USING (work_id) WHERE contains(lower(concat_ws(' ', nullif(title, ''), nullif(original_title, ''), related)), 'an') AND (source = 'local' OR list_contains(sources, 'local'))"""
 )
 def search_rank(spark: SparkSession, d: str) -> DataFrame:
+    """All local works whose own or related titles hold a word."""
     recent = table(spark, d, "lineitem").where("l_returnflag = 'A'").groupBy(F.col("l_partkey").alias("work_id")).agg(F.min("l_orderkey").alias("recent_rank"))
-    w = _works(spark, d).withColumn("plot", F.lit(None).cast("string")).withColumn("tags", F.array().cast("array<string>"))
-    return library.searched(w, "an", recent)
+    titles = table(spark, d, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("work_id"), F.array("p_type").alias("related_titles"))
+    return library.searched(_works(spark, d).join(titles, "work_id", "left"), " An ", recent, "local")
 
 
 @query(
@@ -123,11 +125,14 @@ def dedup_episode(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH e AS ({_EP}), s AS (SELECT work_id, group_type, season, arg_max('t' || episode_id, (source = 'local', episode_id % 2 = 0, episode, 't' || episode_id)) AS title, bool_or(source = 'local') AS scraped, count(DISTINCT episode) AS episode_count FROM e GROUP BY 1, 2, 3) SELECT * FROM s"""
+    f"""WITH e AS ({_EP}), s AS (SELECT *, CASE WHEN group_type = 'special' AND season = 1 THEN 'sps' ELSE group_type END AS g FROM e), n AS (SELECT work_id, group_type, season, count(*) AS n FROM e GROUP BY 1, 2, 3)
+    SELECT s.work_id, g AS group_type, s.season, arg_min('t' || episode_id, (source <> 'local', episode_id % 2 <> 0, -episode, 't' || episode_id)) AS title, bool_or(source = 'local') AS scraped, any_value(n) AS episode_count FROM s JOIN n ON n.work_id = s.work_id AND n.season = s.season AND n.group_type = s.group_type GROUP BY 1, 2, 3"""
 )
 def merge_seasons(spark: SparkSession, d: str) -> DataFrame:
+    """Seasons of all orders; some of the specials' under their other name."""
     e = _eps(spark, d)
-    seasons = e.select("work_id", "group_type", "season", F.concat(F.lit("t"), "episode_id").alias("title"), (F.col("source") == "local").alias("scraped"), F.when(F.col("episode_id") % 2 == 0, F.col("episode_id")).alias("tmdb_id"), F.col("episode").alias("episode_count"))
+    group = F.when((F.col("group_type") == "special") & (F.col("season") == 1), "sps").otherwise(F.col("group_type"))
+    seasons = e.select("work_id", group.alias("group_type"), "season", F.concat(F.lit("t"), "episode_id").alias("title"), (F.col("source") == "local").alias("scraped"), F.when(F.col("episode_id") % 2 == 0, F.col("episode_id")).alias("tmdb_id"), F.col("episode").alias("episode_count"))
     return library.merged_seasons(seasons, e)
 
 

@@ -47,9 +47,9 @@ def lines(files: DataFrame) -> DataFrame:
 
 
 def style(rows: DataFrame) -> DataFrame:
-    """file, style ('bar' or 'box'): the kind of line that a listing has more of; bar where equal."""
+    """file, style ('bar' or 'box'): the one kind of line that a listing has; null where it has both or none, which no scan takes."""
     bar, box = F.count_if(F.col("line").rlike(BAR_LINE) | F.col("line").rlike(BAR_FIRST)), F.count_if(F.col("line").rlike(BOX_LINE))
-    return rows.groupBy("file").agg(F.when(box > bar, "box").otherwise("bar").alias("style"))
+    return rows.groupBy("file").agg(F.when((bar > 0) & (box == 0), "bar").when((box > 0) & (bar == 0), "box").alias("style"))
 
 
 def bar_node(line: Column) -> Column:
@@ -64,8 +64,8 @@ def box_node(line: Column) -> Column:
     return F.when(line.rlike(BOX_LINE), F.struct((F.regexp_count(F.regexp_extract(line, BOX_LINE, 1), F.lit(BOX_STEP)) + 1).cast("int").alias("depth"), F.btrim(F.regexp_extract(line, BOX_LINE, 2)).alias("name")))
 
 
-def tree(rows: DataFrame, node: Column, source: str, deepest: int = 128) -> DataFrame:
-    """file, path, name, ext, kind, id of the files in listings (file, line_no, line).
+def tree(rows: DataFrame, node: Column, source: str, deepest: int = 128, above: int = 0) -> DataFrame:
+    """file, path, name, ext, kind, id of the files in listings (file, line_no, line). above: levels at the top that are no part of paths, 1 for bar listings, whose first line is the root.
 
     The name above a line at each depth is the last one there that no shallower
     line has followed: a window over the file's lines per depth that occurs. Where
@@ -79,8 +79,8 @@ def tree(rows: DataFrame, node: Column, source: str, deepest: int = 128) -> Data
     for i in range(1, levels + 1):
         # A shallower line empties the level; its own name fills it.
         at = at.withColumn(f"_{i}", F.last(F.when(F.col("depth") == i, F.col("name")).when(F.col("depth") < i, F.lit("")), True).over(before))
-    parts = F.slice(F.array(*(F.coalesce(f"_{i}", F.lit("")) for i in range(1, levels + 1))) if levels else F.array().cast("array<string>"), F.lit(1), F.col("depth"))
-    found = at.select("file", "line_no", F.array_join(parts, "/").alias("path"), "name", F.lower(extension("name")).alias("ext"))
+    parts = F.slice(F.array(*(F.coalesce(f"_{i}", F.lit("")) for i in range(1, levels + 1))) if levels else F.array().cast("array<string>"), F.lit(1 + above), F.greatest(F.col("depth") - above, F.lit(0)))
+    found = at.where(F.col("depth") > above).select("file", "line_no", F.array_join(parts, "/").alias("path"), "name", F.lower(extension("name")).alias("ext"))
     kind = resource.kind("name")
     return found.where((kind != "other") & ~resource.is_system("name")).select("file", "line_no", "path", "name", "ext", kind.alias("kind"), resource.stable_id(F.lit(source), F.col("path")).alias("id"))
 

@@ -50,7 +50,9 @@ def test_merge_of_a_listing(spark):
     nodes = spark.createDataFrame([("/f/a", "/f", "file", 1, 1.0, 1, 1, ""), ("/f/d", "/f", "dir", None, 1.0, 1, 1, None), ("/f/d/x", "/f/d", "file", 1, 1.0, 1, 1, ""), ("/f/new", "/f", "file", 1, 1.0, 1, 9, ""), ("/f/back", "/f", "file", 1, 1.0, 1, 1, "deleted"), ("/g/x", "/g", "file", 1, 1.0, 1, 1, "")], schema)
     page = spark.createDataFrame([("/f/a", "file", 2, 1.0), ("/f/a", "file", 2, 1.0), ("/f/back", "file", 1, 1.0), ("/f/n", "file", 1, 1.0), (None, "file", 1, 1.0)], "path string, kind string, size bigint, mtime double")
     got = {r.path: (r.verdict, r.tombstone, r.last_seen, r.size) for r in catalog.committed(nodes, page, "/f", 2).collect()}
-    assert got == {"/f/a": ("updated", "", 2, 2), "/f/d": ("deleted", "deleted", 1, None), "/f/d/x": ("deleted", "deleted", 1, 1), "/f/new": ("late", "", 9, 1), "/f/back": ("updated", "", 2, 1), "/f/n": ("inserted", "", 2, 1), "/g/x": ("outside", "", 1, 1)}
+    assert got == {"/f/a": ("updated", "", 2, 2), "/f/d": ("deleted", "deleted", 1, None), "/f/d/x": ("deleted", "deleted", 1, 1), "/f/new": ("outside", "", 9, 1), "/f/back": ("unchanged", "", 2, 1), "/f/n": ("inserted", "", 2, 1), "/g/x": ("outside", "", 1, 1)}
+    late = catalog.committed(nodes, page, "/f", 2, active=3).collect()
+    assert {r.verdict for r in late} == {"outside"} and sorted((r.path, r.last_seen) for r in late) == sorted((r.path, r.last_seen) for r in nodes.collect())
 
 
 def test_claimable(spark):
@@ -98,7 +100,9 @@ def test_sequences(spark):
 def test_trees_that_jump(spark):
     f = spark.createDataFrame([("a", bytearray("|——r\n| | |-deep.mkv\n| |-x.mkv\nnoise\n| |-d\n| | |-y.mkv".encode()))], "file string, content binary")
     rows = scans.lines(f)
-    assert sorted(r.path for r in scans.tree(rows, scans.bar_node(F.col("line")), "s").collect()) == ["r//deep.mkv", "r/d/y.mkv", "r/x.mkv"]
+    assert sorted(r.path for r in scans.tree(rows, scans.bar_node(F.col("line")), "s", above=1).collect()) == ["/deep.mkv", "d/y.mkv", "x.mkv"]
+    mixed = scans.lines(spark.createDataFrame([("both", bytearray("|——r\n├── x.mkv".encode())), ("one", bytearray("├── x.mkv".encode()))], "file string, content binary"))
+    assert {r.file: r.style for r in scans.style(mixed).collect()} == {"both": None, "one": "box"}
     assert scans.tree(rows.where("false"), scans.bar_node(F.col("line")), "s").count() == 0
 
 
