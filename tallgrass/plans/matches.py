@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.operators import match
+from tallgrass.operators import discovery, match
 from tallgrass.operators.match import Tier
-from tallgrass.session import table
+from tallgrass.session import shared_folder, table
 
 from .base import query
 
@@ -83,3 +83,30 @@ def affected_cards(spark: SparkSession, d: str) -> DataFrame:
     targets = table(spark, d, "orders").select(plan.alias("plan"), F.when(plan < 10, k * 10 + 1).alias("t_item"), F.when(plan.between(10, 19), F.col("o_custkey")).alias("t_work"), F.when(plan.between(20, 24), k % 50).alias("t_dir"), F.lit("R").alias("t_series"))
     tier = lambda n: Tier(n, F.col(n), F.col(f"t_{n}"))
     return match.affected(items, targets, "item", [tier("item"), tier("work"), tier("dir")], "plan", tier("series"))
+
+
+@query(
+    """WITH o AS (SELECT o_custkey % 4 AS a, o_custkey % 12 AS b, o_custkey AS c, max(o_orderkey % 3) AS batch, bool_and(o_orderstatus <> 'P') AS ok FROM orders GROUP BY o_custkey),
+    f AS (SELECT '/a' || a || '/b' || b || '/c' || c AS folder, batch, ok, false AS candidate FROM o UNION ALL SELECT DISTINCT '/a' || a || '/b' || b, 0, true, b % 3 = 0 FROM o UNION ALL SELECT DISTINCT '/a' || a, 0, true, a = 1 FROM o UNION ALL SELECT '/', 0, true, false),
+    t AS (SELECT p.folder, p.candidate, CASE WHEN bool_and(q.ok) THEN max(q.batch) END AS closed FROM f p JOIN f q ON q.folder = p.folder OR starts_with(q.folder, p.folder || '/') WHERE p.folder <> '/' GROUP BY 1, 2)
+    SELECT folder, closed, CASE WHEN candidate AND closed IS NOT NULL AND NOT EXISTS (SELECT 1 FROM f WHERE f.candidate AND starts_with(t.folder, f.folder || '/')) THEN closed END AS emitted FROM t"""
+)
+def discovery_closure(spark: SparkSession, d: str) -> DataFrame:
+    """Folders made of all customers of orders, scanned in three batches: when each closed, and when each unit left."""
+    c = F.col("o_custkey")
+    a, b = F.concat(F.lit("/a"), c % 4), F.concat(F.lit("/a"), c % 4, F.lit("/b"), c % 12)
+    rows = table(spark, d, "orders").groupBy("o_custkey").agg(F.max(F.col("o_orderkey") % 3).alias("batch"), F.bool_and(F.col("o_orderstatus") != "P").alias("ok"))
+    rows = rows.select(a.alias("a"), b.alias("b"), F.concat(b, F.lit("/c"), c).alias("c"), "batch", "ok")
+    none = F.array().cast("array<string>")
+    leaves = rows.select(F.col("c").alias("folder"), F.col("b").alias("parent"), "ok", none.alias("children"), F.lit(False).alias("candidate"), "batch")
+    inner = rows.groupBy("b").agg(F.first("a").alias("parent"), F.collect_set("c").alias("children")).select(F.col("b").alias("folder"), "parent", F.lit(True).alias("ok"), "children", F.regexp_extract("b", "b([0-9]+)$", 1).cast("int").alias("n"))
+    inner = inner.select("folder", "parent", "ok", "children", (F.col("n") % 3 == 0).alias("candidate"), F.lit(0).alias("batch"))
+    top = rows.groupBy("a").agg(F.collect_set("b").alias("children")).select(F.col("a").alias("folder"), F.lit("/").alias("parent"), F.lit(True).alias("ok"), "children", (F.col("a") == "/a1").alias("candidate"), F.lit(0).alias("batch"))
+    every, state = leaves.unionByName(inner).unionByName(top), spark.createDataFrame([], discovery.STATE)
+    shared_folder(spark, "discovery")  # a local master gets a place for checkpoints
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    for i in range(3):
+        state, _ = discovery.advanced(state, every.where(F.col("batch") == i).drop("batch"), i)
+        state = state.checkpoint()
+    return state.select("folder", "closed", "emitted")
