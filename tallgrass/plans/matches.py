@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.operators import discovery, match
+from tallgrass.operators import cascade, discovery, match
+from tallgrass.operators.cascade import Link
 from tallgrass.operators.match import Tier
 from tallgrass.session import shared_folder, table
 
 from .base import query
 
+def _checkpoints(spark: SparkSession) -> None:
+    """checkpoint() takes its folder from spark.checkpoint.dir; a local master without one gets one under /tmp."""
+    shared_folder(spark, "checkpoints")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+
+
 _ITEMS = """i AS (SELECT l_suppkey % 20 AS revision, CASE WHEN l_linenumber < 4 THEN '/s/' || l_partkey || '/' || l_linenumber ELSE '' END AS path, l_partkey // 3 AS work, CASE WHEN l_linenumber = 7 THEN NULL WHEN l_partkey // 3 % 2 = 0 THEN 'c' || l_partkey // 3 ELSE 'c' || l_partkey END AS canonical FROM lineitem),
     a AS (SELECT o_orderkey AS artifact, o_custkey % 20 AS revision, CASE WHEN o_orderkey % 4 = 0 THEN '/s/' || o_custkey || '/1' WHEN o_orderkey % 4 = 1 THEN '/none' END AS path, o_custkey // 3 AS work, CASE WHEN o_orderkey % 11 = 0 THEN 'given' END AS given FROM orders)"""
 
@@ -103,10 +111,58 @@ def discovery_closure(spark: SparkSession, d: str) -> DataFrame:
     inner = inner.select("folder", "parent", "ok", "children", (F.col("n") % 3 == 0).alias("candidate"), F.lit(0).alias("batch"))
     top = rows.groupBy("a").agg(F.collect_set("b").alias("children")).select(F.col("a").alias("folder"), F.lit("/").alias("parent"), F.lit(True).alias("ok"), "children", (F.col("a") == "/a1").alias("candidate"), F.lit(0).alias("batch"))
     every, state = leaves.unionByName(inner).unionByName(top), spark.createDataFrame([], discovery.STATE)
-    shared_folder(spark, "discovery")  # a local master gets a place for checkpoints
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    _checkpoints(spark)
     for i in range(3):
         state, _ = discovery.advanced(state, every.where(F.col("batch") == i).drop("batch"), i)
         state = state.checkpoint()
     return state.select("folder", "closed", "emitted")
+
+
+_LINKS = [
+    Link("units", "root", "roots"), Link("revisions", "unit", "units"), Link("items", "revision", "revisions"), Link("batch_roots", "root", "roots"), Link("batch_roots", "batch", "batches", "last"), Link("nodes", "root", "roots"), Link("revisions", "base", "revisions"), Link("roots", "above", "roots", "null"),
+]
+_KEYS = {"roots": "root", "units": "unit", "revisions": "revision", "items": "item", "batch_roots": "id", "batches": "batch", "nodes": "node"}
+
+
+def _owned(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Nations as roots, with customers as units, orders as their revisions (some based on the order before them), lines as items, suppliers as roots' places in batches, parts as nodes."""
+    t = lambda name: table(spark, d, name)
+    places = t("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("root"), (F.col("s_nationkey") % 9).alias("batch"))
+    return {
+        "roots": t("nation").select(F.col("n_nationkey").alias("root"), F.col("n_regionkey").alias("above")), "units": t("customer").select(F.col("c_custkey").alias("unit"), F.col("c_nationkey").alias("root")),
+        "revisions": t("orders").select(F.col("o_orderkey").alias("revision"), F.col("o_custkey").alias("unit"), F.when(F.col("o_orderkey") % 50 == 0, F.col("o_orderkey") - 1).alias("base")),
+        "items": t("lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("item"), F.col("l_orderkey").alias("revision")),
+        "batch_roots": places, "batches": places.select("batch").distinct(), "nodes": t("part").select(F.col("p_partkey").alias("node"), (F.col("p_partkey") % 25).alias("root")),
+    }
+
+
+_OWNED = """n AS (SELECT n_nationkey AS root FROM nation WHERE n_regionkey = 2), r0 AS (SELECT o_orderkey AS revision FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey IN (FROM n){moved}),
+    r AS (SELECT revision FROM r0 UNION SELECT o_orderkey FROM orders WHERE o_orderkey % 50 = 0 AND o_orderkey - 1 IN (FROM r0)),
+    i AS (SELECT DISTINCT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS item, l_orderkey FROM lineitem WHERE l_orderkey IN (FROM r)),
+    b AS (SELECT s_nationkey % 9 AS batch, bool_and(s_nationkey IN (FROM n)) AS lost FROM supplier GROUP BY 1),
+    c AS (SELECT 'roots' AS name, (SELECT count(*) FROM n) AS deleted, (SELECT count(*) FROM nation) AS whole UNION ALL SELECT 'units', (SELECT count(*) FROM customer WHERE c_nationkey IN (FROM n){moved}), (SELECT count(*) FROM customer) UNION ALL SELECT 'revisions', (SELECT count(*) FROM r), (SELECT count(*) FROM orders)
+        UNION ALL SELECT 'batch_roots', (SELECT count(*) FROM supplier WHERE s_nationkey IN (FROM n)), (SELECT count(*) FROM supplier) UNION ALL SELECT 'batches', (SELECT count(*) FROM b WHERE lost), (SELECT count(*) FROM b) UNION ALL SELECT 'nodes', (SELECT count(*) FROM part WHERE p_partkey % 25 IN (FROM n)), (SELECT count(*) FROM part))"""
+
+
+@query(f"WITH {_OWNED.format(moved='')} SELECT name, deleted, whole - deleted AS left FROM c UNION ALL SELECT 'items', (SELECT count(*) FROM i), (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (FROM r))")
+def cascading_delete(spark: SparkSession, d: str) -> DataFrame:
+    """Roots of one region deleted with all that belongs to them, over seven tables, one of which refers to itself."""
+    _checkpoints(spark)
+    tables = _owned(spark, d)
+    doomed = table(spark, d, "nation").where("n_regionkey = 2").select("n_nationkey")
+    kept, gone = cascade.deleted(tables, _KEYS, _LINKS, {"roots": doomed})
+    return cascade.tallied(kept, gone)
+
+
+@query(
+    f"""WITH {_OWNED.format(moved=' AND false')} SELECT 'table' AS kind, name, deleted, whole - deleted AS left FROM c UNION ALL SELECT 'table', 'items', 0, (SELECT count(*) FROM lineitem)
+    UNION ALL SELECT 'root', CAST(CASE WHEN c_nationkey IN (FROM n) THEN -1 ELSE c_nationkey END AS VARCHAR), 0, count(*) FROM customer GROUP BY 2"""
+)
+def root_promotion(spark: SparkSession, d: str) -> DataFrame:
+    """Roots of one region merged into a new one above them: their units and what belongs to these stay under it, all else of theirs goes."""
+    _checkpoints(spark)
+    tables = _owned(spark, d)
+    mapping = table(spark, d, "nation").where("n_regionkey = 2").select(F.col("n_nationkey").alias("old"), F.lit(-1).alias("new"))
+    kept, gone = cascade.promoted(tables, _KEYS, _LINKS, "roots", mapping, ["units"])
+    units = kept["units"].groupBy(F.col("root").cast("string").alias("name")).agg(F.lit(0).cast("long").alias("deleted"), F.count("*").alias("left"))
+    return cascade.tallied(kept, gone).select(F.lit("table").alias("kind"), "*").unionByName(units.withColumn("kind", F.lit("root")))
