@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.operators import cascade, discovery, match
+from tallgrass.operators import cascade, catalog, discovery, match
 from tallgrass.operators.cascade import Link
 from tallgrass.operators.match import Tier
 from tallgrass.session import shared_folder, table
@@ -166,3 +166,22 @@ def root_promotion(spark: SparkSession, d: str) -> DataFrame:
     kept, gone = cascade.promoted(tables, _KEYS, _LINKS, "roots", mapping, ["units"])
     units = kept["units"].groupBy(F.col("root").cast("string").alias("name")).agg(F.lit(0).cast("long").alias("deleted"), F.count("*").alias("left"))
     return cascade.tallied(kept, gone).select(F.lit("table").alias("kind"), "*").unionByName(units.withColumn("kind", F.lit("root")))
+
+
+@query(
+    """WITH r AS (SELECT s_suppkey AS root, 's' || s_nationkey % 3 AS source, CASE s_suppkey % 6 WHEN 0 THEN '/a' || s_suppkey WHEN 1 THEN '/a' || s_suppkey - 1 || '/b/' WHEN 2 THEN '/c//d' || s_suppkey WHEN 3 THEN '/c' WHEN 4 THEN '/e/f/g' || s_suppkey ELSE '/' END AS path FROM supplier),
+    q AS (SELECT c_custkey AS request, 's' || c_nationkey % 3 AS source, CASE c_custkey % 8 WHEN 0 THEN '/a' || c_custkey % 100 // 6 * 6 WHEN 1 THEN '/a' || c_custkey % 100 // 6 * 6 || '/b/x/y' WHEN 2 THEN '/e/f' WHEN 3 THEN '/e/f/' WHEN 4 THEN '/c/d2/z' WHEN 5 THEN '/cc' WHEN 6 THEN '/' ELSE '/e/ff' END AS path FROM customer),
+    k AS (SELECT DISTINCT root, source, rtrim(regexp_replace(path, '/+', '/', 'g'), '/') AS path FROM r), p AS (SELECT request, source, rtrim(regexp_replace(path, '/+', '/', 'g'), '/') AS path FROM q),
+    u AS (SELECT request, k.root, k.path = p.path AS exact, row_number() OVER (PARTITION BY request ORDER BY length(k.path) DESC, root) AS i FROM p JOIN k ON k.source = p.source AND (k.path = p.path OR (k.path <> '' AND starts_with(p.path, k.path || '/')))),
+    d AS (SELECT request, count(DISTINCT root) AS n FROM p JOIN k ON k.source = p.source AND k.path <> p.path AND starts_with(k.path, p.path || '/') GROUP BY 1)
+    SELECT request, CASE WHEN exact THEN 'reuse_exact' WHEN root IS NOT NULL THEN 'reuse_ancestor' WHEN n > 0 THEN 'promote_parent' ELSE 'create' END AS action, root, CASE WHEN root IS NULL AND n > 0 THEN n ELSE 0 END AS n_covered FROM p LEFT JOIN (SELECT * FROM u WHERE i = 1) u USING (request) LEFT JOIN d USING (request)"""
+)
+def root_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """All customers as import requests against all suppliers as roots of three sources, '/' among both."""
+    s, c = F.col("s_suppkey"), F.col("c_custkey")
+    six = F.expr("c_custkey % 100 div 6 * 6")
+    own = F.when(s % 6 == 0, F.concat(F.lit("/a"), s)).when(s % 6 == 1, F.concat(F.lit("/a"), s - 1, F.lit("/b/"))).when(s % 6 == 2, F.concat(F.lit("/c//d"), s)).when(s % 6 == 3, "/c").when(s % 6 == 4, F.concat(F.lit("/e/f/g"), s)).otherwise("/")
+    path = F.when(c % 8 == 0, F.concat(F.lit("/a"), six)).when(c % 8 == 1, F.concat(F.lit("/a"), six, F.lit("/b/x/y"))).when(c % 8 == 2, "/e/f").when(c % 8 == 3, "/e/f/").when(c % 8 == 4, "/c/d2/z").when(c % 8 == 5, "/cc").when(c % 8 == 6, "/").otherwise("/e/ff")
+    roots = table(spark, d, "supplier").select(s.alias("root"), F.concat(F.lit("s"), F.col("s_nationkey") % 3).alias("source"), own.alias("path"))
+    requests = table(spark, d, "customer").select(c.alias("request"), F.concat(F.lit("s"), F.col("c_nationkey") % 3).alias("source"), path.alias("path"))
+    return catalog.resolved_roots(requests, roots)

@@ -148,3 +148,11 @@ def test_eviction(spark):
     c = spark.createDataFrame([(1, 10, 5), (2, 90_000, 5), (3, 90_001, None), (4, None, 1), (5, 200_000, 4)], "k int, used bigint, size bigint")
     gone = lambda rows, size: sorted(r.k for r in mirror.evicted(c, "k", "used", "size", rows, size).collect())
     assert gone(9, 99) == [] and gone(2, 99) == [1, 2, 4] and gone(9, 8) == [1, 2, 4] and gone(9, 9) == [1, 4]
+
+
+def test_root_resolution(spark):
+    roots = spark.createDataFrame([("r1", "s", "/a"), ("r1", "s", "/a"), ("r0", "s", "/a/"), ("r2", "s", "/a/b/c"), ("r3", "s", "/x/1"), ("r4", "s", "/x/2"), ("r5", "t", "/"), ("r6", None, "/n"), ("r7", "s", None)], "root string, source string, path string")
+    asked = spark.createDataFrame([(1, "s", "/a"), (2, "s", "/a/b/c/d"), (3, "s", "/a/bb"), (4, "s", "/x"), (5, "s", "/"), (6, "t", "/"), (7, "t", "/q"), (8, None, "/n"), (9, "s", None), (10, "s", "/xx")], "request int, source string, path string")
+    got = {r.request: (r.action, r.root, r.n_covered) for r in catalog.resolved_roots(asked, roots).collect()}
+    new = ("create", None, 0)
+    assert got == {1: ("reuse_exact", "r0", 0), 2: ("reuse_ancestor", "r2", 0), 3: ("reuse_ancestor", "r0", 0), 4: ("promote_parent", None, 2), 5: ("promote_parent", None, 5), 6: ("reuse_exact", "r5", 0), 7: new, 8: new, 9: new, 10: new}
