@@ -10,6 +10,8 @@ snapshots give only added or only missing files.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,7 +63,7 @@ def _files(snapshot: DataFrame, name: str) -> DataFrame:
     return snapshot.where("path IS NOT NULL").groupBy("path").agg(F.max(F.struct(*_FILE[1:])).alias("f")).select(F.struct("path", "f.*").alias(name))
 
 
-def compared(old: DataFrame, new: DataFrame) -> DataFrame:
+def compared(old: DataFrame, new: DataFrame, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """change, old_path, new_path, kind, size of every file of two snapshots.
 
     Pass 1: equal paths are unchanged or replaced. Pass 2: of the rest, equal
@@ -71,8 +73,9 @@ def compared(old: DataFrame, new: DataFrame) -> DataFrame:
     new files want one old file, the smallest path gets it, in one round.
     Passes 4 and 5: added and missing.
 
-    All files flow through one plan: each pass is a window over its key, in which
-    files that are settled have keys of their own.
+    Passes 1 and 2 are one join and one window over file ids, in which settled
+    files have keys of their own. Only what they leave goes on; `cut` can end its
+    lineage there (DataFrame.checkpoint), as pass 3 reads it several times.
     """
     both = _files(old, "o").join(_files(new, "n"), F.col("o.path") == F.col("n.path"), "full")
     rows = both.select("o", "n", F.when(F.col("o").isNotNull() & F.col("n").isNotNull(), F.when(changed("o", "n"), "replaced").otherwise("unchanged")).alias("change"))
@@ -90,17 +93,30 @@ def compared(old: DataFrame, new: DataFrame) -> DataFrame:
     verdict = F.when(name("mo") == name("n"), "moved").when(similarity(*stems) > ALIKE, "renamed").otherwise("uncertain")
     rows = _settled(rows, pair, hit, verdict)
 
-    rows = rows.withColumns({"stem": stem(basename(file("path"))), "bytes": F.coalesce(file("size"), F.lit(0))})
-    rows = rows.withColumn("key", F.when(free, F.concat_ws("|", F.lit("~"), F.col("bytes").cast("string"), "stem")).otherwise(own))
-    rows = rows.withColumns({"mo": F.max(F.when(free, F.col("o"))).over(group), "mn": F.min(F.when(free & F.col("n").isNotNull(), F.struct("n.path", "n"))).over(group)["n"], "olds": F.count(F.when(free, F.col("o"))).over(group)})
-    pair = free & (F.col("olds") == 1) & F.col("mn").isNotNull()
-    rows = _settled(rows, pair, pair & (F.col("n.path") == F.col("mn.path")), F.lit("moved"))
-
-    gets = _alike(rows.where(free))
-    rows = rows.join(gets.select(F.col("new").alias("p"), F.col("old").alias("got")), F.when(free, F.col("n.path")) == F.col("p"), "left")
-    rows = rows.join(gets.select(F.col("old.path").alias("q")), F.when(free & F.col("n").isNull(), F.col("o.path")) == F.col("q"), "left").where("q IS NULL")
-    change = F.coalesce("change", F.when(F.col("got").isNotNull(), "renamed"), F.when(F.col("n").isNotNull(), "added"), F.lit("missing"))
-    return rows.select(change.alias("change"), F.coalesce("o.path", "got.path").alias("old_path"), F.col("n.path").alias("new_path"), file("kind").alias("kind"), F.coalesce("n.size", "o.size", "got.size", F.lit(0)).alias("size"))
+    free = F.col("change").isNull()
+    settled, rows = rows.where(~free), rows.where(free)
+    rows = cut(rows) if cut else rows
+    rows = _moved(rows)
+    moved, rows = rows.where(~free), rows.where(free)
+    gets = _alike(rows)
+    gets = cut(gets) if cut else gets
+    rows = rows.join(gets.select(F.col("new").alias("p"), F.col("old").alias("got")), F.col("n.path") == F.col("p"), "left")
+    rows = rows.join(gets.select(F.col("old.path").alias("q")), F.col("n").isNull() & (F.col("o.path") == F.col("q")), "left_anti")
+    change = F.when(F.col("got").isNotNull(), "renamed").when(F.col("n").isNotNull(), "added").otherwise("missing")
+    rows = rows.select(F.coalesce("got", "o").alias("o"), "n", change.alias("change"))
+    rows = settled.unionByName(moved).unionByName(rows)
+    return rows.select("change", F.col("o.path").alias("old_path"), F.col("n.path").alias("new_path"), file("kind").alias("kind"), F.coalesce("n.size", "o.size", F.lit(0)).alias("size"))
+
+
+def _moved(rows: DataFrame) -> DataFrame:
+    """The first half of pass 3, of free rows (o, n, change): groups of one stem and size are counted before the shuffle and only the pairs come back, by path, so that a stem which very many files have costs no more than others."""
+    path = F.coalesce("n.path", "o.path")
+    keyed = rows.withColumns({"stem": stem(basename(path)), "bytes": F.coalesce("n.size", "o.size", F.lit(0))})
+    group = keyed.groupBy("bytes", "stem").agg(F.count("o").alias("olds"), F.max("o").alias("mo"), F.min("n.path").alias("p"))
+    pairs = group.where("olds = 1 AND p IS NOT NULL")
+    rows = rows.join(pairs.select("p", "mo"), F.col("n.path") == F.col("p"), "left")
+    rows = rows.join(pairs.select(F.col("mo.path").alias("q")), F.col("n").isNull() & (F.col("o.path") == F.col("q")), "left_anti")
+    return rows.select(F.coalesce("mo", "o").alias("o"), "n", F.when(F.col("mo").isNotNull(), "moved").alias("change"))
 
 
 def _settled(rows: DataFrame, pair: Column, hit: Column, verdict: Column) -> DataFrame:
@@ -112,13 +128,37 @@ def _settled(rows: DataFrame, pair: Column, hit: Column, verdict: Column) -> Dat
 
 
 def _alike(free: DataFrame) -> DataFrame:
-    """The second half of pass 3: (new, old) of new paths and the old files that they get."""
+    """The second half of pass 3: (new, old) of new paths and the old files that they get.
+
+    New files of one stem and size want the same old file and only the smallest
+    path can get it, so one of them asks. A name's letters are a set of (letter,
+    n-th time); names alike share more than ALIKE of the longer one's, hence two
+    at least of the rarest letters of each (as many as its length less that
+    share, and one more). Names meet on such pairs of letters, once on the first
+    that they share.
+    """
     olds = free.where("n IS NULL").select("o", stem(basename("o.path")).alias("stem"), F.coalesce("o.size", F.lit(0)).alias("bytes"))
     news = free.where("n IS NOT NULL").select(F.col("n.path").alias("new"), stem(basename("n.path")).alias("s"), F.coalesce("n.size", F.lit(0)).alias("b"))
-    single = olds.groupBy("stem", "bytes").agg(F.max("o").alias("old"), F.count("*").alias("c")).where("c = 1")
-    # Equal sizes are the key; texts whose lengths differ too much can't be alike and don't reach the UDF.
-    near = (F.col("b") == F.col("bytes")) & (F.least(F.length("s"), F.length("stem")) > ALIKE * F.greatest(F.length("s"), F.length("stem")))
-    alike = news.join(single, near).where(similarity(F.col("s"), F.col("stem")) > ALIKE)
+    single = olds.groupBy("stem", "bytes").agg(F.max("o").alias("old"), F.count("*").alias("c")).where("c = 1").select("stem", "bytes", "old")
+    asks = news.groupBy("s", "b").agg(F.min("new").alias("new"))
+    single = single.join(asks.select(F.col("b").alias("bytes")).distinct(), "bytes", "left_semi")
+    asks = asks.join(single.select(F.col("bytes").alias("b")).distinct(), "b", "left_semi")
+
+    stems = single.select("stem").union(asks.select("s")).distinct().where(F.length("stem") > 1)
+    sorted_letters = F.array_sort(F.filter(F.split("stem", ""), lambda c: c != ""))
+    letters = stems.withColumn("l", sorted_letters).select("stem", F.explode(F.transform("l", lambda c, i: F.concat(c, (i - F.array_position("l", c)).cast("string")))).alias("t"))
+    often = letters.groupBy("t").agg(F.count("*").alias("n"))  # letters times the longest name
+    kept = F.length("stem") - F.floor(ALIKE * F.length("stem") - 1e-9).cast("int") + 1
+    rarest = letters.join(often, "t").groupBy("stem").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("r"))
+    rarest = rarest.select("stem", F.transform(F.slice("r", 1, kept), lambda x: x["t"]).alias("r"))
+    pairs = F.flatten(F.transform("r", lambda x, i: F.transform(F.slice("r", i + 2, F.size("r")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    keys = rarest.select("stem", "r", F.explode(pairs).alias("k"))
+    left = single.join(keys, "stem")
+    right = asks.join(keys.select(F.col("stem").alias("s"), F.col("r").alias("x"), "k"), "s")
+    shared = F.array_intersect("r", "x")
+    near = (F.col("b") == F.col("bytes")) & (left["k"] == right["k"]) & (F.least(F.length("s"), F.length("stem")) > ALIKE * F.greatest(F.length("s"), F.length("stem")))
+    met = left.join(right, near).where((shared[0] == left["k"]["a"]) & (shared[1] == left["k"]["b"]))
+    alike = met.where(similarity(F.col("s"), F.col("stem")) > ALIKE)
     wants = alike.groupBy("new").agg(F.min(F.struct("old.path", "old")).alias("x")).select("new", "x.old")
     return wants.groupBy("old.path").agg(F.min(F.struct("new", "old")).alias("x")).select("x.new", "x.old")
 

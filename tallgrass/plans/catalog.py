@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallgrass.functions import score
 from tallgrass.operators import catalog, diff, relate
-from tallgrass.session import table
+from tallgrass.session import checkpoints, table
 from tallgrass.sources import scans
 from tallgrass.streaming import breaker
 
@@ -15,6 +15,11 @@ from .base import query
 from .media import _PATH, pages
 
 
+def _compared(spark: SparkSession, old: DataFrame, new: DataFrame) -> DataFrame:
+    checkpoints(spark)
+    return diff.compared(old, new, lambda df: df.checkpoint())
+
+
 def _snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Two snapshots of all orders: by key some come, go, move, are renamed, replaced or get another name under the same id."""
     o = table(spark, d, "orders")
@@ -37,7 +42,7 @@ _CHANGE = "CASE o_orderkey % 20 WHEN 1 THEN 'added' WHEN 2 THEN 'missing' WHEN 3
 )
 def snapshot_diff_exact(spark: SparkSession, d: str) -> DataFrame:
     """Passes 1, 2, 4 and 5 over all orders, with every verdict."""
-    return diff.compared(*_snapshots(spark, d)).select("change", "old_path", "new_path")
+    return _compared(spark, *_snapshots(spark, d)).select("change", "old_path", "new_path")
 
 
 @query(
@@ -51,7 +56,7 @@ def snapshot_diff_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     rest = [F.lit(None).cast("string").alias("file_id"), F.col("doc_id").alias("size"), F.lit(None).cast("double").alias("mtime"), F.lit("baidu").alias("source"), F.lit("").alias("content"), F.lit("video").alias("kind")]
     docs = table(spark, d, "documents")
     old = docs.select(F.concat(F.lit("old/"), key, F.lit("-a-long-name-of-a-file.mkv")).alias("path"), *rest)
-    return diff.compared(old, docs.select(F.concat(F.lit("new/"), name).alias("path"), *rest)).select("change", "old_path", "new_path")
+    return _compared(spark, old, docs.select(F.concat(F.lit("new/"), name).alias("path"), *rest)).select("change", "old_path", "new_path")
 
 
 @query(
@@ -59,12 +64,12 @@ def snapshot_diff_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     SELECT old_videos, new_videos, missing / old_videos::DOUBLE AS missing_share, moved / old_videos::DOUBLE AS moved_share, abs(new_videos - old_videos) / old_videos::DOUBLE AS changed_share, missing / old_videos::DOUBLE > 0.3 OR moved / old_videos::DOUBLE > 0.3 OR abs(new_videos - old_videos) / old_videos::DOUBLE > 0.5 AS blocked FROM c"""
 )
 def diff_safety(spark: SparkSession, d: str) -> DataFrame:
-    return diff.safety(diff.compared(*_snapshots(spark, d)))
+    return diff.safety(_compared(spark, *_snapshots(spark, d)))
 
 
 @query(f"SELECT {_CHANGE} AS change, count(*) AS n FROM orders WHERE {_CHANGE} IN ('added', 'replaced') GROUP BY 1")
 def incremental_plan(spark: SparkSession, d: str) -> DataFrame:
-    return diff.incremental(diff.compared(*_snapshots(spark, d))).groupBy("change").agg(F.count("*").alias("n"))
+    return diff.incremental(_compared(spark, *_snapshots(spark, d))).groupBy("change").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -72,7 +77,7 @@ def incremental_plan(spark: SparkSession, d: str) -> DataFrame:
 )
 def incremental_merge(spark: SparkSession, d: str) -> DataFrame:
     old, new = _snapshots(spark, d)
-    return diff.merged(old.select("path", F.lit(False).alias("missing"), F.lit("base").alias("note")), diff.compared(old, new))
+    return diff.merged(old.select("path", F.lit(False).alias("missing"), F.lit("base").alias("note")), _compared(spark, old, new))
 
 
 @query("SELECT false AS changed, true AS equal")

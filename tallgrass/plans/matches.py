@@ -8,17 +8,10 @@ from pyspark.sql import functions as F
 from tallgrass.operators import cascade, catalog, discovery, match
 from tallgrass.operators.cascade import Link
 from tallgrass.operators.match import Tier
-from tallgrass.session import shared_folder, table
+from tallgrass.session import checkpoints, table
 
 from .base import query
 
-def _checkpoints(spark: SparkSession) -> None:
-    """checkpoint() takes its folder from spark.checkpoint.dir; a local master without one gets one under /tmp."""
-    shared_folder(spark, "checkpoints")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-
-
 _ITEMS = """i AS (SELECT l_suppkey % 20 AS revision, CASE WHEN l_linenumber < 4 THEN '/s/' || l_partkey || '/' || l_linenumber ELSE '' END AS path, l_partkey // 3 AS work, CASE WHEN l_linenumber = 7 THEN NULL WHEN l_partkey // 3 % 2 = 0 THEN 'c' || l_partkey // 3 ELSE 'c' || l_partkey END AS canonical FROM lineitem),
     a AS (SELECT o_orderkey AS artifact, o_custkey % 20 AS revision, CASE WHEN o_orderkey % 4 = 0 THEN '/s/' || o_custkey || '/1' WHEN o_orderkey % 4 = 1 THEN '/none' END AS path, o_custkey // 3 AS work, CASE WHEN o_orderkey % 11 = 0 THEN 'given' END AS given FROM orders)"""
 
@@ -111,7 +104,7 @@ def discovery_closure(spark: SparkSession, d: str) -> DataFrame:
     inner = inner.select("folder", "parent", "ok", "children", (F.col("n") % 3 == 0).alias("candidate"), F.lit(0).alias("batch"))
     top = rows.groupBy("a").agg(F.collect_set("b").alias("children")).select(F.col("a").alias("folder"), F.lit("/").alias("parent"), F.lit(True).alias("ok"), "children", (F.col("a") == "/a1").alias("candidate"), F.lit(0).alias("batch"))
     every, state = leaves.unionByName(inner).unionByName(top), spark.createDataFrame([], discovery.STATE)
-    _checkpoints(spark)
+    checkpoints(spark)
     for i in range(3):
         state, _ = discovery.advanced(state, every.where(F.col("batch") == i).drop("batch"), i)
         state = state.checkpoint()
@@ -147,7 +140,7 @@ _OWNED = """n AS (SELECT n_nationkey AS root FROM nation WHERE n_regionkey = 2),
 @query(f"WITH {_OWNED.format(moved='')} SELECT name, deleted, whole - deleted AS left FROM c UNION ALL SELECT 'items', (SELECT count(*) FROM i), (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (FROM r))")
 def cascading_delete(spark: SparkSession, d: str) -> DataFrame:
     """Roots of one region deleted with all that belongs to them, over seven tables, one of which refers to itself."""
-    _checkpoints(spark)
+    checkpoints(spark)
     tables = _owned(spark, d)
     doomed = table(spark, d, "nation").where("n_regionkey = 2").select("n_nationkey")
     kept, gone = cascade.deleted(tables, _KEYS, _LINKS, {"roots": doomed})
@@ -160,7 +153,7 @@ def cascading_delete(spark: SparkSession, d: str) -> DataFrame:
 )
 def root_promotion(spark: SparkSession, d: str) -> DataFrame:
     """Roots of one region merged into a new one above them: their units and what belongs to these stay under it, all else of theirs goes."""
-    _checkpoints(spark)
+    checkpoints(spark)
     tables = _owned(spark, d)
     mapping = table(spark, d, "nation").where("n_regionkey = 2").select(F.col("n_nationkey").alias("old"), F.lit(-1).alias("new"))
     kept, gone = cascade.promoted(tables, _KEYS, _LINKS, "roots", mapping, ["units"])

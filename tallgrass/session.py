@@ -43,3 +43,10 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     files.mkdirs(place)
     files.deleteOnExit(place)
     return path
+
+
+def checkpoints(spark: SparkSession) -> None:
+    """checkpoint() takes its folder from spark.checkpoint.dir; a local master without one gets one under /tmp."""
+    shared_folder(spark, "checkpoints")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))

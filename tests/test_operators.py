@@ -1,6 +1,9 @@
 """Operators against rows worked out by hand: nulls, ties, repeats and empty tables."""
 
+import random
+
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallgrass.operators import catalog, diff, library, relate, sequence
@@ -15,7 +18,7 @@ def files(spark, *rows):
 
 
 def changes(old, new):
-    return sorted((r.change, r.old_path or "", r.new_path or "") for r in diff.compared(old, new).collect())
+    return sorted((r.change, r.old_path or "", r.new_path or "") for r in diff.compared(old, new, DataFrame.checkpoint).collect())
 
 
 def test_diff_passes(spark):
@@ -29,8 +32,8 @@ def test_diff_of_odd_snapshots(spark):
     one, none = files(spark, ("a.mkv", "1", None), ("a.mkv", "1", None), (None, "2", 3)), files(spark, ("z", None)).where("false")
     assert changes(one, none) == [("missing", "a.mkv", "")] and changes(none, one) == [("added", "", "a.mkv")] and changes(none, none) == []
     assert changes(one, one) == [("unchanged", "a.mkv", "a.mkv")]
-    assert diff.safety(diff.compared(none, one)).first().blocked is False
-    assert diff.safety(diff.compared(one, none)).first().blocked is True
+    assert diff.safety(diff.compared(none, one, DataFrame.checkpoint)).first().blocked is False
+    assert diff.safety(diff.compared(one, none, DataFrame.checkpoint)).first().blocked is True
 
 
 def test_fingerprints(spark):
@@ -156,3 +159,43 @@ def test_root_resolution(spark):
     got = {r.request: (r.action, r.root, r.n_covered) for r in catalog.resolved_roots(asked, roots).collect()}
     new = ("create", None, 0)
     assert got == {1: ("reuse_exact", "r0", 0), 2: ("reuse_ancestor", "r2", 0), 3: ("reuse_ancestor", "r0", 0), 4: ("promote_parent", None, 2), 5: ("promote_parent", None, 5), 6: ("reuse_exact", "r5", 0), 7: new, 8: new, 9: new, 10: new}
+
+
+def test_diff_of_one_stem_and_no_sizes(spark):
+    """Hundreds of files without sizes: names that all share, names alike and names of one letter meet as the pairwise rule says."""
+    row = "path string, file_id string, size bigint, mtime double, source string, content string, kind string"
+    files = lambda paths: spark.createDataFrame([(p, None, None, None, "baidu", "", "video") for p in paths], row)
+    names = ["".join(random.Random(i).choices("abcdefgh", k=1 + i % 9)) for i in range(120)]
+    old = [f"a/{i}/{n}.mkv" for i, n in enumerate(names)] + [f"a/{i}/01.mkv" for i in range(150)]
+    new = [f"b/{i}/{n[1:]}x.mkv" for i, n in enumerate(names)] + [f"b/{i}/01.mkv" for i in range(150)] + ["b/é/😀q.mkv"]
+    base = lambda p: p.rsplit("/", 1)[1].removesuffix(".mkv")
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            above, row = row, [0]
+            for i, y in enumerate(b):
+                row.append(above[i] + 1 if x == y else max(above[i + 1], row[i]))
+        return row[-1]
+
+    stems = {}
+    for p in old:
+        stems.setdefault(base(p), []).append(p)
+    single = {s: p[0] for s, p in stems.items() if len(p) == 1}
+    pairs, free = {}, []
+    for p in sorted(new):
+        s = base(p)
+        if s in single and single[s] not in pairs.values():
+            pairs[p] = single[s]
+        else:
+            free.append(p)
+    left = {s: o for s, o in single.items() if o not in pairs.values()}
+    got = {}
+    for p in free:
+        near = [o for s, o in left.items() if max(len(s), len(base(p))) and lcs(base(p), s) / max(len(s), len(base(p))) > diff.ALIKE]
+        if near:
+            got.setdefault(min(near), p)
+    rows = diff.compared(files(old), files(new), DataFrame.checkpoint).collect()
+    assert {r.new_path: r.old_path for r in rows if r.change == "moved"} == pairs
+    assert {r.new_path: r.old_path for r in rows if r.change == "renamed"} == {p: o for o, p in got.items()}
+    assert len(got) > 5 and sum(r.change != "added" for r in rows) == len(old) and sum(r.change != "missing" for r in rows) == len(new)
