@@ -75,7 +75,7 @@ def compared(old: DataFrame, new: DataFrame, cut: Callable[[DataFrame], DataFram
 
     Passes 1 and 2 are one join and one window over file ids, in which settled
     files have keys of their own. Only what they leave goes on; `cut` can end its
-    lineage there (DataFrame.checkpoint), as pass 3 reads it several times.
+    lineage there (as checkpoint() does), as pass 3 reads it several times.
     """
     both = _files(old, "o").join(_files(new, "n"), F.col("o.path") == F.col("n.path"), "full")
     rows = both.select("o", "n", F.when(F.col("o").isNotNull() & F.col("n").isNotNull(), F.when(changed("o", "n"), "replaced").otherwise("unchanged")).alias("change"))

@@ -3,13 +3,13 @@
 import random
 
 import pytest
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallgrass.operators import catalog, diff, library, relate, sequence
 from tallgrass.sources import mirror, scans
 from tallgrass.streaming import breaker, progress
 
+CUT = lambda df: df.checkpoint()
 FILE = "path string, file_id string, size bigint, mtime double, source string, content string, kind string"
 
 
@@ -18,7 +18,7 @@ def files(spark, *rows):
 
 
 def changes(old, new):
-    return sorted((r.change, r.old_path or "", r.new_path or "") for r in diff.compared(old, new, DataFrame.checkpoint).collect())
+    return sorted((r.change, r.old_path or "", r.new_path or "") for r in diff.compared(old, new, CUT).collect())
 
 
 def test_diff_passes(spark):
@@ -32,8 +32,8 @@ def test_diff_of_odd_snapshots(spark):
     one, none = files(spark, ("a.mkv", "1", None), ("a.mkv", "1", None), (None, "2", 3)), files(spark, ("z", None)).where("false")
     assert changes(one, none) == [("missing", "a.mkv", "")] and changes(none, one) == [("added", "", "a.mkv")] and changes(none, none) == []
     assert changes(one, one) == [("unchanged", "a.mkv", "a.mkv")]
-    assert diff.safety(diff.compared(none, one, DataFrame.checkpoint)).first().blocked is False
-    assert diff.safety(diff.compared(one, none, DataFrame.checkpoint)).first().blocked is True
+    assert diff.safety(diff.compared(none, one, CUT)).first().blocked is False
+    assert diff.safety(diff.compared(one, none, CUT)).first().blocked is True
 
 
 def test_fingerprints(spark):
@@ -195,7 +195,7 @@ def test_diff_of_one_stem_and_no_sizes(spark):
         near = [o for s, o in left.items() if max(len(s), len(base(p))) and lcs(base(p), s) / max(len(s), len(base(p))) > diff.ALIKE]
         if near:
             got.setdefault(min(near), p)
-    rows = diff.compared(files(old), files(new), DataFrame.checkpoint).collect()
+    rows = diff.compared(files(old), files(new), CUT).collect()
     assert {r.new_path: r.old_path for r in rows if r.change == "moved"} == pairs
     assert {r.new_path: r.old_path for r in rows if r.change == "renamed"} == {p: o for o, p in got.items()}
     assert len(got) > 5 and sum(r.change != "added" for r in rows) == len(old) and sum(r.change != "missing" for r in rows) == len(new)
