@@ -155,4 +155,4 @@ def exception_ids(bindings: DataFrame, reviews: DataFrame, failures: DataFrame,
     open_ = reviews.where("status = 'pending'").select(*key).unionByName(failures.select(*key)).distinct()
     of_target = open_.join(shown, key).select("work_id")
     lost = failures.join(targets.select(*key).distinct(), key, "left_anti").select("work_id")
-    return bound.unionByName(of_target).unionByName(lost).where(F.coalesce("work_id", F.lit("")).cast("string") != "").distinct()
+    return bound.unionByName(of_target).unionByName(lost).where(F.coalesce(F.col("work_id").cast("string"), F.lit("")) != "").distinct()
