@@ -15,6 +15,9 @@ SUFFIXES = [
     r"(?i)\s*(?:剧场版|电影版|电影|動畫电影|动画电影|movie|film|ova|oad|oav|特别篇|番外篇|总集篇|前篇|后篇|上篇|下篇|sp|specials?)\s*$",
     r"(?i)\s*(?:第\s*\d+\s*季|season\s*\d+|s\d{1,2})\s*$",
 ]
+# What names the halves of a film in two, in order of trust; the last two are held against the title without separators at its end, in lower case.
+HALVES = [(r"(?i)前篇|前編|part\s*1|part\s*i\b", "front"), (r"(?i)后篇|後篇|后编|後編|part\s*2|part\s*ii\b", "back")]
+ENDINGS = [(r"re\s*:\s*re\s*:?$", "back"), (r"re\s*:?$", "front")]
 ANIME, LIVE = ["动画", "新番", "刮削好的动画", "番剧", "TV", "TV动画"], ["剧集"]
 
 
@@ -40,9 +43,10 @@ def related_title(title) -> Column:
 
 def part_marker(title) -> Column:
     """front or back for the parts of a film in two, else empty."""
-    x = _t(title)
-    compact = F.lower(F.regexp_replace(x, r"[\s._-]+$", ""))
-    return F.when(x.rlike(r"(?i)前篇|前編|part\s*1|part\s*i\b"), "front").when(x.rlike(r"(?i)后篇|後篇|后编|後編|part\s*2|part\s*ii\b"), "back").when(compact.rlike(r"re\s*:\s*re\s*:?$"), "back").when(compact.rlike(r"re\s*:?$"), "front").otherwise("")
+    name = _t(title)
+    bare_end = F.lower(F.regexp_replace(name, r"[\s._-]+$", ""))
+    tests = [(name.rlike(p), part) for p, part in HALVES] + [(bare_end.rlike(p), part) for p, part in ENDINGS]
+    return F.coalesce(*[F.when(fits, part) for fits, part in tests], F.lit(""))
 
 
 def kind(group, text) -> Column:

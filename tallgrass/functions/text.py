@@ -14,8 +14,8 @@ LETTER_PREFIX = r"^[A-Za-z]\s+(?=\d)"
 SEASON_RANGE = r"(?i)[.．]?S\d+\s*[-~]\s*S\d+(?:\+(?:SP|OVA|OAD|剧场版|外传|Movie))*"
 CATALOG_SUFFIX = r"(?i)\.(?:TV(?:版)?|动画版)(?:\s*\+\s*(?:外传|剧场版|电影|OVA|OAD|SP|特别篇))*$"
 LANGUAGE_SUFFIX = r"\s+(?:内封中字|内封简繁|简繁内封|中字内封)$"
-TECH_WORDS = "bdrip webrip web-dl bdmv remux hevc hevc-10bit h264 h265 x264 x265 avc 10bit 8bit hi10p ma10p 1080p 2160p 720p 480p 4k chs cht chsjp chttp chi_jpn scjp tcjp jpn eng mp4 mkv flac aac ac3 truehd dts e-ac3 fin movie v2 v3".split()
-TECH_PATTERN = r"(?i)^(?:ma\d+p.*|\d+[-~]\d+.*|\d+bit|\d+p|[A-Z]{2,3}_\d+[pi]|[A-Z]+-[A-Z]+-\d+)$"
+TECH_WORDS = ["bdrip", "webrip", "web-dl", "bdmv", "remux", "hevc", "hevc-10bit", "h264", "h265", "x264", "x265", "avc", "10bit", "8bit", "hi10p", "ma10p", "1080p", "2160p", "720p", "480p", "4k", "chs", "cht", "chsjp", "chttp", "chi_jpn", "scjp", "tcjp", "jpn", "eng", "mp4", "mkv", "flac", "aac", "ac3", "truehd", "dts", "e-ac3", "fin", "movie", "v2", "v3"]
+TECH_PATTERN = r"(?i)^(?:Ma\d+p.*|\d+[-~]\d+.*|\d+bit|\d+p|[A-Z]{2,3}_\d+[pi]|[A-Z]+-[A-Z]+-\d+)$"
 TEAM_WORDS = ["sub", "raw", "raws", "studio", "vcb", "vcb-studio", "lolihouse", "sakurato", "sweetsub", "dmg", "haruhana", "nekomoe", "kissaten", "nekomoe kissaten", "beansub", "fzsd", "cz", "mai", "t.h.x", "lp-raws", "airota", "ktxp", "thx", "sweet", "loli", "as", "nw", "ea"]
 YEAR_SUFFIX = r"(?:[.．]\d{4}|[(（]\d{4}[)）]|\s\d{4})$"
 
