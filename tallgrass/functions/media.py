@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .paths import basename, stem
+
 GUESS = "struct<rule:string,group_type:string,season:int,episode:int,confidence:string>"
 
 # Marks of openings, auxiliary videos, specials and own cards.
@@ -114,10 +116,16 @@ def evidence(guess: Column) -> Column:
     return F.struct(guess["episode"].isNotNull().alias("has_episode"), (guess["confidence"] == "high").alias("is_sure"), guess["group_type"].isin("op_ed", "auxiliary").alias("is_extra"), (guess["group_type"] == "unknown").alias("needs_review"))
 
 
-def keep_score(path, extra) -> Column:
-    """Struct whose maximum is the copy to keep: not an extra, then resolution, codec, a short path, a small path."""
-    low = F.lower(_c(path))
-    best = lambda marks: F.greatest(F.lit(0), *(F.when(low.rlike(p), n).otherwise(0) for p, n in marks))
-    resolution = best([("2160p|4k", 4), ("1080p", 3), ("720p", 2), ("480p", 1)])
-    codec = best([("av1", 3), ("hevc|x265|h265|h\\.265", 2), ("x264|h264|h\\.264|avc", 1)])
-    return F.struct((~_c(extra)).alias("main"), resolution.alias("resolution"), codec.alias("codec"), (-F.length(_c(path))).alias("short"))
+def keep_score(path="relative_path", title="work_title", original="original_title", extra="is_extra") -> Column:
+    """Struct whose maximum is the copy to keep: no extra, then resolution, codecs, a name that holds the title (or else the original one), a short path, a great path. Nulls count as '' and as no extra."""
+    full = lambda x: F.coalesce(_c(x), F.lit(""))
+    tight = lambda x: F.lower(F.regexp_replace(x, r"\s+", ""))
+    name = tight(stem(basename(F.replace(full(path), F.lit("\\"), F.lit("/")))))
+    low = F.lower(full(path))
+    size = F.regexp_extract(low, "(2160|1080|720|480)p", 1)
+    resolution = F.when(size == "2160", 4).when(size == "1080", 3).when(size == "720", 2).when(size == "480", 1).otherwise(0)
+    codec = F.when(low.rlike("hevc|x265|h265"), 2).otherwise(0) + F.when(low.contains("flac"), 1).otherwise(0)
+    held = lambda x: (tight(full(x)) != "") & F.contains(name, tight(full(x)))
+    match = F.when(held(title), 2).when(held(original), 1).otherwise(0)
+    main = F.when(F.coalesce(_c(extra), F.lit(False)), 0).otherwise(1)
+    return F.struct(main.alias("main"), resolution.alias("resolution"), codec.alias("codec"), match.alias("title"), (-F.length(full(path))).alias("short"), full(path).alias("path"))

@@ -49,6 +49,12 @@ def _year() -> Column:
     return F.coalesce(F.nullif(F.col("year"), F.lit(0)).cast("string"), F.lit(""))
 
 
+def unused(rows: DataFrame, *names: str) -> list[str]:
+    """The names behind as many underscores as make them new to the rows."""
+    most = max((len(c) - len(c.lstrip("_")) for c in rows.columns), default=0)
+    return ["_" * (most + 1) + name for name in names]
+
+
 def taken() -> Column:
     """Whether an item is a video that gets a file."""
     return F.coalesce((F.col("resource_type") == "video") & (F.col("action") == "generate_strm"), F.lit(False))
@@ -77,16 +83,17 @@ def flagged(items: DataFrame) -> DataFrame:
     Episodes are counted before they meet their items, and only those that
     several items have come back.
     """
-    key = ["plan", "_same", "season_number", "episode_number"]
+    same, twice_name = unused(items, "same", "twice")
+    key = ["plan", same, "season_number", "episode_number"]
     main = taken() & (_t("group_type") == "season")
     numbered = main & F.col("season_number").isNotNull() & F.col("episode_number").isNotNull()
-    rows = items.withColumn("_same", F.when(numbered, episode_identity()))
-    twice = rows.where("_same IS NOT NULL").groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").withColumn("_twice", F.lit(True)).drop("_n")
+    rows = items.withColumn(same, F.when(numbered, episode_identity()))
+    twice = rows.where(F.col(same).isNotNull()).groupBy(*key).agg(F.count("*").alias(twice_name)).where(F.col(twice_name) > 1)
     rows = rows.join(twice, key, "left")
     said = F.filter(F.coalesce("warnings", F.array().cast("array<string>")), lambda w: w.isNotNull())
     about = lambda w: w.contains(DUPLICATE_MARK)
     only_duplicates = F.exists(said, about) & F.forall(said, about)
-    twice_ = F.coalesce("_twice", F.lit(False))
+    twice_ = F.col(twice_name).isNotNull()
     flags = {
         "low_confidence": (_t("confidence") == "low") & (_t("user_override_id") == ""),
         "needs_review": twice_ | (F.coalesce("needs_review", F.lit(False)) & ~only_duplicates),
@@ -96,8 +103,8 @@ def flagged(items: DataFrame) -> DataFrame:
         "missing_group_type": _t("group_type") == "",
         "season_incomplete": (_t("group_type") == "season") & (F.col("season_number").isNull() | F.col("episode_number").isNull()),
     }
-    rows = rows.withColumns({"said_review": F.coalesce("needs_review", F.lit(False)), "taken": taken(), "episode_of": F.when(twice_, F.col("_same"))})
-    return rows.withColumns({c: taken() & v for c, v in flags.items()}).drop("_same", "_twice")
+    rows = rows.withColumns({"said_review": F.coalesce("needs_review", F.lit(False)), "taken": taken(), "episode_of": F.when(twice_, F.col(same))})
+    return rows.withColumns({c: taken() & v for c, v in flags.items()}).drop(same, twice_name)
 
 
 def issues(flags: DataFrame) -> DataFrame:

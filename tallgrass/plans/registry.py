@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallgrass.operators import rank, relate
 from tallgrass.session import table
 
-from . import cards, catalog, matches, media, merges, previews, sequences, shelves, sinks, trees, watches, works  # noqa: F401
+from . import cards, catalog, duplicates, matches, media, merges, previews, sequences, shelves, sinks, trees, watches, works  # noqa: F401
 from .base import QUERIES, SQL, query
 
 FLAGSHIP = "recent_priority"

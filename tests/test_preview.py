@@ -4,7 +4,7 @@ import re
 
 from tallgrass.operators import preview
 
-COLUMNS = "plan string, item_id int, position int, resource_type string, action string, group_type string, season_number int, episode_number int, special_number int, work_id string, canonical_work_id string, work_title string, original_title string, series_group string, card_type string, media_type string, show_type string, relative_path string, year int, confidence string, user_override_id string, needs_review boolean, warnings array<string>, source string, card string, local_title string, subwork string, file_year int, own_year int, _n int"
+COLUMNS = "plan string, item_id int, position int, resource_type string, action string, group_type string, season_number int, episode_number int, special_number int, work_id string, canonical_work_id string, work_title string, original_title string, series_group string, card_type string, media_type string, show_type string, relative_path string, year int, confidence string, user_override_id string, needs_review boolean, warnings array<string>, source string, card string, local_title string, subwork string, file_year int, own_year int, _same int, twice int"
 NAMES = [c.split()[0] for c in COLUMNS.split(", ")]
 BASE = dict.fromkeys(NAMES) | {"plan": "p", "resource_type": "video", "action": "generate_strm", "group_type": "season", "season_number": 1, "episode_number": 1, "work_id": "w", "work_title": "T", "card_type": "main_series", "local_title": "T", "card": "c", "source": "s", "own_year": 2001}
 
