@@ -53,7 +53,7 @@ def category_shelves(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """WITH RECURSIVE p AS (SELECT p_brand AS pool, p_partkey AS work_id, row_number() OVER (PARTITION BY p_brand ORDER BY md5(p_partkey::VARCHAR), p_partkey) - 1 AS position, count(*) OVER (PARTITION BY p_brand) AS n, bit_xor(('0x' || substr(md5(p_partkey::VARCHAR), 1, 13))::BIGINT) OVER (PARTITION BY p_brand) AS m FROM part),
-    s AS (SELECT c_custkey AS session, pool, n, m FROM customer JOIN (SELECT DISTINCT pool, n, m FROM p) ON pool = 'Brand#' || (1 + c_nationkey // 5) || (1 + c_nationkey % 5)),
+    s AS (SELECT c_custkey AS session, pool, n, m FROM customer JOIN (SELECT DISTINCT pool, n, m FROM p) ON pool = 'Brand#' || (1 + c_nationkey)),
     draw AS (SELECT session, pool, n, m, greatest(n - 8, 0) AS j, []::BIGINT[] AS got FROM s
         UNION ALL SELECT session, pool, n, m, j + 1, list_append(got, CASE WHEN list_contains(got, t) THEN j ELSE t END) FROM (SELECT *, ('0x' || substr(md5('home/' || session || '/' || m || '/' || j), 1, 13))::BIGINT % (j + 1) AS t FROM draw WHERE j < n)),
     taken AS (SELECT session, pool, m, unnest(got) AS position FROM draw WHERE j = n),
@@ -62,8 +62,7 @@ def category_shelves(spark: SparkSession, d: str) -> DataFrame:
 )
 def session_showcase(spark: SparkSession, d: str) -> DataFrame:
     """Eight works at random for every customer, out of the brand that belongs to its nation."""
-    nation = F.col("c_nationkey")
-    brand = F.concat(F.lit("Brand#"), F.floor(nation / 5 + 1).cast("string"), (nation % 5 + 1).cast("string"))
+    brand = F.concat(F.lit("Brand#"), (F.col("c_nationkey") + 1).cast("string"))
     sessions = table(spark, d, "customer").select(F.col("c_custkey").alias("session"), brand.alias("pool"))
     works = table(spark, d, "part").select(F.col("p_brand").alias("pool"), F.col("p_partkey").alias("work_id"))
     return shelves.session_showcase(sessions, works, 8, "home").select("session", F.col("slot").cast("long").alias("slot"), "work_id")
