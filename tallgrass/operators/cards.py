@@ -54,31 +54,36 @@ def _in(folder: Column, name: Column) -> Column:
     return F.when(folder == "", name).when(folder == "/", F.concat(folder, name)).otherwise(F.concat_ws("/", folder, name))
 
 
-def _folders(works: DataFrame) -> DataFrame:
-    """work_id, level, folder: a work's folder and, where that is an inner one, the folder above."""
-    at = _plain("dir_path")
-    inner = F.regexp_like(F.lower(paths.basename(at)), F.lit(INNER))
-    both = F.when(at == "", F.array().cast("array<string>")).when(inner, F.array(at, _parent(at))).otherwise(F.array(at))
-    return works.select("work_id", F.posexplode(both).alias("level", "folder"))
-
-
 def _on_disk(works: DataFrame, files: DataFrame) -> DataFrame:
     """work_id, kind, place, path of existing files: a work's and its seasons' own references, and known names in its folders.
 
-    Folders meet files by an equi-join on the folder, where a folder holds at
-    most one row for each known name; references meet them by their path.
+    Works ask in one pass for paths (their references) and for folders (their
+    own and, of an inner one, the one above), and meet in one equi-join the
+    files by path and by folder; a folder holds at most one row for each known name.
     """
     listed = files.select(_plain("path").alias("path")).where("path <> ''").distinct()
-    named = listed.select(_parent(F.col("path")).alias("folder"), paths.basename("path").alias("name")).where(F.col("name").isin(_NAMES))
+    at, base = F.col("path"), paths.basename("path")
+    both = F.array(F.struct(at.alias("key"), F.lit("").alias("name")), F.when(base.isin(_NAMES), F.struct(_parent(at).alias("key"), base.alias("name"))))
+    held = listed.select(F.inline(F.filter(both, lambda x: x.isNotNull()))).withColumn("of_folder", F.col("name") != "")
+
+    def ask(key: Column, of_folder: bool, kind: Column, place: Column, said: Column) -> Column:
+        return F.struct(key.alias("key"), F.lit(of_folder).alias("of_folder"), kind.cast("string").alias("kind"), place.cast("int").alias("place"), said.alias("said"))
+
+    own = [
+        F.transform(F.concat(F.array(_text(k)), F.transform(_list("seasons"), lambda s: _text(s[k]))), lambda path, i: ask(_plain(path), False, F.lit(k), i, path))
+        for k in ARTWORK
+    ]
+    own = F.filter(F.concat(*own), lambda x: (x["said"] != "") & ~F.regexp_like(F.lower(x["said"]), F.lit("^https?://")))
+    folder = _plain("dir_path")
+    inner = F.regexp_like(F.lower(paths.basename(folder)), F.lit(INNER))
+    roots = F.when(folder == "", F.array().cast("array<string>")).when(inner, F.array(folder, _parent(folder))).otherwise(F.array(folder))
+    roots = F.transform(roots, lambda f, level: ask(f, True, F.lit(None), level, f))
     order = F.create_map(*[F.lit(x) for names in ARTWORK.values() for i, n in enumerate(names) for x in (n, i)])[F.col("name")]
     kind = F.create_map(*[F.lit(x) for k, names in ARTWORK.items() for n in names for x in (n, k)])[F.col("name")]
-    beside = _folders(works).join(named, "folder").select("work_id", kind.alias("kind"), (_FOLDER + F.col("level") * len(_NAMES) + order).alias("place"), _in(F.col("folder"), F.col("name")).alias("path"))
-    one = lambda k: F.struct(F.lit(k).alias("kind"), F.concat(F.array(_text(k)), F.transform(_list("seasons"), lambda s: _text(s[k]))).alias("paths"))
-    own = works.select("work_id", F.inline(F.array(*[one(k) for k in ARTWORK])))
-    own = own.select("work_id", "kind", F.posexplode("paths").alias("place", "reference"))
-    own = own.where((F.col("reference") != "") & ~F.regexp_like(F.lower("reference"), F.lit("^https?://"))).withColumn("path", _plain("reference"))
-    held = own.join(listed, "path", "left_semi").select("work_id", "kind", F.col("place").cast("int").alias("place"), F.col("reference").alias("path"))
-    return held.unionByName(beside)
+    met = works.select("work_id", F.inline(F.concat(own, roots))).join(held, ["key", "of_folder"])
+    place = F.when(F.col("of_folder"), _FOLDER + F.col("place") * len(_NAMES) + order).otherwise(F.col("place"))
+    path = F.when(F.col("of_folder"), _in(F.col("said"), F.col("name"))).otherwise(F.col("said"))
+    return met.select("work_id", F.when(F.col("of_folder"), kind).otherwise(F.col("kind")).alias("kind"), place.alias("place"), path.alias("path"))
 
 
 def with_artwork(works: DataFrame, files: DataFrame) -> DataFrame:
