@@ -116,22 +116,24 @@ def resolved_roots(requests: DataFrame, roots: DataFrame) -> DataFrame:
 
     'reuse_exact': a root is the path itself (of several the smallest id).
     'reuse_ancestor': one is above it, the nearest counts; the root '/' doesn't.
-    'promote_parent': roots are below it, n_covered of them. 'create' else. Two
-    equi-joins on paths, one of requests' ancestors and one of roots'; a request
-    for '/' is above all, a null source or path stands alone. Repeated roots
-    count once.
+    'promote_parent': roots are below it, n_covered of them. 'create' else.
+    Roots are counted for each of their ancestors, and places (source, path)
+    judged once, before requests meet them, so that no request meets all roots
+    below it; a request for '/' is above all, a null source or path stands
+    alone. Repeated roots count once.
     """
     # '/' and '//a/' are written alike on both sides: '' and '/a'.
     plain = lambda p: F.regexp_replace(F.regexp_replace(p, "/+", "/"), "/$", "")
+    place = ["source", "path"]
     asked = requests.select("request", "source", plain(F.col("path")).alias("path"))
-    known = roots.select("root", "source", plain(F.col("path")).alias("path")).distinct()
+    known = roots.select("root", "source", plain(F.col("path")).alias("path"))
     above = F.when(F.col("path") == "", F.array(F.lit(""))).otherwise(_ancestors(F.col("path")))
-    up = asked.select("request", "source", F.col("path").alias("_p"), F.explode(above).alias("path")).join(known, ["source", "path"])
-    nearest = up.groupBy("request").agg(F.max(F.length("path")).alias("_n"), F.bool_or(F.col("path") == F.col("_p")).alias("exact"))
-    best = up.join(nearest.select("request", "_n"), "request").where(F.length("path") == F.col("_n")).groupBy("request").agg(F.min("root").alias("root"))
+    up = asked.select(*place).where("source IS NOT NULL AND path IS NOT NULL").distinct().select("source", F.col("path").alias("_p"), F.explode(above).alias("path"))
+    up = up.join(known.groupBy(*place).agg(F.min("root").alias("root")), place)
+    best = up.groupBy("source", "_p").agg(F.max_by("root", F.length("path")).alias("root"), F.bool_or(F.col("path") == F.col("_p")).alias("exact")).withColumnRenamed("_p", "path")
     below = known.select("root", "source", F.col("path").alias("_r"), F.explode(F.array_prepend(_ancestors(F.col("path")), "")).alias("path")).where("path != _r")
-    covered = below.join(asked, ["source", "path"]).groupBy("request").agg(F.count_distinct("root").alias("n"))
-    rows = asked.join(nearest.select("request", "exact").join(best, "request"), "request", "left").join(covered, "request", "left")
+    covered = below.groupBy(*place).agg(F.count_distinct("root").alias("n"))
+    rows = asked.join(best, place, "left").join(covered, place, "left")
     action = F.when(F.col("exact"), "reuse_exact").when(F.col("root").isNotNull(), "reuse_ancestor").when(F.col("n") > 0, "promote_parent").otherwise("create")
     return rows.select("request", action.alias("action"), "root", F.when(action == "promote_parent", F.col("n")).otherwise(F.lit(0)).cast("long").alias("n_covered"))
 

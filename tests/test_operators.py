@@ -161,6 +161,16 @@ def test_root_resolution(spark):
     assert got == {1: ("reuse_exact", "r0", 0), 2: ("reuse_ancestor", "r2", 0), 3: ("reuse_ancestor", "r0", 0), 4: ("promote_parent", None, 2), 5: ("promote_parent", None, 5), 6: ("reuse_exact", "r5", 0), 7: new, 8: new, 9: new, 10: new}
 
 
+def test_roots_are_counted_before_requests_meet_them(spark):
+    roots = spark.range(400).selectExpr("id AS root", "'s' AS source", "CASE WHEN id % 2 = 0 THEN '/' ELSE concat('/a/b', id % 50) END AS path")
+    asked = spark.createDataFrame([(1, "s", "/a"), (2, "s", "/a/b7"), (3, "s", "/"), (3, "s", "/q"), (4, "s", "/a/b7/c"), (5, "s", "/a//")], "request int, source string, path string")
+    df = catalog.resolved_roots(asked, roots)
+    got = sorted(((r.request, r.action, r.root, r.n_covered) for r in df.collect()), key=str)
+    new = (3, "create", None, 0)
+    assert got == [(1, "promote_parent", None, 200), (2, "reuse_exact", 7, 0), new, (3, "reuse_exact", 0, 0), (4, "reuse_ancestor", 7, 0), (5, "promote_parent", None, 200)]
+    assert "Aggregate [request" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_diff_of_one_stem_and_no_sizes(spark):
     """Hundreds of files without sizes: names that all share, names alike and names of one letter meet as the pairwise rule says."""
     row = "path string, file_id string, size bigint, mtime double, source string, content string, kind string"
