@@ -171,6 +171,23 @@ def test_roots_are_counted_before_requests_meet_them(spark):
     assert "Aggregate [request" not in df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_related_works_in_packs_and_slices(spark, monkeypatch):
+    """Any pack and slice gives every pair once; pairs are not grouped again."""
+    for name, value in (("PACK", 3), ("SLICE", 7), ("SLICES", 4)):
+        monkeypatch.setattr(library, name, value)
+    r = random.Random(5)
+    rows = [(w, [(k, n) for k in (0, 1, 2) for n in r.sample(["a", "b", "", None, f"n{w % 9}"], 2)]) for w in range(60)] + [(3, [(1, "a")]), (61, []), (62, None), (None, [(0, "a")])]
+    df = library.related(spark.createDataFrame(rows, "work_id int, keys array<struct<rank int, name string>>"), "keys")
+    sets = {}
+    for w, keys in rows:
+        if w is not None:
+            sets.setdefault(w, set()).update(k for k in keys or [] if k[1])
+    both = {(a, b): sets[a] & sets[b] for a in sets for b in sets if a != b}
+    assert sorted(map(tuple, df.collect())) == sorted((a, b, min(k)[0], len(k)) for (a, b), k in both.items() if k)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")
+
+
 def test_diff_of_one_stem_and_no_sizes(spark):
     """Hundreds of files without sizes: names that all share, names alike and names of one letter meet as the pairwise rule says."""
     row = "path string, file_id string, size bigint, mtime double, source string, content string, kind string"
