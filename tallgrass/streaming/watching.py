@@ -26,8 +26,7 @@ import math
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -39,6 +38,9 @@ LIVE = timedelta(minutes=30)
 KEY = ["work_id", "episode_id"]
 STATE = "position double, duration double, ratio double, completed boolean, synced boolean, unwatched boolean, updated_at timestamp"
 RESULT = f"work_id string, episode_id string, {STATE}, live boolean"
+#: The stream keeps times as microseconds, which don't hang on a worker's time zone.
+_KEPT = STATE.replace("timestamp", "long")
+_FOLDED = Row(*KEY, *(c.split()[0] for c in STATE.split(", ")), "live")
 ACTIONS = ["play", "watch", "unwatch", "import"]
 
 
@@ -48,8 +50,8 @@ def _actions(rows: DataFrame) -> DataFrame:
     return rows.where(known).select(*(F.col(c).cast("string").alias(c) for c in KEY), F.col("at").cast("timestamp").alias("at"), F.col("seq").cast("long").alias("seq"), "action", number("position"), number("duration"))
 
 
-def folded(state: tuple | None, action: str, position: float, duration: float, at: datetime) -> tuple:
-    """The state (as STATE has it, or None) after one action."""
+def folded(state: tuple | None, action: str, position: float, duration: float, at: datetime | int) -> tuple:
+    """The state (as STATE has it, or None) after one action; its time is `at` as given."""
     p, d, ratio, completed, synced, unwatched, since = state or (0.0, 0.0, 0.0, False, False, False, None)
     if action == "play":
         share = max(0.0, min(1.0, position / duration)) if duration > 0 else 0.0
@@ -68,58 +70,55 @@ def folded(state: tuple | None, action: str, position: float, duration: float, a
 
 
 class Watching(StatefulProcessor):
-    """Keeps an episode's state, and a timer that ends its session LIVE after the last play, by event time."""
+    """Keeps an episode's state, and a timer that ends its session LIVE after the last play, by event time.
+
+    All of it is one value, read and written once for each episode of a batch:
+    the state, `until` (the session's end) and `timer` (the one registered, at
+    `until` or before it; one that comes too early is set anew). Times are
+    microseconds, those of timers milliseconds.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", STATE)
-        self.until = handle.getValueState("until", "at long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = self.state.get() if self.state.exists() else None
-        state = None if state is None else tuple(state)
-        until = self.until.get()[0] if self.until.exists() else None
-        old = until
-        actions = pd.concat(rows, ignore_index=True).sort_values(["at", "seq"], kind="stable")
-        for action, position, duration, at in zip(actions["action"], actions["position"], actions["duration"], actions["at"], strict=True):
-            at = pd.Timestamp(at).to_pydatetime()
-            state = folded(state, action, position, duration, at)
-            if action == "play":
-                until = _millis(at + LIVE)
-        self.state.update(state)
-        ended = until is not None and until <= timerValues.getCurrentWatermarkInMs()
-        if until != old or ended:
-            if old is not None:
-                self.handle.deleteTimer(old)
-            if ended:
-                self.until.clear()
-                until = None
-            else:
-                self.handle.registerTimer(until)
-                self.until.update((until,))
-        yield _row(key, state, until is not None)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.until.clear()
-        yield _row(key, tuple(self.state.get()), False)
+        self.kept = handle.getValueState("kept", f"{_KEPT}, until long, timer long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        kept = self.kept.get()
+        state, until, timer = (None, None, None) if kept is None else (tuple(kept[:-2]), kept[-2], kept[-1])
+        for r in sorted(rows, key=lambda r: (r.micros, r.seq is None, r.seq or 0)):
+            state = folded(state, r.action, r.position, r.duration, r.micros)
+            if r.action == "play":
+                until = (r.micros + LIVE // timedelta(microseconds=1)) // 1000
+        if until is not None and until <= timerValues.getCurrentWatermarkInMs():
+            until = None
+        if timer is not None and (until is None or until < timer):
+            self.handle.deleteTimer(timer)
+            timer = None
+        if until is not None and timer is None:
+            self.handle.registerTimer(until)
+            timer = until
+        self.kept.update((*state, until, timer))
+        yield _FOLDED(*key, *state, until is not None)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        kept = self.kept.get()
+        state, until = tuple(kept[:-2]), kept[-2]
+        if until > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(until)
+            self.kept.update((*state, until, until))
+            return
+        self.kept.update((*state, None, None))
+        yield _FOLDED(*key, *state, False)
 
     def close(self) -> None:
         pass
 
 
-def _millis(at: datetime) -> int:
-    return int(pd.Timestamp(at).value // 1_000_000)
-
-
-def _row(key, state: tuple, live: bool) -> pd.DataFrame:
-    names = [*KEY, *(c.split()[0] for c in STATE.split(", ")), "live"]
-    return pd.DataFrame([[*key, *state, live]], columns=names)
-
-
 def streamed(actions: DataFrame, late: str = "1 hour") -> DataFrame:
     """RESULT of each episode that a micro-batch has actions of, and once more when its session ends. Output mode 'update'; the state store must be RocksDB. Rows later than `late` behind the newest are dropped."""
-    rows = _actions(actions).withWatermark("at", late)
-    return rows.groupBy(*KEY).transformWithStateInPandas(statefulProcessor=Watching(), outputStructType=RESULT, outputMode="Update", timeMode="EventTime")
+    rows = _actions(actions).withColumn("micros", F.unix_micros("at")).withWatermark("at", late)
+    out = rows.groupBy(*KEY).transformWithState(statefulProcessor=Watching(), outputStructType=f"work_id string, episode_id string, {_KEPT}, live boolean", outputMode="Update", timeMode="EventTime")
+    return out.withColumn("updated_at", F.timestamp_micros("updated_at"))
 
 
 def latest(actions: DataFrame, now: Column | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 
 from tallgrass.streaming import watching
 
@@ -77,6 +78,53 @@ def test_stream_over_three_batches_and_a_restart(spark, tmp_path):
     assert table == seen
 
 
+class _Handle:
+    """Counts what the processor asks of the state store."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def registerTimer(self, at):
+        self.calls.append("register")
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls.append("delete")
+        self.timers.remove(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+def test_one_read_and_one_write_an_episode(spark):
+    """A play after a play asks for the value once and writes it once; its timer is set anew when the old one comes."""
+    h, w, row, minute = _Handle(), watching.Watching(), Row("micros", "seq", "action", "position", "duration"), 60_000_000
+    w.init(h)
+    h.now = 0
+    play = lambda at: [tuple(r) for r in w.handleInputRows(("w", "e"), iter([row(at * minute, 1, "play", 10.0, 100.0)]), h)]
+    assert play(0)[0][-1] and h.calls == ["get", "register", "update"] and h.timers == {30 * 60_000}
+    h.calls.clear()
+    assert play(20)[0][-1] and h.calls == ["get", "update"]
+    h.now, h.timers = 40 * 60_000, set()
+    assert list(w.handleExpiredTimer(("w", "e"), h, None)) == [] and h.timers == {50 * 60_000}
+    play(5)  # late: its session is over
+    assert h.timers == set()
+    play(30)
+    h.now, h.timers = 60 * 60_000, set()
+    assert [tuple(r)[-1] for r in w.handleExpiredTimer(("w", "e"), h, None)] == [False] and h.timers == set()
+
+
 def test_sessions_over_states(spark):
     states = watching.latest(spark.createDataFrame([("w", "a", START, 1, "watch", None, None), ("w", "b", START, 1, "play", 1.0, 4.0)], ROW))
     row = "work_id string, episode_id string, position double, duration double, status string, started_at timestamp"
