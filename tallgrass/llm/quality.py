@@ -26,11 +26,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, smallest, split_words, stored
+from .common import let, split_words, stored
 
 BUCKETS = 1 << 16
-#: Trusted documents that fit the target multinomial, at most: a bounded, broadcast set of ids.
-TRUSTED = 20_000
 #: Of so many trusted documents one is held out of the target; the threshold is this quantile of the scores of those held out.
 HELD_OUT, QUANTILE = 5, 0.02
 #: Weight of the raw multinomial in the smoothed target, that of trusted text being 1.
@@ -40,10 +38,9 @@ LEAST = 50
 _SYMBOLS = r"[#*$%&|<>]"
 
 
-def trusted_ids(labels: DataFrame, bound: int = TRUSTED) -> DataFrame:
-    """doc_id of at most `bound` rows labelled of good quality and not toxic, those of the smallest hashes."""
-    good = labels.where("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return smallest(good, F.xxhash64("doc_id"), bound, "doc_id")
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """doc_id of all rows labelled of good quality and not toxic, each once."""
+    return labels.where("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
 
 
 def windows_of_three(hashes: Column) -> Column:
@@ -97,9 +94,9 @@ def _bucket(h: Column, buckets: int) -> Column:
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
     """One row, one column: the array of log(p_target / p_raw) by bucket.
 
-    trusted: distinct doc_ids, bounded as by trusted_ids. All documents count as raw.
+    trusted: distinct doc_ids, of any number: Spark broadcasts them while they are small. All documents count as raw.
     """
-    marked = docs.select("doc_id", "text").join(F.broadcast(trusted.withColumn("trusted", F.lit(1))), "doc_id", "left")
+    marked = docs.select("doc_id", "text").join(trusted.withColumn("trusted", F.lit(1)), "doc_id", "left")
     hashes = marked.select("trusted", word_hashes(F.col("text")).alias("h"))
     each = hashes.select("trusted", F.explode(F.concat("h", bigrams(F.col("h"), lambda x: x))).alias("h"))
     each = each.select("trusted", _bucket(F.col("h"), buckets).alias("bucket"))
@@ -126,7 +123,7 @@ def _scored(docs: DataFrame, ratios: DataFrame, buckets: int) -> tuple[DataFrame
 
 def held_out_threshold(docs: DataFrame, held_out: DataFrame, ratios: DataFrame, buckets: int = BUCKETS, quantile: float = QUANTILE) -> DataFrame:
     """One row, one column: the quantile of the scores of the documents held out that have LEAST words; minus infinity if there are none."""
-    rows, n_words, score = _scored(docs.select("doc_id", "text").join(F.broadcast(held_out), "doc_id"), ratios, buckets)
+    rows, n_words, score = _scored(docs.select("doc_id", "text").join(held_out, "doc_id"), ratios, buckets)
     rows = rows.select(F.when(n_words >= LEAST, score).alias("score"))
     return rows.agg(F.coalesce(F.percentile("score", quantile), F.lit(float("-inf"))).alias("threshold"))
 

@@ -191,6 +191,11 @@ def test_quality_verdict_on_labels_left_out(spark, sf, most):
     assert rejected(known - good) >= max(0.2, 2 * rejected(good - used))
 
 
+def test_every_good_label_is_trusted(spark):
+    labels = spark.range(30_000).selectExpr("id DIV 2 * 2 AS doc_id", "1 AS quality", "0 AS toxic").unionByName(spark.range(200_000, 250_000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality", "0 AS toxic"))
+    assert quality.trusted_ids(labels).count() == 15_000 + 25_000
+
+
 def test_quality_without_labels(spark, docs):
     rows = [r.quality for r in quality.judged(docs, docs.select("doc_id").limit(0)).collect()]
     assert all(q.kept != q.base_failed for q in rows) and {q.score for q in rows} == {0.0, None}
