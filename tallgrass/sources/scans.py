@@ -94,7 +94,11 @@ def side_file(xml: Column) -> Column:
 
 
 def xml_files(files: DataFrame) -> DataFrame:
-    """file and fields of side files (file, content); documents that aren't well-formed keep only their name."""
+    """file and fields of side files (file, content); documents that aren't well-formed keep only their name.
+
+    Many small files come in few splits, though each is parsed once a field; they are dealt out first.
+    """
+    files = files.select("file", "content").repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ok = F.col("x").rlike(r"^\s*<") & well_formed(F.col("x"))
     rows = files.select("file", F.decode("content", "UTF-8").alias("x")).withColumn("x", F.when(ok, F.col("x")))
     return rows.select("file", side_file(F.col("x")).alias("f")).select("file", "f.*")

@@ -171,6 +171,12 @@ def test_roots_are_counted_before_requests_meet_them(spark):
     assert "Aggregate [request" not in df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_side_files_are_dealt_out(spark):
+    files = spark.range(80).coalesce(1).selectExpr("CAST(id AS STRING) AS file", "encode(concat('<movie><title>t', id, '</title></movie>'), 'UTF-8') AS content")
+    parts = scans.xml_files(files).withColumn("part", F.spark_partition_id()).collect()
+    assert sorted(r.title for r in parts) == sorted(f"t{i}" for i in range(80)) and len({r.part for r in parts}) == 4
+
+
 def test_related_works_in_packs_and_slices(spark, monkeypatch):
     """Any pack and slice gives every pair once; pairs are not grouped again."""
     for name, value in (("PACK", 3), ("SLICE", 7), ("SLICES", 4)):
