@@ -17,7 +17,7 @@ def segments(path) -> Column:
 
 def basename(path) -> Column:
     """What follows the last slash."""
-    return F.regexp_extract(_c(path), r"([^/]*)$", 1)
+    return F.substring_index(_c(path), "/", -1)
 
 
 def stem(name) -> Column:

@@ -27,6 +27,7 @@ ARTWORK = {
 INNER = r"^(season .*|sps|sp|special|specials|op-ed|op_ed|s\d+)$"
 
 _NAMES = [name for names in ARTWORK.values() for name in names]
+_ENDS = ["\n", "\r\n", "\r", "\u0085", "\u2028", "\u2029"]  # line ends, before which a pattern's $ matches, too
 _FOLDER = 1_000_000  # places of files in folders come after all of the work and its seasons
 
 
@@ -40,13 +41,15 @@ def _list(name: str) -> Column:
 
 
 def _plain(path) -> Column:
-    """A path without doubled or last slashes."""
+    """A path without doubled or last slashes; only those that have some are rewritten."""
     short = F.regexp_replace(F.regexp_replace(_text(path), "/+", "/"), "/$", "")
-    return F.when((short == "") & F.startswith(_text(path), F.lit("/")), "/").otherwise(short)
+    short = F.when((short == "") & F.startswith(_text(path), F.lit("/")), "/").otherwise(short)
+    odd = F.contains(_text(path), F.lit("//")) | paths.basename(_text(path)).isin("", *_ENDS)
+    return F.when(odd, short).otherwise(_text(path))
 
 
 def _parent(path: Column) -> Column:
-    above = F.regexp_replace(path, "/?[^/]*$", "")
+    above = F.substring(path, F.lit(1), F.length(path) - F.length(paths.basename(path)) - 1)
     return F.when((above == "") & F.startswith(path, F.lit("/")), "/").otherwise(above)
 
 
@@ -55,35 +58,45 @@ def _in(folder: Column, name: Column) -> Column:
 
 
 def _on_disk(works: DataFrame, files: DataFrame) -> DataFrame:
-    """work_id, kind, place, path of existing files: a work's and its seasons' own references, and known names in its folders.
+    """work_id, kind, place, path of existing files: a work's and its seasons' own references, and the first known name of each kind in its folders.
 
-    Works ask in one pass for paths (their references) and for folders (their
-    own and, of an inner one, the one above), and meet in one equi-join the
-    files by path and by folder; a folder holds at most one row for each known name.
+    Works ask for paths (their references) and for folders (their own and, of an
+    inner one, the one above) and meet, in one equi-join, one row of each key: a
+    number whose lowest bit says that the key is a file, and the next ones which
+    of the known names lie in it as a folder. Paths are rewritten in columns, not in
+    lambdas, which Spark would run uncompiled.
     """
-    listed = files.select(_plain("path").alias("path")).where("path <> ''").distinct()
     at, base = F.col("path"), paths.basename("path")
-    both = F.array(F.struct(at.alias("key"), F.lit("").alias("name")), F.when(base.isin(_NAMES), F.struct(_parent(at).alias("key"), base.alias("name"))))
-    held = listed.select(F.inline(F.filter(both, lambda x: x.isNotNull()))).withColumn("of_folder", F.col("name") != "")
-
-    def ask(key: Column, of_folder: bool, kind: Column, place: Column, said: Column) -> Column:
-        return F.struct(key.alias("key"), F.lit(of_folder).alias("of_folder"), kind.cast("string").alias("kind"), place.cast("int").alias("place"), said.alias("said"))
-
-    own = [
-        F.transform(F.concat(F.array(_text(k)), F.transform(_list("seasons"), lambda s: _text(s[k]))), lambda path, i: ask(_plain(path), False, F.lit(k), i, path))
-        for k in ARTWORK
-    ]
-    own = F.filter(F.concat(*own), lambda x: (x["said"] != "") & ~F.regexp_like(F.lower(x["said"]), F.lit("^https?://")))
-    folder = _plain("dir_path")
-    inner = F.regexp_like(F.lower(paths.basename(folder)), F.lit(INNER))
-    roots = F.when(folder == "", F.array().cast("array<string>")).when(inner, F.array(folder, _parent(folder))).otherwise(F.array(folder))
-    roots = F.transform(roots, lambda f, level: ask(f, True, F.lit(None), level, f))
-    order = F.create_map(*[F.lit(x) for names in ARTWORK.values() for i, n in enumerate(names) for x in (n, i)])[F.col("name")]
-    kind = F.create_map(*[F.lit(x) for k, names in ARTWORK.items() for n in names for x in (n, k)])[F.col("name")]
-    met = works.select("work_id", F.inline(F.concat(own, roots))).join(held, ["key", "of_folder"])
-    place = F.when(F.col("of_folder"), _FOLDER + F.col("place") * len(_NAMES) + order).otherwise(F.col("place"))
-    path = F.when(F.col("of_folder"), _in(F.col("said"), F.col("name"))).otherwise(F.col("said"))
-    return met.select("work_id", F.when(F.col("of_folder"), kind).otherwise(F.col("kind")).alias("kind"), place.alias("place"), path.alias("path"))
+    listed = files.select(_plain("path").alias("path")).where("path <> ''").withColumn("base", base)
+    bit = F.element_at(F.create_map(*[F.lit(x) for i, n in enumerate(_NAMES, 1) for x in (n, 1 << i)]), F.col("base"))
+    both = F.when(F.col("base").isin(_NAMES), F.array(F.struct(at.alias("key"), F.lit(1).alias("bits")), F.struct(_parent(at).alias("key"), bit.alias("bits"))))
+    held = listed.select(F.inline(F.coalesce(both, F.array(F.struct(at.alias("key"), F.lit(1).alias("bits")))))).groupBy("key").agg(F.bit_or("bits").alias("bits"))
+
+    said = F.concat(F.array(F.struct(*ARTWORK)), F.transform(F.coalesce("seasons", F.array()), lambda s: F.struct(*(s[k].alias(k) for k in ARTWORK))))
+    rows = works.select("work_id", "dir_path", F.posexplode(said).alias("place", "_of"))
+    one = lambda kind, path: F.struct(F.lit(kind).cast("string").alias("kind"), path.alias("said"))
+    own = [one(k, F.col(f"_of.{k}")) for k in ARTWORK]
+    asked = rows.select("work_id", "place", F.inline(F.array(*own, one(None, F.when(F.col("place") == 0, F.col("dir_path"))))))
+    asked = asked.where((_text("said") != "") & (F.col("kind").isNull() | ~F.regexp_like("said", F.lit("(?i)^https?://"))))
+    asked = asked.withColumn("key", _plain("said"))
+    inner = F.col("kind").isNull() & F.regexp_like(F.lower(paths.basename("key")), F.lit(INNER))
+    level = lambda n, key: F.struct((F.col("place") + n).alias("place"), F.coalesce(F.when(F.col("kind").isNull(), key), F.col("said")).alias("said"), key.alias("key"))
+    asked = asked.select("work_id", "kind", F.inline(F.when(inner, F.array(level(0, F.col("key")), level(1, _parent(F.col("key"))))).otherwise(F.array(level(0, F.col("key"))))))
+    met = asked.join(held, "key").where(F.col("kind").isNull() | (F.col("bits") % 2 == 1))
+
+    def first(k: str) -> Column:
+        """Path of a kind's first known name in a folder; null where it has none."""
+        name = F.lit(None).cast("string")
+        for n in reversed(ARTWORK[k]):
+            name = F.when(F.col("bits").bitwiseAND(1 << 1 + _NAMES.index(n)) != 0, n).otherwise(name)
+        return F.when(name.isNotNull(), _in(F.col("said"), name))
+
+    def known(k: str) -> Column:
+        return F.struct(F.lit(k).alias("kind"), (F.col("place") + _FOLDER).alias("place"), first(k).alias("path"))
+
+    of_folder = F.array(*map(known, ARTWORK))
+    each = met.select("work_id", F.inline(F.when(F.col("kind").isNull(), of_folder).otherwise(F.array(F.struct("kind", "place", F.col("said").alias("path"))))))
+    return each.where("path IS NOT NULL")
 
 
 def with_artwork(works: DataFrame, files: DataFrame) -> DataFrame:
@@ -98,7 +111,7 @@ def with_artwork(works: DataFrame, files: DataFrame) -> DataFrame:
     found = _on_disk(works, files).groupBy("work_id")
     found = found.agg(*[best(k, F.lit(True)).alias(f"local_{k}") for k in ARTWORK], *[best(k, F.col("place") >= _FOLDER).alias(f"_in_{k}") for k in ARTWORK])
     joined = works.join(found, "work_id", "left")
-    said = lambda k: F.coalesce(F.nullif(_text(k), F.lit("")), F.get(F.filter(F.transform(_list("seasons"), lambda s: _text(s[k])), lambda p: p != ""), F.lit(0)), F.col(f"_in_{k}"), F.lit(""))
+    said = lambda k: F.coalesce(F.nullif(_text(k), F.lit("")), F.get(F.filter("seasons", lambda s: _text(s[k]) != ""), F.lit(0))[k], F.col(f"_in_{k}"), F.lit(""))
     return joined.withColumns({k: said(k) for k in ARTWORK} | {f"local_{k}": _text(f"local_{k}") for k in ARTWORK}).drop(*[f"_in_{k}" for k in ARTWORK])
 
 

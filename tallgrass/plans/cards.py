@@ -40,7 +40,7 @@ def _works(spark: SparkSession, d: str) -> DataFrame:
         _pick(_TYPES, line % 3).alias("group_type"),
         F.when(F.col("l_quantity") >= 10, F.col("l_quantity").cast("int")).alias("episode_number"),
     )
-    lines = table(spark, d, "lineitem").groupBy(key.alias("work_id")).agg(F.array_sort(F.collect_list(F.struct(line.alias("n"), "l_suppkey", "l_partkey", "l_quantity", season.alias("s"), episode.alias("e")))).alias("_l"))
+    lines = table(spark, d, "lineitem").groupBy(key.alias("work_id")).agg(F.sort_array(F.collect_list(F.struct(line.alias("n"), "l_suppkey", "l_partkey", "l_quantity", season.alias("s"), episode.alias("e")))).alias("_l"))
     work, status = F.col("o_orderkey"), F.col("o_custkey")
     orders = table(spark, d, "orders").select(
         work.alias("work_id"),

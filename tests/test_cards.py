@@ -54,6 +54,19 @@ def test_other_artwork_and_empty_tables(spark):
     assert cards.summaries(works, _files(spark, "/w").limit(0)).count() == 2
 
 
+def test_paths_are_rewritten_in_columns(spark, capsys):
+    """Patterns inside lambdas run uncompiled, again for each mention of the path."""
+    cards.with_artwork(_work(spark, _row(1, "/w//")), _files(spark, "/w/poster.jpg")).explain()
+    lambdas = [line for line in capsys.readouterr().out.splitlines() if "lambdafunction" in line]
+    assert lambdas and not any("regexp" in line or "RLIKE" in line for line in lambdas)
+
+
+@pytest.mark.parametrize("path, poster", [("/w\n", "/w\n/poster.jpg"), ("//w//\n", "/w\n/poster.jpg"), ("/\n", "\n/poster.jpg")])
+def test_line_ends_in_folders(spark, path, poster):
+    works, files = _work(spark, _row(1, path)), _files(spark, "/w\n/poster.jpg", "/w/poster.jpg", "\n/poster.jpg")
+    assert cards.with_artwork(works, files).first().poster_path == poster
+
+
 def test_counts_sources_and_locations(spark):
     episodes = [("local", "e2", "/B", "season", 7), ("local", "e2", "/a", "season", None), ("", "e1", "/x", "op_ed", 99), ("zoo", "e9", "/z", "special", 3), ("baidu", None, "/y", "season", 2), None]
     works = _work(
