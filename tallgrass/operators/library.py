@@ -32,7 +32,7 @@ def source_rank(source) -> Column:
 def ordered_sources(sources) -> Column:
     """Distinct non-empty sources by preference, then by name."""
     some = F.array_distinct(F.filter(F.coalesce(_c(sources), F.array().cast("array<string>")), lambda s: s != ""))
-    return F.transform(F.array_sort(F.transform(some, lambda s: F.struct(source_rank(s).alias("r"), s.alias("s")))), lambda x: x["s"])
+    return F.transform(F.sort_array(F.transform(some, lambda s: F.struct(source_rank(s).alias("r"), s.alias("s")))), lambda x: x["s"])
 
 
 def of_source(source, sources, wanted: str) -> Column:

@@ -16,6 +16,8 @@ ones. Only the choice among works of equal (source, work_id) goes by `position`.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,16 +100,22 @@ def _parts() -> Column:
         F.transform(F.map_entries("source_locations"), lambda x: F.struct(x["key"].alias("s"), place(x["value"]).alias("p"))),
         F.transform("episodes", lambda e: F.struct(e["source"].alias("s"), place(e).alias("p"))),
     )
-    seen = F.transform("episodes", at)
-    every = ordered_sources(F.concat(named, F.transform(places, lambda x: F.when(x["p"].isNotNull(), x["s"])), F.map_keys("source_episode_counts"), seen))
+    held = F.struct(named.alias("named"), places.alias("places"), F.transform("episodes", at).alias("seen"))
+
+    def parts(held: Column) -> Column:
+        named, places, seen = held["named"], held["places"], held["seen"]
+        every = ordered_sources(F.concat(named, F.transform(places, lambda x: F.when(x["p"].isNotNull(), x["s"])), F.map_keys("source_episode_counts"), seen))
+
+        def part(s: Column) -> Column:
+            counted, visible = F.element_at("source_episode_counts", s), F.size(F.filter(seen, lambda x: x == s))
+            n = F.when(F.map_contains_key("source_episode_counts", s) | (visible > 0), F.greatest(F.lit(0), F.coalesce(counted, F.lit(0)), visible))
+            own = F.array_min(F.transform(F.filter(places, lambda x: (x["s"] == s) & x["p"].isNotNull()), lambda x: x["p"]))
+            return F.struct(source_rank(s).alias("r"), s.alias("source"), F.array_contains(F.filter(named, lambda x: x.isNotNull()), s).alias("named"), own.alias("place"), n.alias("n"))
 
-    def part(s: Column) -> Column:
-        counted, visible = F.element_at("source_episode_counts", s), F.size(F.filter(seen, lambda x: x == s))
-        n = F.when(F.map_contains_key("source_episode_counts", s) | (visible > 0), F.greatest(F.lit(0), F.coalesce(counted, F.lit(0)), visible))
-        own = F.array_min(F.transform(F.filter(places, lambda x: (x["s"] == s) & x["p"].isNotNull()), lambda x: x["p"]))
-        return F.struct(source_rank(s).alias("r"), s.alias("source"), F.array_contains(F.filter(named, lambda x: x.isNotNull()), s).alias("named"), own.alias("place"), n.alias("n"))
+        return F.transform(F.filter(every, lambda s: s.isNotNull()), part)
 
-    return F.transform(F.filter(every, lambda s: s.isNotNull()), part)
+    # A work's lists are built once and not anew for each of its sources.
+    return F.transform(F.array(held), parts)[0]
 
 
 def _of_parts(parts: str) -> dict[str, Column]:
@@ -134,7 +142,7 @@ def _other_group(x: Column) -> Column:
     return ~F.coalesce(x["group_type"].isin("season", "special"), F.lit(False))
 
 
-def deduplicated(works: DataFrame, position: Column) -> DataFrame:
+def deduplicated(works: DataFrame, position: Column, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """kind ('seasonal', 'mirror-series' or 'directory') and WORK's columns, one row of each key.
 
     Seasonal works and parts of mirrored series are merged. Of works of equal
@@ -143,7 +151,8 @@ def deduplicated(works: DataFrame, position: Column) -> DataFrame:
     last played one of those that it took over from tells. A mirrored series
     takes work_id, texts and rating from its first part with a numbered season.
     Sources, places and counts of every work are told anew from what it holds.
-    An empty table gives an empty one.
+    An empty table gives an empty one. The works with their keys and parts are
+    read several times; `cut` can end their lineage there, so that they are made once.
     """
     rows = _read(works, position.alias("_at")).withColumn("key", identity())
     rows = rows.withColumn("kind", F.substring_index("key", "\x1f", 1))
@@ -154,15 +163,17 @@ def deduplicated(works: DataFrame, position: Column) -> DataFrame:
     rows = rows.withColumns({"_of": F.count("*").over(group), "_most": F.max("_size").over(group.orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))})
     took = F.when(F.col("_size") == F.col("_most"), F.col("_at"))
     rows = rows.withColumns({"_last": F.max(took).over(group), "_played": F.max_by("last_played", F.when(F.col("last_played") != "", took)).over(group)})
+    rows = rows.withColumn("parts", _parts())
+    rows = cut(rows) if cut else rows
     merges = (F.col("kind") != "directory") & (F.col("_of") > 1)
     alone = rows.where(~merges & ((F.col("kind") != "directory") | (F.col("_at") == F.col("_last"))))
-    alone = alone.withColumns({"parts": _parts(), "last_played": F.when(F.col("kind") == "directory", F.coalesce("_played", F.lit(""))).otherwise(F.col("last_played"))})
+    alone = alone.withColumns({"last_played": F.when(F.col("kind") == "directory", F.coalesce("_played", F.lit(""))).otherwise(F.col("last_played"))})
     columns = ["kind", *WORK]
     return alone.withColumns(_of_parts("parts")).select(*columns).unionByName(_merged(rows.where(merges)).select(*columns))
 
 
 def _merged(rows: DataFrame) -> DataFrame:
-    """One work of each key of rows (kind, key, _at, WORK), every step an aggregate that tasks begin before the shuffle."""
+    """One work of each key of rows (kind, key, parts, _at, WORK), every step an aggregate that tasks begin before the shuffle."""
     numbered = F.exists("seasons", lambda s: (s["group_type"] == "season") & (s["season_number"] > 0))
     rows = rows.withColumn("order", F.struct(source_rank("source").alias("r"), "work_id", "_at"))
     rows = rows.withColumn("lead", F.when(F.col("kind") == "seasonal", F.col("order")).otherwise(F.struct(F.when(numbered, 0).otherwise(1).alias("r"), "work_id", "_at")))
@@ -179,21 +190,21 @@ def _merged(rows: DataFrame) -> DataFrame:
         F.max("last_played").alias("last_played"),
         F.element_at(F.array(*map(F.lit, STATES)), F.min(rank) + 1).alias("metadata_state"),
     )
-    parts = rows.select("key", F.explode(_parts()).alias("p")).groupBy("key", "p.r", "p.source").agg(F.bool_or("p.named").alias("named"), F.min("p.place").alias("place"), F.max("p.n").alias("n"))
-    parts = parts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("r", "source", "named", "place", "n"))).alias("parts"))
+    parts = rows.select("key", F.explode("parts").alias("p")).groupBy("key", "p.r", "p.source").agg(F.bool_or("p.named").alias("named"), F.min("p.place").alias("place"), F.max("p.n").alias("n"))
+    parts = parts.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("r", "source", "named", "place", "n"))).alias("parts"))
 
     e = rows.select("key", "order", F.explode("episodes").alias("e"))
     loose = F.when(F.coalesce("e.episode_number", F.lit(0)) <= 0, F.struct("e.kind", "e.title", "e.episode_id"))
     chosen = F.struct(source_rank("e.source").alias("r"), F.coalesce("e.episode_id", F.lit("")).alias("id"), "order")
     e = e.groupBy("key", "e.group_type", "e.season_number", "e.episode_number", loose.alias("loose")).agg(F.min_by("e", chosen).alias("e"))
     place = F.struct(_other_group(F.col("e")).alias("g"), F.col("e.season_number").alias("s"), F.col("e.episode_number").alias("n"), F.col("e.title").alias("t"), F.col("e.episode_id").alias("i"), F.col("e"))
-    e = e.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["e"]).alias("episodes"))
+    e = e.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(place)), lambda x: x["e"]).alias("episodes"))
 
     s = rows.select("key", "order", F.posexplode("seasons").alias("i", "s"))
     fuller = F.struct(~F.coalesce("s.scraped", F.lit(False)), ~_some(F.col("s.tmdb_id")), -F.coalesce("s.episode_count", F.lit(0)), "order", "i")
     s = s.groupBy("key", "s.group_type", "s.season_number").agg(F.min_by(F.struct("order", "i", "s"), fuller).alias("x"), F.min(F.struct("order", "i")).alias("seen"))
     place = F.struct(_other_group(F.col("x.s")).alias("g"), F.col("x.s.season_number").alias("n"), F.col("seen"), F.col("x.s").alias("s"))
-    s = s.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["s"]).alias("seasons"))
+    s = s.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(place)), lambda x: x["s"]).alias("seasons"))
 
     whole = heads.join(parts, "key", "left").join(e, "key", "left").join(s, "key", "left")
     empty = lambda c: F.coalesce(c, F.array().cast(WORK[c])).alias(c)

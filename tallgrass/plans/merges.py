@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallgrass.operators import merge
-from tallgrass.session import table
+from tallgrass.session import stored, table
 
 from .base import query
 
@@ -53,13 +53,13 @@ def _works(spark: SparkSession, d: str) -> DataFrame:
     for t in ("orders", "lineitem"):
         table(spark, d, t).createOrReplaceTempView(f"{t}_as_works")
     works, lines = (spark.sql(q.replace("FROM orders", "FROM orders_as_works").replace("FROM lineitem", "FROM lineitem_as_works")) for q in (_ONE, _LINES))
-    lines = lines.distinct()
+    lines = lines.repartition("pos").distinct()  # one shuffle for all that groups or joins them by work
     fields = ("episode_id", "group_type", "season_number", "episode_number", F.lit("video").alias("kind"), "title", "source", "strm_path")
-    episodes = lines.groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("i", F.struct(*fields).alias("e")))).alias("e"))
+    episodes = lines.groupBy("pos").agg(F.sort_array(F.collect_list(F.struct("i", F.struct(*fields).alias("e")))).alias("e"))
     n = lines.groupBy("pos", "group_type", "season_number").agg(F.count("*").cast("int").alias("n"), F.min("i").alias("i"))
     tmdb = F.when((F.col("pos") % 6 < 3) & (F.col("group_type") == "season"), F.lit("?"))
     one = F.struct("group_type", "season_number", F.concat(F.lit("s"), "pos").alias("title"), (F.col("pos") % 2 == 0).alias("scraped"), tmdb.alias("tmdb_id"), F.lit("").alias("tmdb_type"), F.col("n").alias("episode_count"))
-    seasons = n.groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("i", one.alias("s")))).alias("s"))
+    seasons = n.groupBy("pos").agg(F.sort_array(F.collect_list(F.struct("i", one.alias("s")))).alias("s"))
     whole = works.join(episodes, "pos", "left").join(seasons, "pos", "left")
     counts = F.when(F.col("pos") % 7 == 0, F.create_map(F.lit("baidu"), (F.col("pos") % 10).cast("int")))
     named = F.transform("s", lambda x: x["s"].withField("tmdb_id", F.when(x["s"]["tmdb_id"].isNotNull(), F.col("series").cast("string"))))
@@ -73,7 +73,7 @@ def _listed(entries: str, value) -> Column:
 @query(_HEADS)
 def merge_works(spark: SparkSession, d: str) -> DataFrame:
     """Fields, sources, places and counts of works merged by series, of mirrored seasons and of repeated folders."""
-    m = merge.deduplicated(_works(spark, d), F.col("pos"))
+    m = merge.deduplicated(_works(spark, d), F.col("pos"), lambda rows: stored(rows, "merge"))
     places = _listed("source_locations", lambda v: F.concat(v["episode_id"], F.lit(":"), v["strm_path"]))
     counts = _listed("source_episode_counts", lambda v: v.cast("string"))
     return m.select("work_id", "kind", "source", "title", "plot", "rating", "last_played", F.col("metadata_state").alias("state"), F.array_join("sources", ",").alias("sources"), places.alias("places"), counts.alias("counts"))
@@ -82,7 +82,7 @@ def merge_works(spark: SparkSession, d: str) -> DataFrame:
 @query(_NESTED)
 def merge_works_nested(spark: SparkSession, d: str) -> DataFrame:
     """Episodes and seasons of the same works, in their order."""
-    m = merge.deduplicated(_works(spark, d), F.col("pos"))
+    m = merge.deduplicated(_works(spark, d), F.col("pos"), lambda rows: stored(rows, "merge"))
     season = lambda s: F.concat(s["group_type"], s["season_number"].cast("string"), F.lit("/"), s["episode_count"].cast("string"), F.lit("/"), s["title"])
     return m.select("work_id", F.array_join(F.transform("episodes", lambda e: e["episode_id"]), ",").alias("episodes"), F.array_join(F.transform("seasons", season), ",").alias("seasons"))
 

@@ -75,3 +75,17 @@ def test_without_and_replaced(spark):
 def test_empty(spark, rows):
     """A table that has none of the columns holds one empty work."""
     assert merge.deduplicated(spark.range(rows).withColumnRenamed("id", "at"), F.col("at")).count() == rows
+
+
+def test_works_are_made_once(spark):
+    """All that is told of a work comes from the rows that `cut` gets: keys, parts and nested rows."""
+    cuts = []
+
+    def cut(rows):
+        cuts.append(rows.columns)
+        return spark.createDataFrame(rows.collect(), rows.schema)
+
+    works = spark.range(6).selectExpr("id AS at", "concat('w', id % 4) AS work_id", "'baidu' AS source", "'seasonal' AS import_scope", "concat('p', id) AS plot")
+    got, plain = (merge.deduplicated(works, F.col("at"), c).orderBy("work_id") for c in (cut, None))
+    assert got.collect() == plain.collect() and len(cuts) == 1 and {"key", "parts"} <= set(cuts[0])
+    assert "Range" not in got._jdf.queryExecution().optimizedPlan().toString()
