@@ -74,8 +74,9 @@ def compared(old: DataFrame, new: DataFrame, cut: Callable[[DataFrame], DataFram
     Passes 4 and 5: added and missing.
 
     Passes 1 and 2 are one join and one window over file ids, in which settled
-    files have keys of their own. Only what they leave goes on; `cut` can end its
-    lineage there (as checkpoint() does), as pass 3 reads it several times.
+    files have keys of their own. `cut` can end the lineage after them (as a
+    written table or checkpoint() does), as pass 3 reads what they leave several
+    times and the result what they settle.
     """
     both = _files(old, "o").join(_files(new, "n"), F.col("o.path") == F.col("n.path"), "full")
     rows = both.select("o", "n", F.when(F.col("o").isNotNull() & F.col("n").isNotNull(), F.when(changed("o", "n"), "replaced").otherwise("unchanged")).alias("change"))
@@ -93,9 +94,8 @@ def compared(old: DataFrame, new: DataFrame, cut: Callable[[DataFrame], DataFram
     verdict = F.when(name("mo") == name("n"), "moved").when(similarity(*stems) > ALIKE, "renamed").otherwise("uncertain")
     rows = _settled(rows, pair, hit, verdict)
 
-    free = F.col("change").isNull()
-    settled, rows = rows.where(~free), rows.where(free)
     rows = cut(rows) if cut else rows
+    settled, rows = rows.where(~free), rows.where(free)
     rows = _moved(rows)
     moved, rows = rows.where(~free), rows.where(free)
     gets = _alike(rows)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallgrass.functions import score
 from tallgrass.operators import catalog, diff, relate
-from tallgrass.session import checkpoints, table
+from tallgrass.session import stored, table
 from tallgrass.sources import scans
 from tallgrass.streaming import breaker
 
@@ -16,8 +16,7 @@ from .media import _PATH, pages
 
 
 def _compared(spark: SparkSession, old: DataFrame, new: DataFrame) -> DataFrame:
-    checkpoints(spark)
-    return diff.compared(old, new, lambda df: df.checkpoint())
+    return diff.compared(old, new, lambda df: stored(df, "diff"))
 
 
 def _snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -232,3 +232,11 @@ def test_diff_of_one_stem_and_no_sizes(spark):
     assert {r.new_path: r.old_path for r in rows if r.change == "moved"} == pairs
     assert {r.new_path: r.old_path for r in rows if r.change == "renamed"} == {p: o for o, p in got.items()}
     assert len(got) > 5 and sum(r.change != "added" for r in rows) == len(old) and sum(r.change != "missing" for r in rows) == len(new)
+
+
+def test_diff_settles_files_once(spark):
+    """Verdicts by names run in Python; neither pass 3 nor the result runs them again."""
+    schema = "path string, file_id string, size int, mtime double, source string, content string, kind string"
+    old, new = (spark.createDataFrame([(p, "1", 1, 1.0, "local", "", "video")], schema) for p in ("a/a-name.mkv", "b/a-name2.mkv"))
+    rows = diff.compared(old, new, lambda df: spark.createDataFrame(df.collect(), df.schema))
+    assert [r.change for r in rows.collect()] == ["renamed"] and "similarity" not in rows._jdf.queryExecution().optimizedPlan().toString()
