@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallgrass.llm import byte_bpe, language_id, line_dedup, mixing, ngram_join, preference, projected_neighbours, quality, rarity, substring_dedup, warc
+from tallgrass.llm.common import stored
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -196,6 +197,20 @@ def test_every_good_label_is_trusted(spark):
     assert quality.trusted_ids(labels).count() == 15_000 + 25_000
 
 
+@pytest.mark.parametrize("words", [1, 64, quality.ID_WORDS])
+def test_texts_meet_trusted_ids_alike_at_every_size(spark, docs, texts, words):
+    """The join doesn't turn from a broadcast to a shuffle of all texts as ids grow, and texts that have no trusted id stay out of it where the bitmap is wide enough."""
+    ids = docs.where("doc_id % 3 = 0").select("doc_id").distinct()
+    may = quality.likely(stored(quality.id_bits(ids, words), "bits"), words)
+    moved = {r.doc_id for r in docs.where(may).select("doc_id").collect()}
+    assert {d for d in texts if d % 3 == 0} <= moved and (words == 1 or len(moved) < len(texts) / 2)
+    found = quality.log_ratios(docs, ids, 512, may=may)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert [join for join, key in re.findall(r"(\w+Join) \[(\w+)#", plan) if key == "doc_id"] == ["SortMergeJoin"]
+    plain = quality.log_ratios(docs, ids, 512)
+    assert found.first().ratios == pytest.approx(plain.first().ratios, abs=1e-12)
+
+
 def test_quality_without_labels(spark, docs):
     rows = [r.quality for r in quality.judged(docs, docs.select("doc_id").limit(0)).collect()]
     assert all(q.kept != q.base_failed for q in rows) and {q.score for q in rows} == {0.0, None}
