@@ -7,8 +7,15 @@ from pyspark.sql import functions as F
 
 
 def gap_free(rows: DataFrame, group: list[str], number: str) -> DataFrame:
-    """Per group: n distinct numbers, least, most, and whether they run without a gap. Null numbers are left out; a group of only nulls has n 0 and is not gap-free."""
-    g = rows.groupBy(*group).agg(F.countDistinct(number).alias("n"), F.min(number).alias("least"), F.max(number).alias("most"))
+    """Per group: n distinct numbers, least, most, and whether they run without a gap. Null numbers are left out; a group of only nulls has n 0 and is not gap-free.
+
+    Numbers are told apart from the one before in a sort, which spills, and not in a hash table of all of them. Rows are dealt over
+    all shuffle partitions: narrow rows compress well, so that AQE would pack many millions into one task.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    before = F.lag(number).over(Window.partitionBy(*group).orderBy(number))
+    marked = rows.select(*group, number).repartition(parts, *group).withColumn("_new", F.when(~F.col(number).eqNullSafe(before), 1))
+    g = marked.groupBy(*group).agg(F.count("_new").alias("n"), F.min(number).alias("least"), F.max(number).alias("most"))
     return g.withColumn("gap_free", F.coalesce((F.col("n") > 0) & (F.col("most") - F.col("least") + 1 == F.col("n")), F.lit(False)))
 
 
@@ -25,7 +32,11 @@ def normalised_runs(rows: DataFrame, group: list[str], number: str) -> DataFrame
 
 def absolute_offset(parts: DataFrame, group: str, part: str, number: str) -> DataFrame:
     """Per (group, part): the sum of the largest numbers of all earlier parts, if each of these runs from 1 without a gap, else 0."""
-    g = gap_free(parts, [group, part], number)
+    return offsets(gap_free(parts, [group, part], number), group, part)
+
+
+def offsets(g: DataFrame, group: str, part: str) -> DataFrame:
+    """absolute_offset from gap_free's row for each (group, part)."""
     before = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     sound = F.coalesce(F.min((F.col("gap_free") & (F.col("least") == 1)).cast("int")).over(before), F.lit(1))
     return g.withColumn("offset", F.when(sound == 1, F.coalesce(F.sum("most").over(before), F.lit(0))).otherwise(0)).select(group, part, "offset")

@@ -240,3 +240,13 @@ def test_diff_settles_files_once(spark):
     old, new = (spark.createDataFrame([(p, "1", 1, 1.0, "local", "", "video")], schema) for p in ("a/a-name.mkv", "b/a-name2.mkv"))
     rows = diff.compared(old, new, lambda df: spark.createDataFrame(df.collect(), df.schema))
     assert [r.change for r in rows.collect()] == ["renamed"] and "similarity" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_runs_are_counted_in_all_partitions(spark):
+    """Narrow rows aren't packed into few tasks, and numbers that repeat or are null count as in a set."""
+    some = [("a", 1, x) for x in (1, 2, 2, 3, None)] + [("a", 2, x) for x in (2, 3)] + [("b", 1, x) for x in (1, 3, 3)] + [("c", 1, None), (None, 1, 1), ("a", 3, 1)]
+    rows = spark.createDataFrame(some, "g string, p int, n int")
+    runs = sequence.gap_free(rows, ["g", "p"], "n")
+    assert {tuple(r) for r in runs.collect()} == {("a", 1, 3, 1, 3, True), ("a", 2, 2, 2, 3, True), ("b", 1, 2, 1, 3, False), ("c", 1, 0, None, None, False), (None, 1, 1, 1, 1, True), ("a", 3, 1, 1, 1, True)}
+    assert runs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {tuple(r) for r in sequence.absolute_offset(rows, "g", "p", "n").collect()} == {("a", 1, 0), ("a", 2, 3), ("a", 3, 0), ("b", 1, 0), ("c", 1, 0), (None, 1, 0)}
