@@ -2,7 +2,8 @@
 
 `FolderSource` is a Spark data source, in batches and as a stream. The driver
 lists the upper levels until there are enough folders to deal out; tasks walk
-what is below. Rows hold what a directory entry tells; contents are read by
+what is below. A folder of more than WIDE entries is not listed by the driver:
+each task reads its names and takes a share of them by hash. Rows hold what a directory entry tells; contents are read by
 `fingerprinted` and `with_text`, which deal the files anew, so that a folder
 with a large share of all files is one task's listing but not its reading.
 
@@ -14,8 +15,10 @@ again. An empty or missing folder has no rows.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import time
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,16 +39,21 @@ NAMESPACES = {"pan115": "115", "baidu": "baidu", "local": "local", "openlist": "
 SCHEMA = "path string, parent string, name string, real_path string, is_dir boolean, depth int, size long, mtime double, changed long, entries long"
 #: Folders for each task that the driver looks for before it deals them out, and the levels that it lists for them at most.
 FOLDERS, UPPER = 4, 6
+#: Entries of a folder that the driver looks at; a wider one is dealt out by shares.
+WIDE = 4096
 
 
 @dataclass
 class Walk(InputPartition):
-    """Folders (path below the root, depth) that a task lists, with all below them or alone."""
+    """Folders (path below the root, depth) that a task lists, with all below them or alone; of those in `wide` the entries of share `share` of `shares`, with all below them."""
 
     folders: list[tuple[str, int]]
     deep: bool
     since: int = -1
     until: int = 1 << 62
+    wide: tuple[tuple[str, int], ...] = ()
+    share: int = 0
+    shares: int = 1
 
 
 def _skipped(name: str) -> bool:
@@ -62,54 +70,73 @@ class _Walker:
         self.splits = int(options.get("splits", "16"))
         self.below, self.start = 1 << 30, ""
 
-    def listed(self, folder: str, depth: int) -> list[tuple[os.DirEntry, str, os.stat_result]]:
-        """A folder's entries by name, with their paths below the root."""
+    def listed(self, folder: str, depth: int, share: int = 0, shares: int = 1) -> tuple[list[tuple[os.DirEntry, str, os.stat_result]], int]:
+        """A share of a folder's entries by name, with their paths below the root, and the number of all its entries."""
         if self.most is not None and depth > self.most:
             raise ValueError(f"{folder} is deeper than {self.most} folders")
-        found = []
+        found, total = [], 0
         try:
             with os.scandir(os.path.join(self.root, folder)) as entries:
                 for entry in entries:
                     try:
-                        if entry.is_dir(follow_symlinks=False) or entry.is_file(follow_symlinks=False):
+                        if not (entry.is_dir(follow_symlinks=False) or entry.is_file(follow_symlinks=False)):
+                            continue
+                        if shares == 1 or zlib.crc32(os.fsencode(entry.name)) % shares == share:
                             found.append((entry, f"{folder}/{entry.name}" if folder else entry.name, entry.stat(follow_symlinks=False)))
+                        total += 1
                     except OSError:
                         continue
         except (PermissionError, FileNotFoundError, NotADirectoryError):
-            return []
-        return sorted(found, key=lambda x: x[0].name)
+            return [], 0
+        return sorted(found, key=lambda x: x[0].name), total
+
+    def is_wide(self, folder: str) -> bool:
+        """Whether a folder has more than WIDE entries; no more of them are read."""
+        try:
+            with os.scandir(os.path.join(self.root, folder)) as entries:
+                return sum(1 for _ in itertools.islice(entries, WIDE + 1)) > WIDE
+        except (PermissionError, FileNotFoundError, NotADirectoryError):
+            return False
 
     def inner(self, folder: str, depth: int) -> list[tuple[str, int]]:
         """Folders directly below that are walked."""
         if depth + 1 >= self.below:
             return []
-        return [(path, depth + 1) for e, path, _ in self.listed(folder, depth) if e.is_dir(follow_symlinks=False) and not (self.skip and _skipped(e.name)) and self._on_the_way(path)]
+        return [(path, depth + 1) for e, path, _ in self.listed(folder, depth)[0] if self._walked(e, path, depth)]
+
+    def _walked(self, entry: os.DirEntry, path: str, depth: int) -> bool:
+        return entry.is_dir(follow_symlinks=False) and not (self.skip and _skipped(entry.name)) and depth + 1 < self.below and self._on_the_way(path)
 
     def _on_the_way(self, path: str) -> bool:
         return path.startswith(self.start) or self.start.startswith(path + "/")
 
     def deal(self, since: int = -1, until: int = 1 << 62) -> list[Walk]:
-        """The upper folders one by one, and what is below them in about `splits` parts."""
-        level, alone = [("", 0)], []
+        """The upper folders one by one, wide ones by shares of their entries, and what is below the others in about `splits` parts."""
+        level, alone, wide = [("", 0)], [], []
         for _ in range(UPPER):
             if len(level) >= FOLDERS * self.splits or not level:
                 break
+            of = {x: self.is_wide(x[0]) for x in level}
+            wide += [x for x in level if of[x]]
+            level = [x for x in level if not of[x]]
             alone += level
             level = [x for folder in level for x in self.inner(*folder)]
         parts = [Walk(level[i :: self.splits], True, since, until) for i in range(min(self.splits, len(level)))]
+        parts += [Walk([], True, since, until, tuple(wide), i, self.splits) for i in range(self.splits) if wide]
         return parts + [Walk(alone[i :: self.splits], False, since, until) for i in range(min(self.splits, len(alone)))] or [Walk([], False)]
 
     def rows(self, part: Walk) -> Iterator[tuple]:
         """A row for each entry; a folder's number of entries stands in the row of the folder itself, which its own listing gives."""
-        todo = list(part.folders)
+        todo = [(*x, 0, 1) for x in part.folders] + [(*x, part.share, part.shares) for x in part.wide]
         while todo:
-            folder, depth = todo.pop()
-            entries = self.listed(folder, depth)
-            yield self._row(folder, os.path.basename(folder), depth, None, len(entries))
+            folder, depth, share, shares = todo.pop()
+            entries, total = self.listed(folder, depth, share, shares)
+            if share == 0:
+                yield self._row(folder, os.path.basename(folder), depth, None, total)
             for entry, path, stat in entries:
                 if entry.is_dir(follow_symlinks=False):
-                    if part.deep and not (self.skip and _skipped(entry.name)) and depth + 1 < self.below and self._on_the_way(path):
-                        todo.append((path, depth + 1))
+                    if part.deep and self._walked(entry, path, depth):
+                        todo.append((path, depth + 1, 0, 1))
                 elif part.since < max(stat.st_mtime_ns, stat.st_ctime_ns) <= part.until:
                     yield self._row(path, entry.name, depth + 1, stat, None)
 
@@ -270,8 +297,10 @@ def mirror_files(rows: DataFrame, source: str | None = None) -> DataFrame:
     files = rows.where(~F.col("is_dir") & F.col("path").contains("/")).select("path", space.alias("namespace"), _source_of(space, source).alias("source"), kind.alias("kind"), "real_path", "size", "mtime").where("kind IS NOT NULL")
     if source is not None:
         files = files.where(F.col("namespace") == NAMESPACES.get(source, source))
-    held = with_text(files.where("kind = 'strm'")).withColumn("real_path", F.coalesce("text", F.lit(""))).drop("text")
-    return held.unionByName(files.where("kind != 'strm'"))
+    # One walk of the tree for both: a size is what with_text reads a file by.
+    strm = F.col("kind") == "strm"
+    held = with_text(files.withColumn("_size", F.col("size")).withColumn("size", F.when(strm, F.col("size"))))
+    return held.select("path", "namespace", "source", "kind", F.when(strm, F.coalesce("text", F.lit(""))).otherwise(F.col("real_path")).alias("real_path"), F.col("_size").alias("size"), "mtime")
 
 
 def _source_of(space: Column, source: str | None) -> Column:
@@ -285,7 +314,7 @@ def _source_of(space: Column, source: str | None) -> Column:
 
 
 def write_tree(rows: DataFrame, root: str) -> int:
-    """Write (path, content binary) as files below root, a path that executors can open; the number written. A file appears whole: it is renamed into its place, so that a task tried again leaves the same."""
+    """Write (path, content binary) as files below root, a path that executors can open; the number written. A file appears whole: it is renamed into its place, so that a task tried again leaves the same. Rows are dealt over the shuffle partitions, as a small table is one task's split but many files."""
     base = root.removeprefix("file://").removeprefix("file:")
     if "://" in base:
         raise ValueError(f"{root} is no mounted folder")
@@ -301,4 +330,5 @@ def write_tree(rows: DataFrame, root: str) -> int:
                 os.replace(part, at)
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
-    return rows.where("path IS NOT NULL").select("path", "content").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+    dealt = rows.where("path IS NOT NULL").select("path", "content").repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
+    return dealt.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0

@@ -49,6 +49,41 @@ def test_every_deal_gives_the_same(spark, root, upper, monkeypatch):
     assert {r.path: r.entries for r in rows if r.is_dir}["d1/d2"] == 2
 
 
+def test_wide_folders_are_dealt_by_shares(spark, root, tmp_path, monkeypatch):
+    """The driver doesn't list a wide folder, whose entries fall to all tasks, each once."""
+    for n in range(300):
+        at = tmp_path / "tree" / "d1" / str(n)
+        at.mkdir()
+        (at / "x.mkv").write_bytes(b"1")
+    row = lambda r: (r[0], r[1], r[2], r[4], r[5], r[6], r[9])
+    reader = folders._Reader({"path": root})
+    want = sorted(row(r) for p in reader.partitions() for r in reader.read(p))
+    monkeypatch.setattr(folders, "WIDE", 100)
+    asked = []
+    listed = reader.listed
+    monkeypatch.setattr(reader, "listed", lambda folder, *more: asked.append(folder) or listed(folder, *more))
+    parts = reader.partitions()
+    assert "d1" not in asked and len(parts) <= 3 * reader.splits
+    assert sorted(row(r) for p in parts for r in reader.read(p)) == want
+    assert sum(any(r[0].startswith("d1/") for r in reader.read(p)) for p in parts) == reader.splits
+
+
+def test_files_are_written_and_walked_in_all_tasks(spark, tmp_path):
+    rows = spark.range(200).coalesce(1).selectExpr("concat(id % 3, '/', id, '/e.strm') AS path", "encode(id, 'UTF-8') AS content")
+    at = f"{tmp_path}/all"
+    spark.sparkContext.setJobGroup("written", "")
+    try:
+        assert folders.write_tree(rows, at) == 200
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("written") for s in tracker.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = folders.mirror_files(folders.nodes(spark, at, skip=False))
+    assert found._jdf.queryExecution().executedPlan().toString().count("BatchScan") == 1
+    assert {(r.path, r.real_path, r.size) for r in found.collect()} == {(f"{n % 3}/{n}/e.strm", str(n), len(str(n))) for n in range(200)}
+
+
 def test_limits(spark, root, tmp_path):
     with pytest.raises(Exception, match="deeper than 2"):
         folders.nodes(spark, root, max_depth=2).collect()
