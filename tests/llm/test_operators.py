@@ -166,6 +166,29 @@ def test_lines_of_odd_rows(spark):
     assert {(r.doc_id or 0, r.n_removed) for r in line_dedup.summary(docs).collect()} == {(1, 0), (2, 0), (2, 1), (3, 1), (0, 0), (4, 0), (5, 0), (6, 0), (7, 1), (8, 0)}
 
 
+def test_lines_without_python(spark, monkeypatch):
+    """No Python runs on the executors. Lines differ in blanks only, have equal sets in another order, or more of equal shingles; half of all are near copies of one."""
+
+    def refused(*_, **__):
+        raise AssertionError("Python on the executors")
+
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(spark.range(1)), name, refused)
+    for name in ("applyInArrow", "applyInPandas"):
+        monkeypatch.setattr(type(spark.range(1).groupBy("id")), name, refused)
+    rng, turn = np.random.default_rng(8), [f"t{i}" for i in range(6)]
+    base = [f"b{i}" for i in range(30)]
+    rows = []
+    for d in range(60):
+        near = list(base)
+        for at in rng.choice(30, int(rng.integers(0, 3)), replace=False):
+            near[at] = f"e{rng.integers(0, 4)}"
+        odd = ["one\ttwo", " one  two\r", "one two", "\x0b", "ein\u00a0wort", "y " * int(rng.integers(3, 30)), " ".join((turn[d % 6 :] + turn[: d % 6]) * 4)]
+        rows.append((d, "\n".join([" ".join(near), odd[int(rng.integers(0, 7))], " ".join([f"w{rng.integers(0, 3)}" for _ in range(12)]), odd[-1]])))
+    got = {r.doc_id: list(r.removed_lines) for r in line_dedup.summary(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == dict(zip(range(60), removed_lines(rows), strict=True))
+
+
 def test_quality_statistics(spark, docs, texts, small):
     got = {r.doc_id: r.quality for r in quality.judged(docs, quality.trusted_ids(spark.read.parquet(f"{small}/labels.parquet"))).collect()}
     for d, t in texts.items():
