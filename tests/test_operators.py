@@ -194,6 +194,39 @@ def test_related_works_in_packs_and_slices(spark, monkeypatch):
     assert plan.index("Join") < plan.index("Aggregate")
 
 
+def joined_rows(plan) -> int:
+    """Rows that the joins of the last stage have given."""
+    inner = {"AdaptiveSparkPlan": "executedPlan", "ResultQueryStage": "plan"}.get(plan.nodeName())
+    nodes = [getattr(plan, inner)()] if inner else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = plan.metrics().apply("numOutputRows").value() if "Join" in plan.nodeName() else 0
+    return own + sum(joined_rows(p) for p in nodes)
+
+
+def test_related_works_of_one_name_meet_in_blocks(spark, monkeypatch):
+    """Works that share one name, each with keys of its own, are not compared one by one."""
+    monkeypatch.setattr(library, "BLOCK", 16, raising=False)
+    rows = [(w, [(0, "a"), (1, f"n{w // 2}")]) for w in range(600)]
+    df = library.related(spark.createDataFrame(rows, "work_id int, keys array<struct<rank int, name string>>"), "keys")
+    got = sorted(map(tuple, df.collect()))
+    assert got == [(a, b, 0, 1 + (a // 2 == b // 2)) for a in range(600) for b in range(600) if a != b]
+    n = joined_rows(df._jdf.queryExecution().executedPlan())
+    assert 0 < n < 60_000
+
+
+@pytest.mark.parametrize("block", [1, 2, 40])
+def test_related_works_in_blocks_of_any_size(spark, monkeypatch, block):
+    """Works with one key, two and several, more keys than bits, and ranks that are null."""
+    for name, value in (("PACK", 2), ("SLICE", 9), ("SLICES", 3), ("BLOCK", block)):
+        monkeypatch.setattr(library, name, value, raising=False)
+    r = random.Random(block)
+    names = [(k, f"n{i}") for k in (None, 0, 1) for i in range(30)] + [(0, "a")] * 60 + [(1, "a")] * 20 + [(None, "b")] * 5
+    sets = {w: set(r.sample(names, r.choice([1, 2, 2, 5, 12]))) for w in range(90)}
+    df = library.related(spark.createDataFrame([(w, list(k)) for w, k in sets.items()], "work_id int, keys array<struct<rank int, name string>>"), "keys")
+    both = {(a, b): sets[a] & sets[b] for a in sets for b in sets if a != b}
+    want = [(a, b, min((x[0] for x in k if x[0] is not None), default=None), len(k)) for (a, b), k in both.items() if k]
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(want, key=str)
+
+
 def test_diff_of_one_stem_and_no_sizes(spark):
     """Hundreds of files without sizes: names that all share, names alike and names of one letter meet as the pairwise rule says."""
     row = "path string, file_id string, size bigint, mtime double, source string, content string, kind string"
